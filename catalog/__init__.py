@@ -1,5 +1,5 @@
 """Registered queries and the SQL each one is checked against."""
 
-from catalog import scoring
+from catalog import preparation, scoring
 
-REGISTRIES = [scoring.registry]
+REGISTRIES = [scoring.registry, preparation.registry]
