@@ -86,9 +86,9 @@ def from_log_ratios(logs: Sequence[Column]) -> Vec:
 
 
 def pignistic(m: Sequence[Column]) -> Vec:
+    """Omega shared equally among the classes; sums to 1 because the mass does."""
     *singles, omega = m
-    raw = [x + omega / len(singles) for x in singles]
-    return divide(raw, total(raw))
+    return [x + omega / len(singles) for x in singles]
 
 
 def pignistic_prior(m: Sequence[Column], prior: Sequence[float | Column]) -> Vec:

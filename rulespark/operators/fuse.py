@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from rulespark.functions import mass as M
 from rulespark.operators.activate import batch_matrix, choose_form, rule_flags, with_fired
 from rulespark.rules import OMEGA_FLOOR, RuleSet
-
-EVIDENCE_TYPE = "struct<n_fired:int,sum_omega:double,first_label:int,votes:array<bigint>,log_ratio:array<double>>"
+from rulespark.session import small_side
 
 
 def log_ratios(rule) -> list[float]:
@@ -21,69 +20,76 @@ def log_ratios(rule) -> list[float]:
     return [float(np.log1p(m / omega)) for m in singles]
 
 
-def _sum_when(flags: Sequence[Column], values: Sequence, zero) -> Column:
-    terms = [F.when(flag, F.lit(v)).otherwise(F.lit(zero)) for flag, v in zip(flags, values) if v != zero]
-    return reduce(lambda a, b: a + b, terms, F.lit(zero))
+def label_table(rules: RuleSet, value=lambda r: 1.0) -> list[list[float]]:
+    """R x K table with value(rule) in the column of the rule's label."""
+    return [[float(value(r)) if r.label == c else 0.0 for c in range(rules.n_classes)] for r in rules]
+
+
+def evidence_tables(rules: RuleSet) -> dict[str, list[list[float]]]:
+    return {"votes": label_table(rules), "log_ratio": [log_ratios(r) for r in rules]}
+
+
+def _sum_when(flags: Sequence[Column], values: Sequence[float]) -> Column:
+    terms = [F.when(flag, F.lit(float(v))).otherwise(F.lit(0.0)) for flag, v in zip(flags, values) if v]
+    return reduce(lambda a, b: a + b, terms, F.lit(0.0))
 
 
-def with_evidence(df: DataFrame, rules: RuleSet, *, form: str | None = None) -> DataFrame:
+def with_evidence(
+    df: DataFrame, rules: RuleSet, *, extra: dict[str, list[list[float]]] | None = None, form: str | None = None
+) -> DataFrame:
     """df plus one `evidence` struct per row: everything every fusion rule but Yager needs, row-local.
 
-    Dempster's rule over any number of fired rules only needs L_k = sum ln(1 + m_k / omega), so no
-    ordering, grouping or shuffle is involved.
+    Each field is a sum of per-rule constants over the fired rules: their number, their omegas, their
+    votes per class and L_k = sum ln(1 + m_k / omega), which is all Dempster's rule needs however many
+    rules fire. `extra` adds further R x width tables summed the same way. No grouping or shuffle.
     """
+    tables = {**evidence_tables(rules), **(extra or {})}
+    omegas = [r.safe_mass[-1] for r in rules]
     if (form or choose_form(rules)) == "batches":
-        return _evidence_batches(df, rules)
-    k = rules.n_classes
+        return _evidence_batches(df, rules, omegas, tables)
     flags = rule_flags(rules)
     firsts = [F.when(flag, F.lit(r.label)) for r, flag in zip(rules, flags) if r.label is not None]
-    ratios = [log_ratios(r) for r in rules]
+    arrays = [
+        F.array(*[_sum_when(flags, [row[c] for row in table]) for c in range(len(table[0]))]).alias(name)
+        for name, table in tables.items()
+    ]
     return df.withColumn(
         "evidence",
         F.struct(
-            _sum_when(flags, [1] * len(flags), 0).cast("int").alias("n_fired"),
-            _sum_when(flags, [r.safe_mass[-1] for r in rules], 0.0).alias("sum_omega"),
+            _sum_when(flags, [1.0] * len(flags)).cast("int").alias("n_fired"),
+            _sum_when(flags, omegas).alias("sum_omega"),
             (F.coalesce(*firsts) if firsts else F.lit(None)).cast("int").alias("first_label"),
-            F.array(
-                *[_sum_when(flags, [int(r.label == c) for r in rules], 0).cast("bigint") for c in range(k)]
-            ).alias("votes"),
-            F.array(*[_sum_when(flags, [x[c] for x in ratios], 0.0) for c in range(k)]).alias("log_ratio"),
+            *arrays,
         ),
     )
 
 
-def _evidence_batches(df: DataFrame, rules: RuleSet) -> DataFrame:
-    k = rules.n_classes
-    field = T.StructField("evidence", T._parse_datatype_string(EVIDENCE_TYPE))
+def _evidence_batches(df: DataFrame, rules: RuleSet, omegas: list[float], tables: dict) -> DataFrame:
+    names = list(tables)
+    field = T.StructField(
+        "evidence",
+        T._parse_datatype_string(
+            "struct<n_fired:int,sum_omega:double,first_label:int," + ",".join(f"{n}:array<double>" for n in names) + ">"
+        ),
+    )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = np.array([log_ratios(r) for r in rules]).reshape(len(rules), k)
+        weights = np.concatenate([np.ones((len(rules), 1)), np.array([omegas]).T, *[np.array(tables[n]) for n in names]], axis=1)
+        labels = np.array([-1 if r.label is None else r.label for r in rules], dtype=np.int32)
         for batch in batches:
             n = batch.num_rows
-            count = np.zeros(n, dtype=np.int32)
-            omega = np.zeros(n)
-            first = np.full(n, -1, dtype=np.int32)
-            votes = np.zeros((n, k), dtype=np.int64)
-            logs = np.zeros((n, k))
-            for i, (rule, hit) in enumerate(zip(rules, batch_matrix(batch, rules))):
-                count += hit
-                omega += hit * rule.safe_mass[-1]
-                for c in np.flatnonzero(ratios[i]):
-                    logs[:, c] += hit * ratios[i, c]
-                if rule.label is not None:
-                    votes[:, rule.label] += hit
-                    first[hit & (first < 0)] = rule.label
-            offsets = pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32))
-            evidence = pa.StructArray.from_arrays(
-                [
-                    pa.array(count),
-                    pa.array(omega),
-                    pa.array(first, mask=first < 0),
-                    pa.ListArray.from_arrays(offsets, pa.array(votes.ravel())),
-                    pa.ListArray.from_arrays(offsets, pa.array(logs.ravel())),
-                ],
-                names=["n_fired", "sum_omega", "first_label", "votes", "log_ratio"],
-            )
+            hits = np.stack(list(batch_matrix(batch, rules)), axis=1)
+            sums = hits.astype(np.float64) @ weights
+            voting = hits & (labels >= 0)
+            first = np.where(voting.any(axis=1), labels[voting.argmax(axis=1)], -1).astype(np.int32)
+            columns = [pa.array(sums[:, 0].astype(np.int32)), pa.array(sums[:, 1]), pa.array(first, mask=first < 0)]
+            at = 2
+            for name in names:
+                width = len(tables[name][0])
+                offsets = pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)[: n + 1])
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(sums[:, at : at + width].ravel())))
+                at += width
+            evidence = pa.StructArray.from_arrays(columns, names=["n_fired", "sum_omega", "first_label", *names])
             yield pa.RecordBatch.from_arrays([*batch.columns, evidence], names=[*batch.schema.names, "evidence"])
 
     return df.mapInArrow(gather, T.StructType([*df.schema.fields, field]))
@@ -97,7 +103,7 @@ def vote_vec(n_classes: int, evidence: str = "evidence") -> M.Vec:
     """Share of fired labelled rules per class; all mass on omega when none fired."""
     votes = M.unpack(F.col(f"{evidence}.votes"), n_classes)
     seen = M.total(votes)
-    shares = [F.when(seen > 0, v / F.greatest(seen, F.lit(1))).otherwise(F.lit(0.0)) for v in votes]
+    shares = [F.when(seen > 0, v / F.greatest(seen, F.lit(1.0))).otherwise(F.lit(0.0)) for v in votes]
     return [*shares, F.when(seen > 0, F.lit(0.0)).otherwise(F.lit(1.0))]
 
 
@@ -120,8 +126,12 @@ def fuse_yager(df: DataFrame, rules: RuleSet, *, form: str | None = None) -> Dat
 
     Yager's rule is not associative, so the order is part of the definition.
     """
-    hits = with_fired(df, rules, form=form)
-    return hits.withColumn("yager", fold_masses(F.col("fired"), rules, M.yager_pair)).drop("fired")
+    return fuse_yager_from(with_fired(df, rules, form=form), rules).drop("fired")
+
+
+def fuse_yager_from(hits: DataFrame, rules: RuleSet) -> DataFrame:
+    """The same on rows that already carry `fired`."""
+    return hits.withColumn("yager", fold_masses(F.col("fired"), rules, M.yager_pair))
 
 
 def fuse_grouped(fired: DataFrame, rule_mass: DataFrame, key: Sequence[str], n_classes: int) -> DataFrame:
@@ -131,7 +141,7 @@ def fuse_grouped(fired: DataFrame, rule_mass: DataFrame, key: Sequence[str], n_c
     """
     ratio = lambda c: F.log1p(F.get("mass", F.lit(c)) / F.greatest(F.get("mass", F.lit(n_classes)), F.lit(OMEGA_FLOOR)))
     sums = (
-        fired.join(F.broadcast(rule_mass.select("rule_id", "mass")), "rule_id")
+        fired.join(small_side(rule_mass.select("rule_id", "mass")), "rule_id")
         .groupBy(*key)
         .agg(
             F.count("*").alias("n_fired"),

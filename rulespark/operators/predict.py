@@ -34,17 +34,16 @@ def score(df: DataFrame, rules: RuleSet, *, method: str = "dempster", form: str
     out = with_evidence(df, rules, form=form)
     if method == "yager":
         out = fuse_yager(out, rules, form=form)
-    # The class shares are computed once and read back by name, so no later column repeats the fusion.
-    out = out.withColumn("mass", F.array(*mass_vec(method, k)))
-    m = M.unpack(F.col("mass"), k + 1)
-    out = out.withColumn("proba", F.array(*M.pignistic(m)))
-    p = M.unpack(F.col("proba"), k)
+    m = mass_vec(method, k)
+    # Omega is shared equally, so the top class is that of the evidence itself: no need to go through
+    # the probabilities, and filters on `pred` stay small when the optimizer pushes them down.
+    ranking = {"dempster": "evidence.log_ratio", "vote": "evidence.votes", "yager": "yager"}[method]
     return out.select(
         *df.columns,
         F.col("evidence.n_fired").alias("n_fired"),
-        "mass",
-        "proba",
-        M.argmax(p).alias("pred"),
+        F.array(*m).alias("mass"),
+        F.array(*M.pignistic(m)).alias("proba"),
+        M.argmax(M.unpack(F.col(ranking), k)).alias("pred"),
         unc_rule().alias("unc_rule"),
         m[-1].alias("unc_comb"),
     )
