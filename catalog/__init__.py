@@ -1,5 +1,5 @@
 """Registered queries and the SQL each one is checked against."""
 
-from catalog import explanations, hard_cases, preparation, rule_tables, scoring
+from catalog import explanations, hard_cases, induction, preparation, rule_tables, scoring
 
-REGISTRIES = [m.registry for m in (scoring, preparation, rule_tables, explanations, hard_cases)]
+REGISTRIES = [m.registry for m in (scoring, preparation, rule_tables, explanations, hard_cases, induction)]

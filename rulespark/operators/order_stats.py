@@ -32,9 +32,13 @@ def buckets_for(distinct_values: int) -> int:
 
 
 def running(
-    counts: DataFrame, by: Sequence[str], *, value: str = "value", sums: Sequence[str] = ("n", "pos"), buckets: int = 1
+    counts: DataFrame, by: Sequence[str], *, value: str = "value", sums: Sequence[str] = ("n", "pos"),
+    leads: Sequence[str] = (), buckets: int = 1,
 ) -> DataFrame:
-    """counts plus, per group in value order: cum_<s> (inclusive), all_<s> (group total), next_value."""
+    """counts plus, per group in value order: cum_<s> (inclusive), all_<s> (group total), next_value and
+    next_<c> for the columns in `leads`."""
+    ahead = [value, *leads]
+    next_name = lambda c: "next_value" if c == value else f"next_{c}"
     if buckets <= 1:
         up_to = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*by)
@@ -42,21 +46,23 @@ def running(
             "*",
             *[F.sum(s).over(up_to).alias(f"cum_{s}") for s in sums],
             *[F.sum(s).over(whole).alias(f"all_{s}") for s in sums],
-            F.lead(value).over(Window.partitionBy(*by).orderBy(value)).alias("next_value"),
+            *[F.lead(c).over(Window.partitionBy(*by).orderBy(value)).alias(next_name(c)) for c in ahead],
         )
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*by).agg(F.percentile_approx(value, cuts, 10_000).alias("bounds"))
     placed = counts.join(F.broadcast(bounds), list(by)).withColumn(
         "bucket", F.size(F.filter("bounds", lambda b: b < F.col(value)))
     ).drop("bounds")
-    totals = placed.groupBy(*by, "bucket").agg(*[F.sum(s).alias(f"t_{s}") for s in sums], F.min(value).alias("first_value"))
+    totals = placed.groupBy(*by, "bucket").agg(
+        *[F.sum(s).alias(f"t_{s}") for s in sums], *[F.min_by(c, value).alias(f"first_{c}") for c in ahead]
+    )
     # One row per (group, bucket): a few thousand rows whatever the data size.
     before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by, "bucket",
         *[F.coalesce(F.sum(f"t_{s}").over(before), F.lit(0)).alias(f"off_{s}") for s in sums],
         *[F.sum(f"t_{s}").over(Window.partitionBy(*by)).alias(f"all_{s}") for s in sums],
-        F.lead("first_value").over(Window.partitionBy(*by).orderBy("bucket")).alias("next_first"),
+        *[F.lead(f"first_{c}").over(Window.partitionBy(*by).orderBy("bucket")).alias(f"_after_{c}") for c in ahead],
     )
     inside = Window.partitionBy(*by, "bucket").orderBy(value)
     up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -64,7 +70,7 @@ def running(
         *counts.columns,
         *[(F.sum(s).over(up_to) + F.col(f"off_{s}")).alias(f"cum_{s}") for s in sums],
         *[F.col(f"all_{s}") for s in sums],
-        F.coalesce(F.lead(value).over(inside), F.col("next_first")).alias("next_value"),
+        *[F.coalesce(F.lead(c).over(inside), F.col(f"_after_{c}")).alias(next_name(c)) for c in ahead],
     )
 
 
