@@ -1,5 +1,8 @@
 """Registered queries and the SQL each one is checked against."""
 
-from catalog import explanations, hard_cases, induction, preparation, rule_tables, scoring
+from catalog import experiments, explanations, hard_cases, induction, learning, preparation, rule_tables, scoring, sources
 
-REGISTRIES = [m.registry for m in (scoring, preparation, rule_tables, explanations, hard_cases, induction)]
+REGISTRIES = [
+    m.registry
+    for m in (scoring, sources, preparation, rule_tables, explanations, hard_cases, induction, learning, experiments)
+]

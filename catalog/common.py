@@ -120,10 +120,11 @@ ORDER_RULES = RuleSet(
 ORDER_FEATURES = ["o_totalprice", "c_acctbal", "prio", "status", "nation"]
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, *, orders_table: DataFrame | None = None) -> DataFrame:
     """orders with numeric features, customer attributes and the price band 0..2 as label `y`."""
     price = F.col("o_totalprice")
-    o = table(spark, sf_dir, "orders").select(
+    source = table(spark, sf_dir, "orders") if orders_table is None else orders_table
+    o = source.select(
         "o_orderkey", "o_custkey", "o_totalprice",
         (F.substring("o_orderpriority", 1, 1).cast("double") - 1).alias("prio"),
         F.when(F.col("o_orderstatus") == "F", 0.0).when(F.col("o_orderstatus") == "O", 1.0).otherwise(2.0).alias("status"),

@@ -86,20 +86,14 @@ def make_task(df: DataFrame, key: Sequence[str], features: Sequence[str], *, lab
 # --- candidate thresholds ---
 
 
-def threshold_proposals(task: Task, positive: Column, cfg: InductionConfig, *, quantiles: dict | None = None) -> DataFrame:
+def threshold_proposals(task: Task, positive: Column, cfg: InductionConfig, *, counts: DataFrame | None = None) -> DataFrame:
     """(feature, kind, rank, threshold) proposals for every numeric feature, at most 32 per feature.
 
     Kinds in order of precedence: 0 quantiles of all values, 1 quantiles of the positives, 2 midpoints
     where the label changes, 3 all midpoints; the last two ranked by Gini gain, then by |threshold|.
+    The label changes where the last row of a tie group and the first row of the next one differ.
     """
-    cells = task.rows.select(*task.key, positive.alias("is_pos"), *task.numeric)
-    cells = O.finite_only(melt(cells, [*task.key, "is_pos"], task.numeric))
-    order = F.struct(*task.key)
-    # Label change compares the last row of a tie group with the first row of the next, in key order.
-    counts = cells.groupBy("feature", "value").agg(
-        F.count("*").alias("n"), F.count_if("is_pos").alias("pos"),
-        F.min_by("is_pos", order).alias("first_pos"), F.max_by("is_pos", order).alias("last_pos"),
-    )
+    counts = label_value_counts(task, positive) if counts is None else counts
     runs = O.running(counts, ["feature"], leads=["first_pos"], buckets=task.buckets)
     flat = lambda prefix, kind: F.array(
         *[F.struct(F.lit(kind).alias("kind"), F.lit(i + 1).alias("rank"), F.col(f"{prefix}{i}").alias("threshold")) for i in range(len(cfg.quantiles))]
@@ -111,19 +105,27 @@ def threshold_proposals(task: Task, positive: Column, cfg: InductionConfig, *, q
     quants = quants.select("feature", F.explode(F.concat(flat("a", 0), flat("b", 1))).alias("q")).select("feature", "q.*")
     n = F.col("cum_n").cast("double")
     g = gain.gini_gain(n, F.col("cum_pos").cast("double"), F.col("all_n").cast("double"), F.col("all_pos").cast("double"))
+    kinds = F.when(F.col("last_pos") != F.col("next_first_pos"), F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(3)))
     mids = runs.where("next_value IS NOT NULL AND next_value - value > 1e-12").select(
-        "feature", ((F.col("value") + F.col("next_value")) * 0.5).alias("threshold"), F.round(g, 12).alias("gain"),
-        (F.col("last_pos") != F.col("next_first_pos")).alias("change"),
+        "feature", ((F.col("value") + F.col("next_value")) * 0.5).alias("threshold"), F.round(g, 12).alias("gain"), F.explode(kinds).alias("kind"),
     )
-    best = Window.partitionBy("feature").orderBy(F.desc("gain"), F.abs("threshold"), "threshold")
+    # row_number <= k is pushed below the shuffle as a per-partition limit
+    best = Window.partitionBy("feature", "kind").orderBy(F.desc("gain"), F.abs("threshold"), "threshold")
+    ranked = mids.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(cfg.midpoint_limit, cfg.stump_limit))
+    ranked = ranked.where(F.col("rank") <= F.when(F.col("kind") == 2, cfg.midpoint_limit).otherwise(cfg.stump_limit))
+    found = quants.unionByName(ranked.select("feature", "kind", "rank", "threshold"))
+    return found.where("threshold IS NOT NULL")
 
-    def top(rows: DataFrame, kind: int, k: int) -> DataFrame:
-        # row_number <= k is pushed below the shuffle as a per-partition limit
-        ranked = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        return ranked.select("feature", F.lit(kind).alias("kind"), "rank", "threshold")
 
-    found = quants.unionByName(top(mids.where("change"), 2, cfg.midpoint_limit)).unionByName(top(mids, 3, cfg.stump_limit))
-    return found.where("threshold IS NOT NULL")
+def label_value_counts(task: Task, positive: Column) -> DataFrame:
+    """Rows and positives per feature and distinct value, with the label of the first and last row in key order."""
+    cells = task.rows.select(*task.key, positive.alias("is_pos"), *task.numeric)
+    cells = O.finite_only(melt(cells, [*task.key, "is_pos"], task.numeric))
+    order = F.struct(*task.key)
+    return cells.groupBy("feature", "value").agg(
+        F.count("*").alias("n"), F.count_if("is_pos").alias("pos"),
+        F.min_by("is_pos", order).alias("first_pos"), F.max_by("is_pos", order).alias("last_pos"),
+    )
 
 
 def _positive_quantiles(qs: Sequence[float]) -> list[Column]:
@@ -132,7 +134,12 @@ def _positive_quantiles(qs: Sequence[float]) -> list[Column]:
 
 def numeric_candidates(task: Task, positive: Column, cfg: InductionConfig) -> dict[str, list[float]]:
     """Ordered thresholds per numeric feature: proposals in precedence order, equal to 12 digits once, capped."""
-    rows = threshold_proposals(task, positive, cfg).collect()
+    if not task.numeric:
+        return {}
+    # Both branches of the proposals read the value counts, the one wide shuffle of a rule.
+    counts = label_value_counts(task, positive).persist()
+    rows = threshold_proposals(task, positive, cfg, counts=counts).collect()
+    counts.unpersist()
     out: dict[str, list[float]] = {f: [] for f in task.numeric}
     seen = set()
     for r in sorted(rows, key=lambda r: (r["feature"], r["kind"], r["rank"])):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,6 +31,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rulespark-ckpt-"))
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def fits_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
     """True when df has at most `limit` rows; stops reading as soon as it has more."""
     return df.limit(limit + 1).count() <= limit
