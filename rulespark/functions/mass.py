@@ -7,10 +7,12 @@ plan is built, so every formula unrolls into arithmetic that stays inside whole-
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, functions as F
 
+from rulespark.functions.arrays import balanced
+
 Vec = list[Column]
 
 
@@ -19,7 +21,7 @@ def unpack(array: Column, n: int) -> Vec:
 
 
 def total(xs: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, xs)
+    return balanced(add, xs)
 
 
 def divide(xs: Sequence[Column], by: Column) -> Vec:

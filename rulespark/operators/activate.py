@@ -11,23 +11,25 @@ Three physical forms of the same row x rule match:
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rulespark.functions.arrays import unnest
+from rulespark.functions.arrays import balanced, unnest
 from rulespark.functions.literals import holds_dynamic, rule_holds
 from rulespark.rules import EQ_TOLERANCE, RuleSet, literals_of
 from rulespark.session import fits_broadcast, small_side
 
 # Up to here generated predicates beat Arrow transfer (measured at 600k rows on 8 cores).
 COLUMN_FORM_MAX_LITERALS = 96
+COLUMN_FORM_MAX_RULES = 48
 
 
 def choose_form(rules: RuleSet) -> str:
-    return "columns" if rules.n_distinct_literals <= COLUMN_FORM_MAX_LITERALS else "batches"
+    few = rules.n_distinct_literals <= COLUMN_FORM_MAX_LITERALS and len(rules) <= COLUMN_FORM_MAX_RULES
+    return "columns" if few else "batches"
 
 
 def rule_flags(rules: RuleSet, *, exact_eq: bool = False) -> list[Column]:
@@ -190,4 +192,4 @@ def firing_examples(fired: DataFrame, rules: DataFrame, key: Sequence[str], limi
 
 def any_rule_holds(rules: Sequence) -> Column:
     flags = [F.coalesce(rule_holds(r.literals), F.lit(False)) for r in rules]
-    return reduce(lambda a, b: a | b, flags) if flags else F.lit(False)
+    return balanced(or_, flags) if flags else F.lit(False)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rulespark.functions import mass as M
+from rulespark.functions.arrays import balanced
 from rulespark.operators.activate import batch_matrix, choose_form, rule_flags, with_fired
 from rulespark.rules import OMEGA_FLOOR, RuleSet
 from rulespark.session import small_side
@@ -31,7 +32,7 @@ def evidence_tables(rules: RuleSet) -> dict[str, list[list[float]]]:
 
 def _sum_when(flags: Sequence[Column], values: Sequence[float]) -> Column:
     terms = [F.when(flag, F.lit(float(v))).otherwise(F.lit(0.0)) for flag, v in zip(flags, values) if v]
-    return reduce(lambda a, b: a + b, terms, F.lit(0.0))
+    return balanced(add, terms or [F.lit(0.0)])
 
 
 def with_evidence(

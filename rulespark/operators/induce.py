@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
-from functools import reduce
+from dataclasses import dataclass, field
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulespark.functions import gain
+from rulespark.functions.arrays import balanced
 from rulespark.functions.literals import rule_holds
 from rulespark.operators import order_stats as O
 from rulespark.operators.activate import any_rule_holds, melt
@@ -155,7 +156,7 @@ def numeric_candidates(task: Task, positive: Column, cfg: InductionConfig) -> di
 
 def _slot(x: Column, cuts: Sequence[float]) -> Column:
     """2i for values strictly between cut i-1 and cut i, 2i+1 on cut i, NULL for NaN and infinities."""
-    below = reduce(lambda a, b: a + b, [F.when(x > c, 2).when(x == c, 1).otherwise(0) for c in cuts], F.lit(0))
+    below = balanced(add, [F.when(x > c, 2).when(x == c, 1).otherwise(0) for c in cuts])
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), below.cast("double"))
 
 
