@@ -93,10 +93,19 @@ def load_rules(spark: SparkSession, path: str) -> RuleArtifact:
     return RuleArtifact(spark.read.parquet(f"{path}/rules"), meta["n_classes"], meta["default_label"], list(meta["features"]), prior)
 
 
+def rule_file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files at a path, folder or glob, empty files included (scans skip those)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for top in fs.globStatus(root) or [] for s in (fs.listStatus(top.getPath()) if top.isDirectory() else [top])]
+    names = [s.getPath().getName() for s in found if not s.isDirectory()]
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
 def count_rules_by_file(spark: SparkSession, path: str) -> DataFrame:
     """(file, rules): lines starting with `class`, whatever the case, BOM, NUL characters or line ends; 0 for files without any."""
     name = lambda c: F.element_at(F.split(c, "/"), -1)
-    files = spark.read.format("binaryFile").load(path).select(name(F.col("path")).alias("file"))
+    files = spark.createDataFrame([(n,) for n in rule_file_names(spark, path)], "file string")
     clean = F.regexp_replace("value", "[\\x{FEFF}\\x{0000}]", "")
     hits = spark.read.text(path).where(clean.rlike(r"(?i)^\s*class\s+")).groupBy(name(F.col("_metadata.file_path")).alias("file")).agg(F.count("*").alias("n"))
     return files.join(hits, "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("rules"))
