@@ -217,16 +217,13 @@ def b13_dataset_profile(spark, sf_dir):
 def _numeric_schema_sql(t: str, c: str, whole: bool) -> str:
     step = "1.0::DOUBLE" if whole else f"greatest((max({c}) - min({c})) / 100.0, 0.01)"
     return (
-        f"SELECT '{c}' AS feature, 'numeric' AS kind, NULL AS choices, min({c})::DOUBLE AS \"min\", max({c})::DOUBLE AS \"max\", "
+        f"SELECT '{c}' AS feature, 'numeric' AS kind, NULL AS choice, min({c})::DOUBLE AS \"min\", max({c})::DOUBLE AS \"max\", "
         f"quantile_cont({c}, 0.5)::DOUBLE AS \"default\", {step} AS step FROM {t}"
     )
 
 
 def _choice_schema_sql(t: str, c: str) -> str:
-    return (
-        f"SELECT '{c}', 'categorical', string_agg(v, '|' ORDER BY v), NULL, NULL, NULL, NULL "
-        f"FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM {t})"
-    )
+    return f"SELECT DISTINCT '{c}', 'categorical', {c}::VARCHAR, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM {t}"
 
 
 @query(
@@ -252,9 +249,8 @@ def b15_infer_feature_schema(spark, sf_dir):
 
 @query(
     "b15_schema_of_model",
-    """SELECT 1 AS position, 'o_orderpriority' AS feature, 'categorical' AS kind,
-              string_agg(v, '|' ORDER BY v) AS choices FROM (SELECT DISTINCT o_orderpriority AS v FROM orders)
-       UNION ALL SELECT 0, 'o_totalprice', 'numeric', NULL""",
+    """SELECT 1 AS position, 'o_orderpriority' AS feature, 'categorical' AS kind, (row_number() OVER (ORDER BY v) - 1)::INTEGER AS code, v AS choice
+       FROM (SELECT DISTINCT o_orderpriority AS v FROM orders) UNION ALL SELECT 0, 'o_totalprice', 'numeric', NULL, NULL""",
 )
 def b15_schema_of_model(spark, sf_dir):
     dim = P.value_dictionary(table(spark, sf_dir, "orders"), ["o_orderpriority"])

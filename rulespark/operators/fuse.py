@@ -16,6 +16,10 @@ from rulespark.rules import OMEGA_FLOOR, RuleSet
 from rulespark.session import small_side
 
 
+# Rules matched before their sums are added up, to bound the memory of one Arrow batch.
+RULES_PER_BLOCK = 128
+
+
 def log_ratios(rule) -> list[float]:
     *singles, omega = rule.safe_mass
     return [float(np.log1p(m / omega)) for m in singles]
@@ -79,10 +83,14 @@ def _evidence_batches(df: DataFrame, rules: RuleSet, omegas: list[float], tables
         labels = np.array([-1 if r.label is None else r.label for r in rules], dtype=np.int32)
         for batch in batches:
             n = batch.num_rows
-            hits = np.stack(list(batch_matrix(batch, rules)), axis=1)
-            sums = hits.astype(np.float64) @ weights
-            voting = hits & (labels >= 0)
-            first = np.where(voting.any(axis=1), labels[voting.argmax(axis=1)], -1).astype(np.int32)
+            sums, first, block = np.zeros((n, weights.shape[1])), np.full(n, -1, dtype=np.int32), []
+            for i, hit in enumerate(batch_matrix(batch, rules)):
+                block.append(hit)
+                if labels[i] >= 0:
+                    first[hit & (first < 0)] = labels[i]
+                if len(block) == RULES_PER_BLOCK or i == len(rules) - 1:
+                    sums += np.stack(block, axis=1).astype(np.float64) @ weights[i + 1 - len(block) : i + 1]
+                    block = []
             columns = [pa.array(sums[:, 0].astype(np.int32)), pa.array(sums[:, 1]), pa.array(first, mask=first < 0)]
             at = 2
             for name in names:

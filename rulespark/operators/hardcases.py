@@ -274,18 +274,20 @@ def evaluate_subsets(df: DataFrame, rules: RuleSet, subset: Column, *, y: str =
     k = rules.n_classes
     rows = with_fired(df.select(subset.alias("part"), F.col(y).alias("y"), *rules.features), rules)
     rows = fuse_yager_from(with_evidence(rows, rules), rules)
-    masses = {"vote": vote_vec(k), "dempster": dempster_vec(k), "yager": M.unpack(F.col("yager"), k + 1)}
+    # The fused masses become columns first: a generator evaluates its expression without sharing subterms.
     ranking = {"vote": "evidence.votes", "dempster": "evidence.log_ratio", "yager": "yager"}
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("method"), M.argmax(M.unpack(F.col(ranking[name]), k)).alias("pred"),
-                F.array(*M.pignistic(m)).alias("proba"),
-                (F.lit(None).cast("double") if name == "vote" else m[-1]).alias("unc_comb"),
-            )
-            for name, m in masses.items()
-        ]
+    rows = rows.select(
+        "part", "y", *[M.argmax(M.unpack(F.col(c), k)).alias(f"pred_{m}") for m, c in ranking.items()],
+        F.array(*vote_vec(k)).alias("vote"), F.array(*dempster_vec(k)).alias("dempster"), "yager",
     )
+    cells = []
+    for method in ranking:
+        m = M.unpack(F.col(method), k + 1)
+        omega = F.lit(None).cast("double") if method == "vote" else m[-1]
+        cells.append(
+            F.struct(F.lit(method).alias("method"), F.col(f"pred_{method}").alias("pred"), F.array(*M.pignistic(m)).alias("proba"), omega.alias("unc_comb"))
+        )
+    cells = F.array(*cells)
     fanned = unnest(rows, ["part", "y"], cells, "m").select("part", "y", "m.*")
     fanned = unnest(fanned, ["y", "method", "pred", "proba", "unc_comb"], F.array(F.lit("full"), F.col("part")), "subset")
     out = metrics.compute_metrics(fanned, k, ["subset", "method"], labels=list(range(k)), closed="right")

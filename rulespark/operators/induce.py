@@ -122,13 +122,18 @@ def label_value_counts(task: Task, positive: Column) -> DataFrame:
     """Rows and positives per feature and distinct value, with the label of the first and last row in key order."""
     cells = task.rows.select(*task.key, positive.alias("is_pos"), *task.numeric)
     cells = O.finite_only(melt(cells, [*task.key, "is_pos"], task.numeric))
-    order = F.struct(*task.key)
+    # One long orders the rows, so that the aggregation buffer stays fixed-width and hash aggregation applies.
+    order = F.col(task.key[0]) if _one_number(task) else F.xxhash64(*task.key)
     return cells.groupBy("feature", "value").agg(
         F.count("*").alias("n"), F.count_if("is_pos").alias("pos"),
         F.min_by("is_pos", order).alias("first_pos"), F.max_by("is_pos", order).alias("last_pos"),
     )
 
 
+def _one_number(task: Task) -> bool:
+    return len(task.key) == 1 and dict(task.rows.dtypes)[task.key[0]] in ("int", "bigint")
+
+
 def _positive_quantiles(qs: Sequence[float]) -> list[Column]:
     return O.quantile_columns(qs, weight="pos", prefix="b")
 
@@ -379,11 +384,15 @@ def induce_class(task: Task, cls: int, sizes: dict[int, int], cfg: InductionConf
                 left -= counts.remaining[k - 1]
                 added, failures = added + 1, 0
                 if len(pending) >= cfg.checkpoint_every:
-                    rows = rows.withColumn("covered", F.col("covered") | any_rule_holds(pending)).checkpoint()
-                    pending = []
+                    # Written to the shared checkpoint folder: the covered flags survive lost executors and
+                    # the predicates of the rules behind them leave the plan.
+                    fresh = rows.withColumn("covered", F.col("covered") | any_rule_holds(pending)).checkpoint().persist()
+                    rows.unpersist()
+                    rows, pending = fresh, []
             else:
                 # FOIL draws nothing at random: the same attempt would fail again.
                 failures = cfg.max_failures if cfg.algo == "foil" else failures + 1
+    rows.unpersist()
     return rules
 
 

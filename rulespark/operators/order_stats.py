@@ -107,39 +107,39 @@ def row_hash(key: Sequence[str], seed: int) -> Column:
     return F.xxhash64(*key, F.lit(seed))
 
 
-def hash_cuts(df: DataFrame, group: str, key: Sequence[str], wanted: dict, seed: int) -> dict:
-    """Per group the row-hash value below or at which exactly `wanted[group]` rows lie.
+def hash_cuts(df: DataFrame, group: str, key: Sequence[str], wanted: dict, seed: int, *, rank_at_most: int = 200_000) -> dict:
+    """Per group the row-hash value at or below which exactly `wanted[group]` rows lie.
 
-    One pass counts rows per hash bucket, a second one ranks only the bucket holding the cut, so no
-    row is moved. Keys must be unique.
+    Every pass counts rows per slice of the hash range and keeps the slice holding the cut, until few
+    enough rows are left to rank; no row of the table is moved. Keys must be unique.
     """
-    width = 2**64 // HASH_BUCKETS
-    h = row_hash(key, seed)
-    bucket = F.floor(h / F.lit(float(width))).cast("int")
-    keyed = df.select(F.col(group).alias("g"), h.alias("h"), bucket.alias("b"))
-    counts = {}
-    for r in keyed.groupBy("g", "b").count().collect():
-        counts.setdefault(r["g"], []).append((r["b"], r["count"]))
-    cuts, inside = {}, {}
-    for g, k in wanted.items():
-        if k <= 0:
-            cuts[g] = None
-            continue
-        seen = 0
-        for b, n in sorted(counts.get(g, [])):
-            if seen + n >= k:
-                inside[g] = (b, k - seen)
-                break
-            seen += n
-        else:
-            cuts[g] = 2**63 - 1
-    if inside:
-        spots = " OR ".join(f"(g <=> {_sql(g)} AND b = {b})" for g, (b, _) in inside.items())
-        rank = F.row_number().over(Window.partitionBy("g", "b").orderBy("h"))
-        ranked = keyed.where(spots).withColumn("r", rank)
-        ends = " OR ".join(f"(g <=> {_sql(g)} AND r = {k})" for g, (_, k) in inside.items())
-        for r in ranked.where(ends).collect():
-            cuts[r["g"]] = r["h"]
+    rows = df.select(F.col(group).alias("g"), row_hash(key, seed).alias("h"))
+    cuts = {g: None for g, k in wanted.items() if k <= 0}
+    # open: group -> (filter of the slice that holds the cut, rows still wanted inside it)
+    spans = {g: (f"g <=> {_sql(g)}", k) for g, k in wanted.items() if k > 0}
+    for bits in (52, 40, 28, 16, 4, 0):
+        if not spans:
+            break
+        inside = rows.where(" OR ".join(f"({where})" for where, _ in spans.values()))
+        counts: dict = {}
+        for r in inside.groupBy("g", F.shiftright("h", bits).alias("b")).count().collect():
+            counts.setdefault(r["g"], []).append((r["b"], r["count"]))
+        ready, fresh = {}, {}
+        for g, (_, k) in spans.items():
+            for b, n in sorted(counts.get(g, [])):
+                if k <= n:
+                    slice_ = (f"g <=> {_sql(g)} AND shiftright(h, {bits}) = {b}", k)
+                    (ready if n <= rank_at_most or bits == 0 else fresh)[g] = slice_
+                    break
+                k -= n
+            else:
+                cuts[g] = 2**63 - 1
+        if ready:
+            rank = F.row_number().over(Window.partitionBy("g").orderBy("h"))
+            ranked = rows.where(" OR ".join(f"({where})" for where, _ in ready.values())).withColumn("r", rank)
+            ends = " OR ".join(f"(g <=> {_sql(g)} AND r = {k})" for g, (_, k) in ready.items())
+            cuts.update({r["g"]: r["h"] for r in ranked.where(ends).collect()})
+        spans = fresh
     return cuts
 
 

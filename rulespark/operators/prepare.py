@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rulespark.operators import order_stats as O
 from rulespark.operators.activate import melt
-from rulespark.session import small_side
+from rulespark.session import ensure_checkpoint_dir, small_side
 
 ID_WORDS = ("id", "uid", "identifier")
 # Preferred label names, fixed values.
@@ -133,6 +133,9 @@ def value_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, code, value): every distinct string of a column with its rank, 0-based."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns]))
     values = df.select(pairs.alias("p")).select("p.feature", "p.value").where("value IS NOT NULL").distinct()
+    # Written once: every column's join reads the dictionary, not the table it came from.
+    ensure_checkpoint_dir(df.sparkSession)
+    values = values.checkpoint()
     size = values.count()
     if size <= O.ONE_WINDOW_MAX:
         code = F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1
@@ -185,7 +188,7 @@ def encode_categoricals(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 def encode_outliers(df: DataFrame, label: str, label_dim: DataFrame, value_dim: DataFrame, categorical: Sequence[str]) -> DataFrame:
     """Apply trained codes to new rows: rows with an unknown label go, helper columns go, the rest turns numeric."""
-    known = F.broadcast(label_dim.select("y", F.trim(F.col("label_value").cast("string")).alias("_lv")))
+    known = small_side(label_dim.select("y", F.trim(F.col("label_value").cast("string")).alias("_lv")))
     rows = df.join(known, F.trim(F.col(label).cast("string")) == F.col("_lv")).drop("_lv", label, "sample_idx")
     rows = rows.drop(*[c for c in rows.columns if c.startswith("__")])
     numeric = [c for c in rows.columns if c not in categorical and c != "y"]
@@ -307,7 +310,8 @@ def dataset_profile(df: DataFrame, features: Sequence[str], label: str = "y", *,
 
 
 def infer_feature_schema(df: DataFrame, features: Sequence[str], *, max_choices: int = 12, buckets: int | None = None) -> DataFrame:
-    """One row per feature: kind, sorted choices, min, max, default (median) and step."""
+    """Feature kinds: for a numeric feature one row with min, max, default (median) and step, for a
+    categorical one a row per choice. Choices stay rows, as a text column may have any number of them."""
     texts = [c for c in features if c in _fields(df, (T.StringType, T.BooleanType))]
     numbers = [c for c in features if c not in texts]
     counts = small_distinct_counts(df, numbers, max_choices)
@@ -318,10 +322,10 @@ def infer_feature_schema(df: DataFrame, features: Sequence[str], *, max_choices:
         texts += [c for c in numbers if whole[c] and counts[c] <= max_choices]
         numbers = [c for c in numbers if c not in texts]
     if numbers:
-        cells = melt(df, [], numbers)
-        cells = O.value_counts(O.finite_only(cells), ["feature"])
+        cells = O.value_counts(O.finite_only(melt(df, [], numbers)), ["feature"])
         if buckets is None:
-            buckets = O.buckets_for(max(r["count"] for r in cells.groupBy("feature").count().collect()))
+            sizes = df.agg(*[F.approx_count_distinct(c) for c in numbers]).first()
+            buckets = O.buckets_for(max(sizes))
         runs = O.running(cells, ["feature"], sums=["n"], buckets=buckets)
         stats = runs.groupBy("feature").agg(
             F.min("value").alias("min"), F.max("value").alias("max"), *O.quantile_columns([0.5], prefix="median")
@@ -330,19 +334,15 @@ def infer_feature_schema(df: DataFrame, features: Sequence[str], *, max_choices:
         step = F.when(is_whole, 1.0).otherwise(F.greatest((F.col("max") - F.col("min")) / 100.0, F.lit(0.01)))
         parts.append(
             stats.select(
-                "feature", F.lit("numeric").alias("kind"), F.lit(None).cast("string").alias("choices"), "min", "max",
+                "feature", F.lit("numeric").alias("kind"), F.lit(None).cast("string").alias("choice"), "min", "max",
                 F.col("median0").alias("default"), step.alias("step"),
             )
         )
     if texts:
-        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in texts]))
-        values = df.select(pairs.alias("p")).select("p.*").where("value IS NOT NULL").distinct()
-        parts.append(
-            values.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("choices")).select(
-                "feature", F.lit("categorical").alias("kind"), "choices",
-                *[F.lit(None).cast("double").alias(c) for c in ("min", "max", "default", "step")],
-            )
-        )
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("choice")) for c in texts]))
+        values = df.select(pairs.alias("p")).select("p.*").where("choice IS NOT NULL").distinct()
+        nothing = [F.lit(None).cast("double").alias(c) for c in ("min", "max", "default", "step")]
+        parts.append(values.select("feature", F.lit("categorical").alias("kind"), "choice", *nothing))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -350,14 +350,11 @@ def infer_feature_schema(df: DataFrame, features: Sequence[str], *, max_choices:
 
 
 def feature_schema_of_model(spark, features: Sequence[str], value_dim: DataFrame) -> DataFrame:
-    """The same table from a trained model: features with a dictionary are categorical, others open numeric."""
+    """The same from a trained model: a row per dictionary entry, or one row for an open numeric feature."""
     names = spark.createDataFrame([(i, f) for i, f in enumerate(features)], "position int, feature string")
-    choices = value_dim.groupBy("feature").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("code", "value"))), lambda p: p["value"]).alias("choices")
-    )
-    return names.join(choices, "feature", "left").select(
-        "position", "feature", F.when(F.col("choices").isNull(), "numeric").otherwise("categorical").alias("kind"),
-        F.array_join("choices", "|").alias("choices"),
+    return names.join(value_dim, "feature", "left").select(
+        "position", "feature", F.when(F.col("code").isNull(), "numeric").otherwise("categorical").alias("kind"), "code",
+        F.col("value").alias("choice"),
     )
 
 

@@ -66,6 +66,8 @@ def test_exact_draws(spark):
     assert {r["id"] for r in split.where("part = 'test'").collect()} == {r["id"] for r in again.where("part = 'test'").collect()}
     up = P.upsample_minority(df, ["id"], target=0.4)
     assert up.where("y = 1").count() == round(0.4 * 1000 / 0.6) and up.where("y = 0").count() == 857
+    cuts = O.hash_cuts(df, "y", ["id"], {0: 300, 1: 0}, 5, rank_at_most=3)
+    assert df.where(O.below_cut("y", ["id"], 5, cuts)).count() == 300
     numbered = O.number_rows(df, ["id"], 3, buckets=16)
     assert sorted(r["idx"] for r in numbered.collect()) == list(range(1000))
     assert P.train_val_split(df, ["id"], val_split=1.0).where("is_val").count() == 999
