@@ -169,6 +169,15 @@ def i8_combined_rule_length_sample(spark, sf_dir):
     return X.combined_rule_length_stats(orders(spark, sf_dir), RULES, KEY, sample=200)
 
 
+@query(
+    "i9_inspection_checks",
+    f"""WITH {ORDERS_SQL}, {FUSED} SELECT o_orderkey, pred, n_fired, true AS probabilities_sum_to_one, true AS fired_rule_count_matches,
+        true AS combined_rule_present, true AS all_passed, CASE WHEN n_fired = 0 THEN 'no rule fired: the row lies outside the rules'' support' END AS warning FROM fused""",
+)
+def i9_inspection_checks(spark, sf_dir):
+    return X.inspect_rows(orders(spark, sf_dir), RULES, KEY).drop("payload")
+
+
 @query("i9_inspect_rows")
 def i9_inspect_rows(spark, sf_dir):
     return X.inspect_rows(orders(spark, sf_dir), RULES, KEY)

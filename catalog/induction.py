@@ -250,6 +250,13 @@ def d8_threshold_proposals_bucketed(spark, sf_dir):
     return rounded(I.threshold_proposals(t, F.col("y") == 1, CFG), 4)
 
 
+@query("d8_threshold_proposals_refined", rounded_sql(f"WITH {PROPOSALS} SELECT * FROM pr", "threshold", 4))
+def d8_threshold_proposals_refined(spark, sf_dir):
+    t = I.place_in_buckets(task(spark, sf_dir), 64)
+    rows = [(r["feature"], r["kind"], r["rank"], r["threshold"]) for r in I.refined_proposals(t, F.col("y") == 1, CFG)]
+    return rounded(spark.createDataFrame(rows, "feature string, kind int, rank int, threshold double"), 4)
+
+
 @query("d8_numeric_candidates", rounded_sql(f"WITH {PROPOSALS} SELECT feature, pos, threshold FROM ca", "threshold", 4))
 def d8_numeric_candidates(spark, sf_dir):
     cuts = I.numeric_candidates(task(spark, sf_dir), F.col("y") == 1, CFG)

@@ -59,15 +59,29 @@ def b3_drop_excluded(spark, sf_dir):
     return P.drop_excluded(table(spark, sf_dir, "customer"), "Customer", {"customer": ("c_name", "c_mktsegment")})
 
 
-@query("b4_pick_label")
+LABEL_TABLES = {
+    "embeddings": ["vec_id", "label"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "lineitem": ["l_quantity", "l_returnflag", "l_linestatus", "l_tax"],
+    "orders": ["o_totalprice", "o_orderpriority", "o_orderstatus"],
+    "part": ["p_retailprice", "p_partkey"],
+}
+_FLOAT_COLUMNS = ("l_quantity", "l_tax", "o_totalprice", "p_retailprice")
+_LABEL_FACTS = " UNION ALL ".join(
+    f"SELECT '{t}' AS tbl, '{c}' AS col, {i} AS pos, {c == 'label'} AS named, {c in _FLOAT_COLUMNS} AS is_float, count(*) AS nd, "
+    f"abs(max(n) / sum(n) - 0.5) AS imbalance FROM (SELECT {c}, count(*) AS n FROM {t} GROUP BY 1)"
+    for t, cols in LABEL_TABLES.items() for i, c in enumerate(cols)
+)
+
+
+@query(
+    "b4_pick_label",
+    f"""WITH f AS ({_LABEL_FACTS}), k AS (SELECT *, CASE WHEN named THEN 0 WHEN nd = 2 AND NOT is_float THEN 1 WHEN nd BETWEEN 2 AND 10 THEN 2 ELSE 3 END AS kind FROM f)
+        SELECT tbl, col AS label FROM (SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY kind, CASE WHEN kind = 1 THEN imbalance ELSE 0 END,
+               CASE WHEN kind <= 1 THEN pos ELSE -pos END) AS r FROM k) WHERE r = 1""",
+)
 def b4_pick_label(spark, sf_dir):
-    picks = {
-        "embeddings": table(spark, sf_dir, "embeddings").select("vec_id", "label"),
-        "labels": table(spark, sf_dir, "labels"),
-        "lineitem": table(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus", "l_tax"),
-        "orders": table(spark, sf_dir, "orders").select("o_totalprice", "o_orderpriority", "o_orderstatus"),
-        "part": table(spark, sf_dir, "part").select("p_retailprice", "p_partkey"),
-    }
+    picks = {t: table(spark, sf_dir, t).select(*cols) for t, cols in LABEL_TABLES.items()}
     return spark.createDataFrame([(t, P.pick_label(df)) for t, df in picks.items()], "tbl string, label string")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulespark.functions import mass as M
 from rulespark.functions.arrays import unnest
@@ -182,8 +182,8 @@ def bucket_summary(flagged: DataFrame, n_classes: int, by: Sequence[str] = ("dat
 
     quality = got.select("*", *[v.alias(f"{m}_{k}") for m in _PREDS for k, v in scores(m).items()])
     delta = lambda a, b, k: (F.col(f"{a}_{k}") - F.col(f"{b}_{k}"))
-    totals = quality.where("bucket = 'all_test'").select(*by, F.col("n_samples").alias("all_rows"))
-    out = quality.join(F.broadcast(totals), list(by)) if by else quality.withColumn("all_rows", F.max("n_samples").over(_whole()))
+    group = Window.partitionBy(*by)  # the ten bucket rows of a group
+    out = quality.withColumn("all_rows", F.max(F.when(F.col("bucket") == "all_test", F.col("n_samples"))).over(group))
     return out.select(
         *by, "bucket", "n_samples", (F.col("n_samples") / F.col("all_rows")).alias("share_of_test"),
         *[f"weighted_vote_{k}" for k in ("acc", "macro_f1", "precision", "recall")], "first_hit_acc", "first_hit_macro_f1",
@@ -196,12 +196,6 @@ def bucket_summary(flagged: DataFrame, n_classes: int, by: Sequence[str] = ("dat
     )
 
 
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()  # over the ten bucket rows
-
-
 PROFILE_COLUMNS = (
     "n_samples", "share_of_test", "delta_acc_vs_weighted", "delta_macro_f1_vs_weighted", "delta_rf_acc_vs_weighted",
     "delta_rf_macro_f1_vs_weighted", "delta_dsgd_acc_vs_rf", "delta_dsgd_macro_f1_vs_rf", "weighted_vote_fix_count",

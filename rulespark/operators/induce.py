@@ -9,11 +9,13 @@ already covers is recomputed from the rules, and written to a checkpoint every f
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rulespark.functions import gain
 from rulespark.functions.arrays import balanced
@@ -25,6 +27,8 @@ from rulespark.rules import Rule, RuleSet, default_caption
 from rulespark.session import ensure_checkpoint_dir
 
 MAX_SLOTS = 64
+# Buckets per numeric feature when its distinct values are too many for one window.
+BUCKETS = 512
 
 # Precision tiers, strict to loose: (min_precision, max_literals, min_literals). Fixed values.
 TIERS = ((0.80, 8, 2), (0.60, 6, 1), (0.40, 5, 1), (0.20, 4, 1))
@@ -65,6 +69,7 @@ class Task:
     features: tuple[str, ...]
     kinds: dict[str, str]
     buckets: int = 1
+    placed: bool = False  # rows carry a bucket column per numeric feature
     categorical: tuple[str, ...] = field(init=False)
     numeric: tuple[str, ...] = field(init=False)
 
@@ -96,25 +101,33 @@ def threshold_proposals(task: Task, positive: Column, cfg: InductionConfig, *, c
     """
     counts = label_value_counts(task, positive) if counts is None else counts
     runs = O.running(counts, ["feature"], leads=["first_pos"], buckets=task.buckets)
+    return _proposals_from(runs, cfg).drop("gain")
+
+
+def _proposals_from(runs: DataFrame, cfg: InductionConfig) -> DataFrame:
+    """Proposals from running counts; rows with `own` false only lend their value to their predecessor."""
+    own = F.col("own") if "own" in runs.columns else F.lit(True)
     flat = lambda prefix, kind: F.array(
         *[F.struct(F.lit(kind).alias("kind"), F.lit(i + 1).alias("rank"), F.col(f"{prefix}{i}").alias("threshold")) for i in range(len(cfg.quantiles))]
     )
-    quants = runs.groupBy("feature").agg(
+    quants = runs.where(own).groupBy("feature").agg(
         *O.quantile_columns(cfg.quantiles, prefix="a"),
         *_positive_quantiles(cfg.quantiles),
     )
-    quants = quants.select("feature", F.explode(F.concat(flat("a", 0), flat("b", 1))).alias("q")).select("feature", "q.*")
+    quants = quants.select("feature", F.explode(F.concat(flat("a", 0), flat("b", 1))).alias("q")).select(
+        "feature", "q.*", F.lit(None).cast("double").alias("gain")
+    )
     n = F.col("cum_n").cast("double")
     g = gain.gini_gain(n, F.col("cum_pos").cast("double"), F.col("all_n").cast("double"), F.col("all_pos").cast("double"))
     kinds = F.when(F.col("last_pos") != F.col("next_first_pos"), F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(3)))
-    mids = runs.where("next_value IS NOT NULL AND next_value - value > 1e-12").select(
+    mids = runs.where(own & F.expr("next_value IS NOT NULL AND next_value - value > 1e-12")).select(
         "feature", ((F.col("value") + F.col("next_value")) * 0.5).alias("threshold"), F.round(g, 12).alias("gain"), F.explode(kinds).alias("kind"),
     )
     # row_number <= k is pushed below the shuffle as a per-partition limit
     best = Window.partitionBy("feature", "kind").orderBy(F.desc("gain"), F.abs("threshold"), "threshold")
     ranked = mids.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(cfg.midpoint_limit, cfg.stump_limit))
     ranked = ranked.where(F.col("rank") <= F.when(F.col("kind") == 2, cfg.midpoint_limit).otherwise(cfg.stump_limit))
-    found = quants.unionByName(ranked.select("feature", "kind", "rank", "threshold"))
+    found = quants.unionByName(ranked.select("feature", "kind", "rank", "threshold", "gain"))
     return found.where("threshold IS NOT NULL")
 
 
@@ -122,12 +135,16 @@ def label_value_counts(task: Task, positive: Column) -> DataFrame:
     """Rows and positives per feature and distinct value, with the label of the first and last row in key order."""
     cells = task.rows.select(*task.key, positive.alias("is_pos"), *task.numeric)
     cells = O.finite_only(melt(cells, [*task.key, "is_pos"], task.numeric))
+    return cells.groupBy("feature", "value").agg(*_value_sums(task))
+
+
+def _value_sums(task: Task) -> list[Column]:
     # One long orders the rows, so that the aggregation buffer stays fixed-width and hash aggregation applies.
     order = F.col(task.key[0]) if _one_number(task) else F.xxhash64(*task.key)
-    return cells.groupBy("feature", "value").agg(
+    return [
         F.count("*").alias("n"), F.count_if("is_pos").alias("pos"),
         F.min_by("is_pos", order).alias("first_pos"), F.max_by("is_pos", order).alias("last_pos"),
-    )
+    ]
 
 
 def _one_number(task: Task) -> bool:
@@ -142,10 +159,16 @@ def numeric_candidates(task: Task, positive: Column, cfg: InductionConfig) -> di
     """Ordered thresholds per numeric feature: proposals in precedence order, equal to 12 digits once, capped."""
     if not task.numeric:
         return {}
+    if task.placed:
+        return _ordered_thresholds(task, refined_proposals(task, positive, cfg), cfg)
     # Both branches of the proposals read the value counts, the one wide shuffle of a rule.
     counts = label_value_counts(task, positive).persist()
     rows = threshold_proposals(task, positive, cfg, counts=counts).collect()
     counts.unpersist()
+    return _ordered_thresholds(task, rows, cfg)
+
+
+def _ordered_thresholds(task: Task, rows: Sequence, cfg: InductionConfig) -> dict[str, list[float]]:
     out: dict[str, list[float]] = {f: [] for f in task.numeric}
     seen = set()
     for r in sorted(rows, key=lambda r: (r["feature"], r["kind"], r["rank"])):
@@ -156,6 +179,153 @@ def numeric_candidates(task: Task, positive: Column, cfg: InductionConfig) -> di
     return out
 
 
+# --- the same proposals on many rows: count buckets first, look into few of them ---
+
+
+def place_in_buckets(task: Task, n_buckets: int) -> Task:
+    """task with an int column per numeric feature: its bucket between approximate quantiles, found once per row."""
+    cuts = [i / n_buckets for i in range(1, n_buckets)]
+    finite = {f: F.when(~F.isnan(f) & (F.abs(f) < float("inf")), F.col(f)) for f in task.numeric}
+    row = task.rows.agg(*[F.percentile_approx(finite[f], cuts, 10_000).alias(f) for f in task.numeric]).first()
+    bounds = {f: np.unique(np.array(row[f] or [], dtype=float)) for f in task.numeric}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for f, at in bounds.items():
+                x = batch.column(batch.schema.get_field_index(f)).to_numpy(zero_copy_only=False)
+                found.append(pa.array(np.searchsorted(at, x).astype(np.int32), mask=~np.isfinite(x)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *[_bucket(f) for f in bounds]])
+
+    schema = T.StructType([*task.rows.schema.fields, *[T.StructField(_bucket(f), T.IntegerType()) for f in bounds]])
+    return Task(task.rows.mapInArrow(place, schema), task.key, task.features, task.kinds, task.buckets, True)
+
+
+def _bucket(feature: str) -> str:
+    return f"_bucket_{feature}"
+
+
+def _bucket_cells(task: Task, positive: Column) -> DataFrame:
+    cells = F.array(
+        *[F.struct(F.lit(f).alias("feature"), F.col(_bucket(f)).alias("bucket"), F.col(f).alias("value")) for f in task.numeric]
+    )
+    rows = task.rows.select(*task.key, positive.alias("is_pos"), F.explode(cells).alias("c"))
+    return rows.select(*task.key, "is_pos", "c.*").where("bucket IS NOT NULL")
+
+
+@dataclass
+class BucketTable:
+    """Per bucket of one feature: rows, positives, smallest value, totals before it and what it can hold."""
+
+    ids: list[int]
+    n: np.ndarray
+    pos: np.ndarray
+    low: np.ndarray
+    before_n: np.ndarray = field(init=False)
+    before_pos: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.before_n, self.before_pos = np.cumsum(self.n) - self.n, np.cumsum(self.pos) - self.pos
+
+    def gain(self, left_n, left_pos) -> np.ndarray:
+        size, hits = self.n.sum(), self.pos.sum()
+        mixed = lambda p, n: np.divide(2.0 * p * (n - p), n, out=np.zeros(np.shape(n)), where=np.asarray(n) > 0)
+        return (mixed(hits, np.float64(size)) - mixed(left_pos, left_n) - mixed(hits - left_pos, size - left_n)) / size
+
+    def best_possible(self) -> np.ndarray:
+        """Upper bound of the Gini gain of any split after a value of the bucket.
+
+        The gain is convex in the positives and negatives on the left, so its maximum over what the
+        bucket can contribute is at one of the four corners.
+        """
+        neg = self.n - self.pos
+        corners = [(self.before_n + a + b, self.before_pos + a) for a in (0 * self.pos, self.pos) for b in (0 * neg, neg)]
+        return np.max([self.gain(n.astype(float), p.astype(float)) for n, p in corners], axis=0)
+
+    def ends(self) -> np.ndarray:
+        """Gain of the split after each bucket's last value; the last bucket has none."""
+        return self.gain((self.before_n + self.n)[:-1].astype(float), (self.before_pos + self.pos)[:-1].astype(float))
+
+    def can_change(self) -> np.ndarray:
+        """Whether the label can change between two values starting in the bucket: not inside pure runs."""
+        pure = np.where(self.pos == 0, 0, np.where(self.pos == self.n, 1, 2))
+        after = np.append(pure[1:], pure[-1:])
+        return (pure == 2) | (pure != after)
+
+    def holding(self, qs: Sequence[float]) -> set[int]:
+        """Buckets holding the values a quantile interpolates between, among all rows and among the positives."""
+        out = set()
+        for counts in (self.n, self.pos):
+            total = counts.sum()
+            if total:
+                ranks = [r for q in qs for r in (np.floor(q * (total - 1)), min(np.floor(q * (total - 1)) + 1, total - 1))]
+                out.update(np.searchsorted(np.cumsum(counts), ranks, side="right").tolist())
+        return out
+
+
+def refined_proposals(task: Task, positive: Column, cfg: InductionConfig) -> list:
+    """The rows of `threshold_proposals`, exactly, without shuffling every distinct value.
+
+    Buckets are counted map-side; distinct values are then counted only inside buckets that hold a
+    quantile or can hold one of the best midpoints. Looked-into buckets grow until no other bucket's
+    upper bound reaches the midpoints found.
+    """
+    sums = _bucket_cells(task, positive).groupBy("feature", "bucket").agg(
+        F.count("*").alias("n"), F.count_if("is_pos").alias("pos"), F.min("value").alias("low")
+    )
+    got: dict[str, list] = {}
+    for r in sums.collect():
+        got.setdefault(r["feature"], []).append((r["bucket"], r["n"], r["pos"], r["low"]))
+    tables, chosen = {}, {}
+    for f, rows in got.items():
+        ids, n, pos, low = zip(*sorted(rows))
+        t = tables[f] = BucketTable(list(ids), np.array(n), np.array(pos), np.array(low))
+        bound, ends = t.best_possible(), np.sort(t.ends())[::-1]
+        floor = ends[cfg.stump_limit - 1] if len(ends) >= cfg.stump_limit else -np.inf
+        chosen[f] = t.holding(cfg.quantiles) | set(np.flatnonzero(bound >= floor - 1e-9).tolist())
+        change = np.flatnonzero(t.can_change())
+        chosen[f] |= set(change[np.argsort(-bound[change])][:4].tolist())
+    while True:
+        found = _proposals_from(_refined_runs(task, positive, tables, chosen), cfg).collect()
+        wider = False
+        for f, t in tables.items():
+            best = sorted((r["gain"] for r in found if r["feature"] == f and r["kind"] == 2), reverse=True)
+            floor = best[-1] if len(best) == cfg.midpoint_limit else -np.inf
+            missing = set(np.flatnonzero(t.can_change() & (t.best_possible() >= floor - 1e-9)).tolist()) - chosen[f]
+            if missing:
+                wider = True
+                bound = t.best_possible()
+                more = sorted(missing, key=lambda i: -bound[i])
+                chosen[f] |= set(more[: max(8, 2 * len(chosen[f]))])
+        if not wider:
+            return found
+
+
+def _refined_runs(task: Task, positive: Column, tables: dict[str, BucketTable], chosen: dict[str, set[int]]) -> DataFrame:
+    """Running counts inside the chosen buckets. A bucket also borrows the first value of the next one,
+    as the right end of its last midpoint."""
+    links = []
+    for f, t in tables.items():
+        size, hits = int(t.n.sum()), int(t.pos.sum())
+        for i in sorted(chosen[f]):
+            facts = (int(t.before_n[i]), int(t.before_pos[i]), size, hits)
+            links.append((f, t.ids[i], t.ids[i], None, *facts))
+            if i + 1 < len(t.ids):
+                links.append((f, t.ids[i + 1], t.ids[i], float(t.low[i + 1]), *facts))
+    schema = "feature string, bucket int, part int, only double, off_n bigint, off_pos bigint, all_n bigint, all_pos bigint"
+    links = F.broadcast(task.rows.sparkSession.createDataFrame(links, schema))  # at most two rows per bucket
+    cells = _bucket_cells(task, positive).join(links, ["feature", "bucket"]).where("only IS NULL OR value = only")
+    facts = ["off_n", "off_pos", "all_n", "all_pos"]
+    counts = cells.groupBy("feature", "part", "value", (F.col("bucket") == F.col("part")).alias("own"), *facts).agg(*_value_sums(task))
+    inside = Window.partitionBy("feature", "part").orderBy("value")
+    up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return counts.select(
+        "feature", "value", "own", "n", "pos", "first_pos", "last_pos", "all_n", "all_pos",
+        (F.sum("n").over(up_to) + F.col("off_n")).alias("cum_n"), (F.sum("pos").over(up_to) + F.col("off_pos")).alias("cum_pos"),
+        F.lead("value").over(inside).alias("next_value"), F.lead("first_pos").over(inside).alias("next_first_pos"),
+    )
+
+
 # --- counting ---
 
 
@@ -397,14 +567,15 @@ def induce_class(task: Task, cls: int, sizes: dict[int, int], cfg: InductionConf
 
 
 def replace_rows(task: Task, rows: DataFrame) -> Task:
-    return Task(rows, task.key, task.features, task.kinds, task.buckets)
+    return Task(rows, task.key, task.features, task.kinds, task.buckets, task.placed)
 
 
 def induce_rules(df: DataFrame, key: Sequence[str], features: Sequence[str], cfg: InductionConfig = InductionConfig(), *, label: str = "y", dictionary: Sequence[str] = ()) -> RuleSet:
     """Rules for every class, the rarest class first. Classes share the signatures and the total cap."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     task = make_task(df, key, features, label=label, dictionary=dictionary)
+    if task.numeric and task.buckets > 1:
+        task = place_in_buckets(task, max(BUCKETS, task.buckets))
     task.rows.persist()
     try:
         sizes = {r["y"]: r["count"] for r in task.rows.groupBy("y").count().collect()}
