@@ -98,8 +98,9 @@ def activate(df: DataFrame, rules: RuleSet, key: Sequence[str], *, form: str | N
 
 def melt(df: DataFrame, key: Sequence[str], features: Sequence[str], *, value: str = "value") -> DataFrame:
     """(key..., feature, value): one row per feature, values as double."""
-    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias(value)) for f in features]
-    return df.select(*key, F.explode(F.array(*pairs)).alias("cell")).select(*key, "cell.feature", f"cell.{value}")
+    names = F.array(*[F.lit(f) for f in features])
+    cells = F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("_at", value)
+    return df.select(*key, cells).select(*key, F.get(names, F.col("_at")).alias("feature"), value)
 
 
 def activate_relational(

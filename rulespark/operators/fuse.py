@@ -119,14 +119,17 @@ def vote_vec(n_classes: int, evidence: str = "evidence") -> M.Vec:
 def fold_masses(fired: Column, rules: RuleSet, pair) -> Column:
     """Ordered left fold of a pairwise rule over the fired rules; vacuous when none fired."""
     k1 = rules.n_classes + 1
-    table = F.create_map(
-        *[x for r in rules for x in (F.lit(r.rule_id).cast("int"), F.array(*[F.lit(float(v)) for v in r.mass]))]
-    )
+    vectors = [F.array(*[F.lit(float(v)) for v in r.mass]) for r in rules]
+    if [r.rule_id for r in rules] == list(range(len(rules))):
+        mass_of = lambda rid: F.get(F.array(*vectors), rid)
+    else:
+        table = F.create_map(*[x for r, m in zip(rules, vectors) for x in (F.lit(r.rule_id).cast("int"), m)])
+        mass_of = lambda rid: F.element_at(table, rid)
     vacuous = F.array(*[F.lit(0.0)] * (k1 - 1), F.lit(1.0))
     return F.aggregate(
         fired,
         vacuous,
-        lambda acc, rid: F.array(*pair(M.unpack(acc, k1), M.unpack(F.element_at(table, rid), k1))),
+        lambda acc, rid: F.array(*pair(M.unpack(acc, k1), M.unpack(mass_of(rid), k1))),
     )
 
 

@@ -28,7 +28,9 @@ from rulespark.session import ensure_checkpoint_dir
 
 MAX_SLOTS = 64
 # Buckets per numeric feature when its distinct values are too many for one window.
-BUCKETS = 512
+BUCKETS = 2048
+# Rounds of looking into a few more buckets before all that may still matter are taken at once.
+REFINE_ROUNDS = 2
 
 # Precision tiers, strict to loose: (min_precision, max_literals, min_literals). Fixed values.
 TIERS = ((0.80, 8, 2), (0.60, 6, 1), (0.40, 5, 1), (0.20, 4, 1))
@@ -205,9 +207,9 @@ def _bucket(feature: str) -> str:
     return f"_bucket_{feature}"
 
 
-def _bucket_cells(task: Task, positive: Column) -> DataFrame:
+def _bucket_cells(task: Task, positive: Column, features: Sequence[str]) -> DataFrame:
     cells = F.array(
-        *[F.struct(F.lit(f).alias("feature"), F.col(_bucket(f)).alias("bucket"), F.col(f).alias("value")) for f in task.numeric]
+        *[F.struct(F.lit(f).alias("feature"), F.col(_bucket(f)).alias("bucket"), F.col(f).alias("value")) for f in features]
     )
     rows = task.rows.select(*task.key, positive.alias("is_pos"), F.explode(cells).alias("c"))
     return rows.select(*task.key, "is_pos", "c.*").where("bucket IS NOT NULL")
@@ -270,7 +272,7 @@ def refined_proposals(task: Task, positive: Column, cfg: InductionConfig) -> lis
     quantile or can hold one of the best midpoints. Looked-into buckets grow until no other bucket's
     upper bound reaches the midpoints found.
     """
-    sums = _bucket_cells(task, positive).groupBy("feature", "bucket").agg(
+    sums = _bucket_cells(task, positive, task.numeric).groupBy("feature", "bucket").agg(
         F.count("*").alias("n"), F.count_if("is_pos").alias("pos"), F.min("value").alias("low")
     )
     got: dict[str, list] = {}
@@ -285,41 +287,44 @@ def refined_proposals(task: Task, positive: Column, cfg: InductionConfig) -> lis
         chosen[f] = t.holding(cfg.quantiles) | set(np.flatnonzero(bound >= floor - 1e-9).tolist())
         change = np.flatnonzero(t.can_change())
         chosen[f] |= set(change[np.argsort(-bound[change])][:4].tolist())
-    while True:
+    done, rounds = [], 0
+    while tables:
+        rounds += 1
         found = _proposals_from(_refined_runs(task, positive, tables, chosen), cfg).collect()
-        wider = False
-        for f, t in tables.items():
-            best = sorted((r["gain"] for r in found if r["feature"] == f and r["kind"] == 2), reverse=True)
+        for f in list(tables):
+            mine = [r for r in found if r["feature"] == f]
+            best = sorted((r["gain"] for r in mine if r["kind"] == 2), reverse=True)
             floor = best[-1] if len(best) == cfg.midpoint_limit else -np.inf
-            missing = set(np.flatnonzero(t.can_change() & (t.best_possible() >= floor - 1e-9)).tolist()) - chosen[f]
+            bound = tables[f].best_possible()
+            missing = set(np.flatnonzero(tables[f].can_change() & (bound >= floor - 1e-9)).tolist()) - chosen[f]
             if missing:
-                wider = True
-                bound = t.best_possible()
                 more = sorted(missing, key=lambda i: -bound[i])
-                chosen[f] |= set(more[: max(8, 2 * len(chosen[f]))])
-        if not wider:
-            return found
+                chosen[f] |= set(more if rounds >= REFINE_ROUNDS else more[: max(8, 2 * len(chosen[f]))])
+            else:
+                done += mine
+                del tables[f]
+    return done
 
 
 def _refined_runs(task: Task, positive: Column, tables: dict[str, BucketTable], chosen: dict[str, set[int]]) -> DataFrame:
     """Running counts inside the chosen buckets. A bucket also borrows the first value of the next one,
     as the right end of its last midpoint."""
-    links = []
+    spark = task.rows.sparkSession
+    links, facts = [], []
     for f, t in tables.items():
-        size, hits = int(t.n.sum()), int(t.pos.sum())
         for i in sorted(chosen[f]):
-            facts = (int(t.before_n[i]), int(t.before_pos[i]), size, hits)
-            links.append((f, t.ids[i], t.ids[i], None, *facts))
+            facts.append((f, t.ids[i], int(t.before_n[i]), int(t.before_pos[i]), int(t.n.sum()), int(t.pos.sum())))
+            links.append((f, t.ids[i], t.ids[i], None))
             if i + 1 < len(t.ids):
-                links.append((f, t.ids[i + 1], t.ids[i], float(t.low[i + 1]), *facts))
-    schema = "feature string, bucket int, part int, only double, off_n bigint, off_pos bigint, all_n bigint, all_pos bigint"
-    links = F.broadcast(task.rows.sparkSession.createDataFrame(links, schema))  # at most two rows per bucket
-    cells = _bucket_cells(task, positive).join(links, ["feature", "bucket"]).where("only IS NULL OR value = only")
-    facts = ["off_n", "off_pos", "all_n", "all_pos"]
-    counts = cells.groupBy("feature", "part", "value", (F.col("bucket") == F.col("part")).alias("own"), *facts).agg(*_value_sums(task))
+                links.append((f, t.ids[i + 1], t.ids[i], float(t.low[i + 1])))
+    # At most two rows per bucket and feature.
+    links = F.broadcast(spark.createDataFrame(links, "feature string, bucket int, part int, only double"))
+    facts = F.broadcast(spark.createDataFrame(facts, "feature string, part int, off_n bigint, off_pos bigint, all_n bigint, all_pos bigint"))
+    cells = _bucket_cells(task, positive, list(tables)).join(links, ["feature", "bucket"]).where("only IS NULL OR value = only")
+    counts = cells.groupBy("feature", "part", "value").agg(*_value_sums(task), F.min(F.col("bucket") == F.col("part")).alias("own"))
     inside = Window.partitionBy("feature", "part").orderBy("value")
     up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(
+    return counts.join(facts, ["feature", "part"]).select(
         "feature", "value", "own", "n", "pos", "first_pos", "last_pos", "all_n", "all_pos",
         (F.sum("n").over(up_to) + F.col("off_n")).alias("cum_n"), (F.sum("pos").over(up_to) + F.col("off_pos")).alias("cum_pos"),
         F.lead("value").over(inside).alias("next_value"), F.lead("first_pos").over(inside).alias("next_first_pos"),
@@ -357,19 +362,21 @@ def step_counts(
     numeric = [f for f in task.numeric if f not in skip and cuts.get(f)]
     categorical = [f for f in task.categorical if f not in skip]
     rows = task.rows if inside is None else task.rows.where(inside)
-    marks = [F.struct(F.lit("").alias("f"), F.lit(0.0).alias("s"))]
-    marks += [F.struct(F.lit(f).alias("f"), _slot(F.col(f), sorted(cuts[f])).alias("s")) for f in numeric]
-    marks += [F.struct(F.lit(f).alias("f"), F.col(f).alias("s")) for f in categorical]
-    cells = rows.select(positive.alias("p"), negative.alias("n"), F.explode(F.array(*marks)).alias("m"))
-    sums = cells.where("m.s IS NOT NULL").groupBy("m.f", "m.s").agg(
-        F.count_if("p").alias("p"), F.count_if("n").alias("n"), F.count("*").alias("a")
-    )
+    # Slots become columns before the fan-out: a projection compiles the many comparisons in JIT-sized
+    # pieces, a generator would interpret them.
+    slots = [_slot(F.col(f), sorted(cuts[f])) for f in numeric] + [F.col(f) for f in categorical]
+    rows = rows.select(positive.alias("p"), negative.alias("n"), *[x.alias(f"s{i}") for i, x in enumerate(slots)])
+    # Entry 0 of the fanned-out array counts the rows themselves, entry i feature i - 1.
+    names = [*numeric, *categorical]
+    marks = F.array(F.lit(0.0), *[F.col(f"s{i}") for i in range(len(names))])
+    cells = rows.select("p", "n", F.posexplode(marks).alias("f", "s")).where("s IS NOT NULL")
+    sums = cells.groupBy("f", "s").agg(F.count_if("p").alias("p"), F.count_if("n").alias("n"), F.count("*").alias("a"))
     score = gain.foil_gain(F.lit(float(base[0])), F.lit(float(base[1])), F.col("p"), F.col("n"))
     best = Window.partitionBy("f").orderBy(F.desc("score"), "s")
     got = sums.withColumn("score", score).withColumn("r", F.row_number().over(best)).where(F.col("r") <= MAX_SLOTS).collect()
     by_feature: dict[str, list] = {}
     for r in got:
-        by_feature.setdefault(r["f"], []).append((r["s"], r["p"], r["n"], r["a"]))
+        by_feature.setdefault(names[r["f"] - 1] if r["f"] else "", []).append((r["s"], r["p"], r["n"], r["a"]))
     (_, pos, neg, total), = by_feature.get("", [(0.0, 0, 0, 0)])
     found: dict[tuple[str, str, float], tuple[int, int, int]] = {}
     for f in categorical:

@@ -16,7 +16,6 @@ MAX_BROADCAST_ROWS = 500_000
 
 def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_LIMIT)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
