@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import ORDER_FEATURES, ORDER_RULES, ORDERS_SQL, Registry, fired_sql, orders, rounded, rounded_sql
+from catalog.common import ORDER_FEATURES, ORDER_RULES, ORDERS_SQL, Registry, fired_sql, fused_sql, orders, rounded, rounded_sql
 from rulespark.operators import learn as L, metrics, prepare as P, predict
 from rulespark.rules import rules_frame
 
@@ -56,6 +56,27 @@ def h3_train_masses(spark, sf_dir):
     return L.history_frame(spark, got)
 
 
+_P = [f"(m{c} + om * r{c})" for c in range(3)]
+
+
+@query(
+    "h3_training_loss",
+    rounded_sql(
+        f"""WITH {ORDERS_SQL}, {fused_sql('ord', ['o_orderkey', 'y'], ORDER_RULES)},
+        pr AS (SELECT max(w) FILTER (WHERE y = 0) / sum(w) AS r0, max(w) FILTER (WHERE y = 1) / sum(w) AS r1, max(w) FILTER (WHERE y = 2) / sum(w) AS r2
+               FROM (SELECT y, sqrt(sum(count(*)) OVER () / count(*)) AS w FROM ord GROUP BY y)),
+        l AS (SELECT ({' + '.join(f"pow({_P[c]} - (y = {c})::INT, 2)" for c in range(3))}) / 3 AS loss, unc_rule,
+                     (CASE WHEN {_P[0]} >= {_P[1]} AND {_P[0]} >= {_P[2]} THEN 0 WHEN {_P[1]} >= {_P[2]} THEN 1 ELSE 2 END = y)::INT AS hit FROM fused, pr)
+        SELECT avg(loss) AS train_loss, avg(loss) AS val_loss, avg(hit) AS acc, avg(unc_rule) AS unc_rule FROM l""",
+        "train_loss val_loss acc unc_rule", 5,
+    ),
+)
+def h3_training_loss(spark, sf_dir):
+    """The state training starts from: loss, accuracy and mean rule omega over all orders at the given masses."""
+    got = L.train_masses(orders(spark, sf_dir), ["o_orderkey"], ORDER_RULES, L.TrainConfig(epochs=0, val_split=0.0))
+    return rounded(L.history_frame(spark, got).select("train_loss", "val_loss", "acc", "unc_rule"), 5)
+
+
 @query(
     "h4_train_val_split",
     f"WITH {ORDERS_SQL}, s AS (SELECT least(greatest(1, round(0.2 * count(*))), count(*) - 1)::BIGINT AS v, count(*) AS n FROM ord) "

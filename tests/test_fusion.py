@@ -1,6 +1,5 @@
 """Fusion algebra, activation forms and prediction rules on small tables."""
 
-import itertools
 import random
 
 import numpy as np
@@ -191,3 +190,18 @@ def test_conformance_and_merge(spark, random_case):
     want = 1 - (1 - 0.6 * 0.8) * (1 - 0.3 * 0.5) * (1 - 0.1 * 0.6)
     assert abs(got["f"]["certainty"] - want) < 1e-12
     assert abs(sum(r["confidence"] for r in got.values()) - 1) < 1e-9
+
+
+def test_streaming_scores_equal_batch_scores(spark, random_case, tmp_path):
+    from rulespark.streaming.scoring import score_stream, write_scored
+
+    df, rules, _ = random_case
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    for method in ("dempster", "yager"):
+        out = str(tmp_path / method)
+        write_scored(score_stream(stream, rules, method=method), out, str(tmp_path / f"{method}-state")).awaitTermination()
+        got = {r["id"]: (r["pred"], r["n_fired"]) for r in spark.read.parquet(out).collect()}
+        assert got == {r["id"]: (r["pred"], r["n_fired"]) for r in predict.score(df, rules, method=method).collect()}
+    with pytest.raises(ValueError):
+        score_stream(df, rules)
