@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulespark.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from rulespark.llm import bpe, exact_dedup, html_text, language, masked_lm, mixing, neighbours, pii, simhash, toxicity
 from rulespark.llm.common import documents, remainder, stored
 
 QUERIES: dict = {}
@@ -42,6 +42,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op5_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.train(language.training_rows(docs), public_tokenizers.path("piece_bpe_32k.model"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query("op6_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
@@ -68,3 +82,23 @@ def token_digests(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer()
     return token_digests(bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+
+
+@query("op8_masked_lm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(documents(spark, sf_dir))
+
+
+@query("op9_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.search(vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.concat("base", "added")).alias("spans"),
+    )
