@@ -11,7 +11,7 @@ from rulespark.llm.queries import token_digests, tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(toxicity.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = toxicity.train(docs, toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     score = taken_name(docs, "score")[0]
     return toxicity.score(docs, model, out=score).where(F.col(score) < 0.5).drop(score)
 

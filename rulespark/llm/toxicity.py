@@ -14,10 +14,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from rulespark.llm.common import remainder
 
 BUCKET_BITS = 20  # weights are at most 2^20 floats: the bound of what is broadcast
-TRAIN_ROWS = 20_000  # labelled rows used, those with the smallest id hash
-SHARDS = 4  # models trained apart and averaged
-EPOCHS = 6
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 0.05
+TRAIN_ROWS = 20_000  # labelled documents learned from, those with the smallest id hash
+EPOCHS = 5
+POSITIVE = 2.0  # weight of a toxic example
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 0.05  # L1 above EPOCHS x POSITIVE: what one text alone has gets no weight
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -65,7 +65,7 @@ class Ftrl:
     def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
         p = 1 / (1 + np.exp(-np.clip(w.sum() + self.bias, -30, 30)))
-        g = p - label
+        g = (p - label) * (POSITIVE if label else 1.0)
         n = self.n[at]
         root = np.sqrt(n + g * g)
         self.z[at] += g - (root - np.sqrt(n)) / ALPHA * w
@@ -74,46 +74,46 @@ class Ftrl:
         self.bias -= ALPHA * g / (BETA + np.sqrt(self.bias_n))
 
 
-def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights and bias from rows (ident, text, label).
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
+    """Weights and bias from the documents that have a label.
 
-    Uses the TRAIN_ROWS rows with the smallest hash of ident. SHARDS models learn apart, each its rows in the order of
-    that hash, and their non-zero weights are averaged, so what reaches the driver is at most SHARDS x 2^20 rows and
-    in practice a few thousand. Rows without a label are left out; without rows all weights are zero.
+    The TRAIN_ROWS labelled ids with the smallest hash are broadcast to the documents, whose texts become buckets where
+    they lie; one task then learns from these few rows in the order of that hash, several times over. L1 leaves some
+    hundred weights. Null labels and ids are left out; of rows with one id one is used; without rows all weights are zero.
     """
-    ranked = labelled.where("label is not null").withColumn("draw", F.xxhash64(F.col("ident").cast("string")))
-    chosen = ranked.select("ident", "draw").orderBy("draw", "ident").limit(TRAIN_ROWS).distinct()
-    rows = ranked.join(F.broadcast(chosen), ["ident", "draw"], "left_semi")
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("ident")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    chosen = known.withColumn("draw", F.xxhash64(F.col("ident").cast("string"))).orderBy("draw", "ident").limit(TRAIN_ROWS)
+    texts = docs.select(F.col(id_col).alias("ident"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "ident").select("draw", "ident", "label", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        models: dict[int, list] = {}
         for batch in batches:
-            for shard, text, label in zip(*(c.to_pylist() for c in batch.columns)):
-                models.setdefault(shard, []).append((np.unique(buckets(text, hashes)).astype(np.int32), label))
-        for examples in models.values():
-            model = Ftrl()
-            for _ in range(EPOCHS):
-                for at, label in examples:
-                    model.learn(at, label)
-            w = model.weights(slice(None))
-            at = np.flatnonzero(w)
-            at, w = np.append(at, -1), np.append(w[at], model.bias)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w.astype(np.float64))], names=["bucket", "weight"])
-
-    shard = (F.pmod(F.shiftright("draw", 8), F.lit(SHARDS))).cast("int")
-    dealt = rows.select(shard.alias("shard"), "text", "label", "draw").repartition(SHARDS, "shard").sortWithinPartitions("shard", "draw")
-    sums = dealt.select("shard", "text", "label").mapInArrow(run, "bucket int, weight double").groupBy("bucket").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
-    found = sums.collect()
-    models = max([r.n for r in found if r.bucket == -1], default=1)
-    weights = np.zeros(1 << BUCKET_BITS, np.float32)
-    bias = 0.0
-    for r in found:
+            grams = [np.unique(buckets(t.as_py(), hashes)).astype(np.int32).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.binary())], names=["draw", "ident", "label", "grams"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = [(np.frombuffer(g, np.int32), y) for batch in batches for y, g in zip(*(c.to_pylist() for c in batch.columns))]
+        if not examples:
+            return
+        model = Ftrl()
+        for _ in range(EPOCHS):
+            for at, label in examples:
+                model.learn(at, label)
+        w = model.weights(slice(None))
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(w[at], model.bias).astype(np.float64))], names=["bucket", "weight"])
+
+    ident = docs.schema[id_col].dataType.simpleString()
+    grams = rows.mapInArrow(hashed, f"draw bigint, ident {ident}, label int, grams binary").groupBy("draw", "ident").agg(F.min("label").alias("label"), F.min("grams").alias("grams"))
+    ordered = grams.repartition(1).sortWithinPartitions("draw", "ident").select("label", "grams")
+    weights, bias = np.zeros(1 << BUCKET_BITS, np.float32), 0.0
+    for r in ordered.mapInArrow(learn, "bucket int, weight double").collect():
         if r.bucket >= 0:
-            weights[r.bucket] = r.w / models
+            weights[r.bucket] = r.weight
         else:
-            bias = r.w / models
-    return weights, float(bias)
+            bias = r.weight
+    return weights, bias
 
 
 def score_text(text: str | None, weights: np.ndarray, bias: float, hashes: WordHashes) -> float:
@@ -138,7 +138,6 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text"
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(ident, text, label) of labelled training documents: those whose crc32(doc_id) mod 5 is not 0."""
-    known = labels.where((remainder("doc_id", 5) != 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id").select(F.col("doc_id").alias("ident"), "text", F.col("label").cast("int").alias("label"))
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels that may be learned from: crc32(doc_id) mod 5 is not 0."""
+    return labels.where(remainder("doc_id", 5) != 0)
