@@ -93,14 +93,21 @@ mm AS (SELECT o_orderkey, feature, eq, gt, lt, CASE WHEN eq IS NOT NULL THEN coa
     ),
 )
 def i4_merge_literals(spark, sf_dir):
-    lits = X.contribution_literals(X.explained(orders(spark, sf_dir), RULES), RULES, KEY)
-    return rounded(X.merge_literals(lits, KEY))
+    return rounded(X.merge_literals(X.explained(orders(spark, sf_dir), RULES), RULES, KEY))
 
 
-@query("i4_merged_summary")
+_NUM = lambda c: f"printf('%.6g', {c})"
+
+
+@query(
+    "i4_merged_summary",
+    f"""{MERGED}, cf AS (SELECT *, round(greatest(certainty, 1e-8) / greatest(sum(greatest(certainty, 1e-8)) OVER (PARTITION BY o_orderkey), 1e-8), 6) AS conf FROM mm)
+    SELECT o_orderkey, string_agg(printf('%.3f', floor(conf * 1000 + 0.5 + 1e-9) / 1000) || '*[' || CASE WHEN contradiction THEN 'CONTRADICTION(' || feature || ')' WHEN eq IS NOT NULL THEN feature || ' == ' || {_NUM('eq')}
+        WHEN gt IS NOT NULL AND lt IS NOT NULL THEN {_NUM('gt')} || ' < ' || feature || ' < ' || {_NUM('lt')} WHEN gt IS NOT NULL THEN feature || ' > ' || {_NUM('gt')}
+        ELSE feature || ' < ' || {_NUM('lt')} END || ']', ' + ' ORDER BY conf DESC, feature) AS combined_summary FROM cf GROUP BY o_orderkey""",
+)
 def i4_merged_summary(spark, sf_dir):
-    lits = X.contribution_literals(X.explained(orders(spark, sf_dir), RULES), RULES, KEY)
-    return X.merged_summary(X.merge_literals(lits, KEY), KEY)
+    return X.merged_summary(X.merge_literals(X.explained(orders(spark, sf_dir), RULES), RULES, KEY), KEY)
 
 
 def _texts_sql() -> str:
@@ -149,7 +156,7 @@ cl AS (SELECT o_orderkey, feature, op, CASE op WHEN '==' THEN arg_max(value, rou
 @query("i7_combine_literals", rounded_sql(f"{COMBINED} SELECT * FROM cl", "weight"))
 def i7_combine_literals(spark, sf_dir):
     rows = X.explained(orders(spark, sf_dir), RULES, mode="agreement")
-    return rounded(X.combine_literals(X.contribution_literals(rows, RULES, KEY, positive_only=True), KEY))
+    return rounded(X.combine_literals(rows, RULES, KEY))
 
 
 @query(
@@ -161,12 +168,7 @@ def i7_combine_literals(spark, sf_dir):
     ),
 )
 def i8_combined_rule_length_stats(spark, sf_dir):
-    return rounded(X.combined_rule_length_stats(orders(spark, sf_dir), RULES, KEY, sample=None))
-
-
-@query("i8_combined_rule_length_sample")
-def i8_combined_rule_length_sample(spark, sf_dir):
-    return X.combined_rule_length_stats(orders(spark, sf_dir), RULES, KEY, sample=200)
+    return rounded(X.combined_rule_length_stats(orders(spark, sf_dir), RULES, KEY))
 
 
 @query(

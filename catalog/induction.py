@@ -209,14 +209,56 @@ def d7_rule_overlaps(spark, sf_dir):
     return V.rule_overlaps(task_rows(spark, sf_dir), PART)
 
 
-@query("d7_diversity_filter")
+_HITS = f"h AS (SELECT {', '.join(f'({rule_sql(r)})::INT AS h{r.rule_id}' for r in PART)} FROM t)"
+_JACCARD = f"""{_HITS}, ov AS ({' UNION ALL '.join(
+    f"SELECT {a.rule_id} AS a, {b.rule_id} AS b, sum(h{a.rule_id} * h{b.rule_id}) AS n, sum(h{a.rule_id}) + sum(h{b.rule_id}) - sum(h{a.rule_id} * h{b.rule_id}) AS u FROM h"
+    for a in PART for b in PART if a.rule_id != b.rule_id
+)}), ja AS (SELECT a, b, CASE WHEN u > 0 THEN n / u ELSE 0 END AS j FROM ov)"""
+
+
+def _kept_frame(spark, rules):
+    return spark.createDataFrame([(i, r.rule_id, r.label) for i, r in enumerate(rules)], "place bigint, rule_id bigint, label int")
+
+
+_PART_LABELS = f"pl(rule_id, label) AS (VALUES {', '.join(f'({r.rule_id}::BIGINT, {r.label}::INTEGER)' for r in PART)})"
+
+
+@query(
+    "d7_diversity_filter",
+    f"""WITH RECURSIVE {T_SQL}, {_JACCARD}, {_PART_LABELS},
+    m AS (SELECT list(j ORDER BY a, b) AS js FROM (SELECT a, b, j FROM ja UNION ALL SELECT i, i, 0.0 FROM range({len(PART)}) r(i))),
+    g AS (SELECT 0 AS i, [0] AS kept, js FROM m UNION ALL
+          SELECT i + 1, CASE WHEN list_max(list_transform(kept, lambda k: js[(i + 1) * {len(PART)} + k + 1])) <= 0.75 THEN list_append(kept, i + 1) ELSE kept END, js FROM g WHERE i < {len(PART) - 1}),
+    k AS (SELECT unnest(kept)::BIGINT AS rule_id FROM g WHERE i = {len(PART) - 1})
+    SELECT row_number() OVER (ORDER BY rule_id) - 1 AS place, rule_id, label FROM k JOIN pl USING (rule_id)""",
+)
 def d7_diversity_filter(spark, sf_dir):
-    return rules_frame(spark, V.diversity_filter(task_rows(spark, sf_dir), PART, threshold=0.75))
+    return _kept_frame(spark, V.diversity_filter(task_rows(spark, sf_dir), PART, threshold=0.75))
+
+
+def _shape_sql(min_keep: int) -> str:
+    """Greedy choice per class: the rule of best quality plus novelty against those chosen, the smaller id on a tie."""
+    n = len(PART)
+    base = "[" + ", ".join(repr(r.stats["precision"] + 0.25 * r.stats["recall"] + 0.15 * r.stats["f1"] - 0.02 * (len(r.literals) - 1)) + "::DOUBLE" for r in PART) + "]"
+    parts, picks, place = [], [], 0
+    for label in (0, 1):
+        own = [r.rule_id for r in PART if r.label == label]
+        target = min(len(own), max(min_keep, round(len(own) * 0.7)))
+        novelty = f"1 - coalesce(list_max(list_transform(chosen, lambda k: js[c * {n} + k + 1])), 0)"
+        parts.append(
+            f"""g{label} AS (SELECT 0 AS step, []::INT[] AS chosen, js FROM m UNION ALL
+            SELECT step + 1, list_append(chosen, list_extract(list_sort(list_transform(list_filter({own}, lambda c: NOT list_contains(chosen, c)),
+                lambda c: {{'v': -round(({base})[c + 1] + 0.12 * ({novelty}), 12), 'c': c}})), 1).c), js FROM g{label} WHERE step < {target})"""
+        )
+        picks.append(f"SELECT {place} + unnest(range({target})) AS place, unnest(chosen)::BIGINT AS rule_id, {label}::INTEGER AS label FROM g{label} WHERE step = {target}")
+        place += target
+    return f"""WITH RECURSIVE {T_SQL}, {_JACCARD},
+    m AS (SELECT list(j ORDER BY a, b) AS js FROM (SELECT a, b, j FROM ja UNION ALL SELECT i, i, 0.0 FROM range({n}) r(i))), {', '.join(parts)} {' UNION ALL '.join(picks)}"""
 
 
-@query("d18_shape_rule_pool")
+@query("d18_shape_rule_pool", _shape_sql(3))
 def d18_shape_rule_pool(spark, sf_dir):
-    return rules_frame(spark, V.shape_rule_pool(task_rows(spark, sf_dir), PART, min_keep=3))
+    return _kept_frame(spark, V.shape_rule_pool(task_rows(spark, sf_dir), PART, min_keep=3))
 
 
 # ---------------------------------------------------------------- D8 - D11
@@ -282,7 +324,7 @@ def first_step(spark, sf_dir):
     t = task(spark, sf_dir)
     pos = F.col("y") == 1
     cuts = I.numeric_candidates(t, pos, CFG)
-    counts = I.step_counts(t, None, pos, ~pos, cuts, I.count_sets(t, pos, ~pos))
+    counts = I.step_counts(t, None, pos, ~pos, cuts, I.count_sets(t, pos, ~pos), every_value=True)
     return t, cuts, counts, I.candidate_literals(t, counts, cuts)
 
 
@@ -311,18 +353,48 @@ def d11_best_literal(spark, sf_dir):
     return rounded(literal_rows(spark, [(*lit, g)], ", gain double"), 4)
 
 
-@query("d12_grow_rule")
+def _grown_sql(max_literals: int, min_literals: int) -> str:
+    """CTEs s1, s2, ...: the literal each growth step adds. Candidate order and thresholds are those of the first step."""
+    parts = ["in0 AS (SELECT o_orderkey, y FROM t)"]
+    for k in range(1, min(max_literals, len(FEATURES)) + 1):
+        used = " ".join(f"AND od.feature NOT IN (SELECT feature FROM s{j})" for j in range(1, k))
+        # a step needs the one before it, and negatives left once the rule is long enough
+        go = "true" if k == 1 else f"EXISTS (SELECT 1 FROM s{k - 1}" + ("" if k <= min_literals else " WHERE n1 > 0") + ")"
+        parts += [
+            f"tt{k} AS (SELECT sum(y) AS p0, sum(1 - y) AS n0 FROM in{k - 1})",
+            f"cc{k} AS (SELECT c.feature, c.value, sum(c.y) AS p, sum(1 - c.y) AS n FROM cells c JOIN in{k - 1} USING (o_orderkey) GROUP BY c.feature, c.value)",
+            f"""ct{k} AS (SELECT od.feature, od.op, od.value, od.ord, coalesce(sum(p), 0) AS p1, coalesce(sum(n), 0) AS n1 FROM od
+                 LEFT JOIN cc{k} c ON c.feature = od.feature AND CASE od.op WHEN '<' THEN c.value < od.value WHEN '>' THEN c.value > od.value ELSE c.value = od.value END
+                 WHERE {go} {used} GROUP BY ALL)""",
+            f"""s{k} AS (SELECT * FROM (SELECT feature, op, value, ord, p1, n1, p1 * (ln((p1 + 1e-9) / (p1 + n1 + 1e-9)) - ln((p0 + 1e-9) / (p0 + n0 + 1e-9))) AS gain
+                 FROM ct{k}, tt{k} WHERE p1 >= 1 ORDER BY round(gain, 9) DESC, ord LIMIT 1) WHERE gain >= 1e-6)""",
+            f"""in{k} AS (SELECT i.* FROM in{k - 1} i JOIN cells c USING (o_orderkey) JOIN s{k} s ON c.feature = s.feature AND
+                 CASE s.op WHEN '<' THEN c.value < s.value WHEN '>' THEN c.value > s.value ELSE c.value = s.value END)""",
+        ]
+    steps = " UNION ALL ".join(f"SELECT {k}::BIGINT AS step, feature, op, value, p1::BIGINT AS pos, n1::BIGINT AS neg FROM s{k}" for k in range(1, min(max_literals, len(FEATURES)) + 1))
+    return f"WITH {FIRST_STEP}, {', '.join(parts)} {steps}"
+
+
+@query("d12_grow_rule", rounded_sql(_grown_sql(8, 2), "value", 4))
 def d12_grow_rule(spark, sf_dir):
     pos = F.col("y") == 1
-    rule = I.grow_rule(task(spark, sf_dir), pos, ~pos, CFG, max_literals=8, min_literals=2)
-    return literal_rows(spark, rule)
+    t = task(spark, sf_dir)
+    rule = I.grow_rule(t, pos, ~pos, CFG, max_literals=8, min_literals=2)
+    counts = I.prefix_counts(t, rule, pos, ~pos, pos, pos)
+    rows = [(i + 1, *lit, *counts.everything[i]) for i, lit in enumerate(rule)]
+    return rounded(spark.createDataFrame(rows, "step bigint, feature string, op string, value double, pos bigint, neg bigint"), 4)
 
 
-@query("d13_grow_prune_split")
+@query(
+    "d13_grow_prune_split",
+    f"""WITH {T_SQL}, c AS (SELECT y, count(*) AS n, least(count(*), greatest(1, round_even(count(*) * CASE WHEN y = 1 THEN 0.67::DOUBLE ELSE 0.5::DOUBLE END, 0)))::BIGINT AS g FROM t GROUP BY y)
+    SELECT y, true AS grow, g AS n FROM c UNION ALL SELECT y, false, n - g FROM c""",
+)
 def d13_grow_prune_split(spark, sf_dir):
     t = task(spark, sf_dir)
-    grow = F.when(F.col("y") == 1, I._drawn(t, CFG, 1, 0.67, 1)).otherwise(I._drawn(t, CFG, 1, 0.5, 2))
-    return t.rows.groupBy("y", grow.alias("grow")).agg(F.count("*").alias("n"))
+    sizes = I.count_sets(t, F.col("y") == 1, F.col("y") == 0)
+    rows = I.with_grow_part(t, F.col("y"), sizes, I.InductionConfig(algo="ripper"), 1)
+    return rows.groupBy("y", F.col("_grow").alias("grow")).agg(F.count("*").alias("n"))
 
 
 PREFIX_RULE = [("o_totalprice", ">", 180000.0), ("c_acctbal", ">", 1000.0), ("nation", "<", 20.0), ("prio", "==", 2.0)]

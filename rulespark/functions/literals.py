@@ -29,10 +29,7 @@ def rule_holds(literals: Iterable[tuple[str, str, float]], *, exact_eq: bool = F
     return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
 
-def holds_dynamic(x: Column, op: Column, value: Column) -> Column:
+def holds_dynamic(x: Column, op: Column, value: Column, *, exact_eq: bool = False) -> Column:
     """The same test where operator and value come from a literal table."""
-    return (
-        F.when(op == "<", x < value)
-        .when(op == ">", (x > value) & ~F.isnan(x))
-        .when(op == "==", F.abs(x - value) <= EQ_TOLERANCE + EQ_TOLERANCE * F.abs(value))
-    )
+    equal = (x == value) if exact_eq else F.abs(x - value) <= EQ_TOLERANCE + EQ_TOLERANCE * F.abs(value)
+    return F.when(op == "<", x < value).when(op == ">", (x > value) & ~F.isnan(x)).when(op == "==", equal & ~F.isnan(x))

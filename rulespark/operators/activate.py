@@ -32,25 +32,23 @@ def choose_form(rules: RuleSet) -> str:
     return "columns" if few else "batches"
 
 
-def rule_flags(rules: RuleSet, *, exact_eq: bool = False) -> list[Column]:
-    return [F.coalesce(rule_holds(r.literals, exact_eq=exact_eq), F.lit(False)) for r in rules]
+def rule_flags(rules: RuleSet) -> list[Column]:
+    return [F.coalesce(rule_holds(r.literals, exact_eq=rules.exact_eq), F.lit(False)) for r in rules]
 
 
-def fired_column(rules: RuleSet, *, exact_eq: bool = False) -> Column:
+def fired_column(rules: RuleSet) -> Column:
     """Ascending array of the ids of the rules that hold on the row."""
     if not len(rules):
         return F.array().cast("array<int>")
-    ids = [
-        F.when(flag, F.lit(r.rule_id)).otherwise(F.lit(-1)).cast("int")
-        for r, flag in zip(rules, rule_flags(rules, exact_eq=exact_eq))
-    ]
+    ids = [F.when(flag, F.lit(r.rule_id)).otherwise(F.lit(-1)).cast("int") for r, flag in zip(rules, rule_flags(rules))]
     return F.array_remove(F.array(*ids), F.lit(-1))
 
 
 def batch_matrix(batch: pa.RecordBatch, rules: RuleSet) -> Iterator[np.ndarray]:
     """Yield, rule by rule, the boolean vector of rows it fires on; each distinct literal is tested once."""
+    # numbers beyond 2^53 round to the nearest double, as the column form's cast does
     columns = {
-        f: batch.column(batch.schema.get_field_index(f)).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        f: batch.column(batch.schema.get_field_index(f)).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
         for f in rules.features
     }
     tested: dict[tuple, np.ndarray] = {}
@@ -66,11 +64,21 @@ def batch_matrix(batch: pa.RecordBatch, rules: RuleSet) -> Iterator[np.ndarray]:
                     elif op == ">":
                         tested[lit] = x > v
                     else:
-                        tested[lit] = np.abs(x - v) <= EQ_TOLERANCE + EQ_TOLERANCE * abs(v)
+                        tested[lit] = (x == v) if rules.exact_eq else np.abs(x - v) <= EQ_TOLERANCE + EQ_TOLERANCE * abs(v)
             hit &= tested[lit]
         yield hit
 
 
+def fired_lists(batch: pa.RecordBatch, rules: RuleSet, ids: np.ndarray) -> pa.ListArray:
+    """The ids of the rules that fire on each row, ascending by rule; holds the hits, not a row x rule matrix."""
+    found = [np.flatnonzero(hit) for hit in batch_matrix(batch, rules)]
+    rows = np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)
+    cols = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    order = np.argsort(rows, kind="stable")
+    offsets = np.searchsorted(rows[order], np.arange(batch.num_rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[cols[order]], pa.int32()))
+
+
 def with_fired(df: DataFrame, rules: RuleSet, *, form: str | None = None) -> DataFrame:
     """df plus `fired array<int>`, row-local."""
     if (form or choose_form(rules)) == "columns":
@@ -79,11 +87,7 @@ def with_fired(df: DataFrame, rules: RuleSet, *, form: str | None = None) -> Dat
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([r.rule_id for r in rules], dtype=np.int32)
         for batch in batches:
-            hits = np.stack(list(batch_matrix(batch, rules)), axis=1)
-            rows, cols = np.nonzero(hits)
-            offsets = np.concatenate([[0], np.cumsum(hits.sum(axis=1))]).astype(np.int32)
-            fired = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[cols]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, fired], names=[*batch.schema.names, "fired"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, fired_lists(batch, rules, ids)], names=[*batch.schema.names, "fired"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("fired", T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(match, schema)
@@ -104,7 +108,7 @@ def melt(df: DataFrame, key: Sequence[str], features: Sequence[str], *, value: s
 
 
 def activate_relational(
-    df: DataFrame, rules: DataFrame, key: Sequence[str], features: Sequence[str], *, salts: int = 32
+    df: DataFrame, rules: DataFrame, key: Sequence[str], features: Sequence[str], *, salts: int = 32, exact_eq: bool = False
 ) -> DataFrame:
     """Relational division: (cells joined to distinct literals) joined to rules, counted per (row, rule).
 
@@ -120,7 +124,7 @@ def activate_relational(
         salted = distinct.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         spread = cells.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
         matched = spread.join(salted, ["feature", "salt"])
-    matched = matched.where(holds_dynamic(F.col("value"), F.col("op"), F.col("bound"))).select(
+    matched = matched.where(holds_dynamic(F.col("value"), F.col("op"), F.col("bound"), exact_eq=exact_eq)).select(
         *key, "feature", "op", "bound"
     )
     owners = literals.join(rules.select("rule_id", "n_literals"), "rule_id")
@@ -143,7 +147,7 @@ def literal_truth(df: DataFrame, rules: RuleSet, key: Sequence[str]) -> DataFram
             F.lit(f).alias("feature"),
             F.lit(op).alias("op"),
             F.lit(float(v)).alias("value"),
-            F.coalesce(rule_holds([(f, op, v)]), F.lit(False)).alias("holds"),
+            F.coalesce(rule_holds([(f, op, v)], exact_eq=rules.exact_eq), F.lit(False)).alias("holds"),
         )
         for f, op, v in lits
     ]

@@ -138,45 +138,78 @@ def contribution_literals(df: DataFrame, rules: RuleSet, key: Sequence[str], *,
     return unnest(rows, kept, "l", "lit").select(*key, "lit.*", "rule_id", "omega", "weight", "n_literals")
 
 
-def merge_literals(literals: DataFrame, key: Sequence[str], *, beta: float = 1.0, eps: float = 1e-8) -> DataFrame:
-    """Per row and feature the merged literal of all contributing rules, with its share of certainty.
+def _entries(rules: RuleSet) -> dict[str, list[tuple[int, str, float, int]]]:
+    """feature -> (rule_id, op, value, literals of the rule), features in order."""
+    out: dict[str, list] = {f: [] for f in rules.features}
+    for r in rules:
+        for f, op, v in r.literals:
+            out[f].append((r.rule_id, op, float(v), len(r.literals)))
+    return out
+
+
+def _spoken(entries: list[tuple[int, str, float, int]], part) -> Column:
+    """array of part(contribution, entry) for the literals of one feature whose rule contributes to the row.
+
+    Rules and literals are known when the plan is built: a rule's literals are a lookup by its id.
+    """
+    by_rule: dict[int, list] = {}
+    for rule_id, *entry in entries:
+        by_rule.setdefault(rule_id, []).append(entry)
+    place = {rule_id: i for i, rule_id in enumerate(by_rule)}
+    ids = F.array(*[F.lit(i) for i in by_rule])
+    kind = lambda e: F.struct(F.lit(e[0]).alias("op"), F.lit(e[1]).alias("value"), F.lit(e[2]).alias("n_literals"))
+    table = F.array(*[F.array(*[kind(e) for e in by_rule[i]]) for i in place])
+    own = F.filter("contributions", lambda c: F.array_contains(ids, c["rule_id"].cast("int")))
+    at = lambda c: F.get(table, (F.array_position(ids, c["rule_id"].cast("int")) - 1).cast("int"))
+    return F.flatten(F.transform(own, lambda c: F.transform(at(c), lambda e: part(c, e))))
+
+
+def merge_literals(df: DataFrame, rules: RuleSet, key: Sequence[str], *, beta: float = 1.0, eps: float = 1e-8) -> DataFrame:
+    """Per row (with `contributions`) and feature the merged literal of all contributing rules, with its share of certainty.
 
     Bounds tighten to the largest `>` and the smallest `<`; more than one `==` value, an `==` outside a
     bound, or crossed bounds are contradictions. certainty = 1 - prod(1 - |weight| (1 - omega)) over the
-    contributors, and `confidence` is certainty^beta normalised over the row's features.
+    contributors, and `confidence` is certainty^beta normalised over the row's features. All within the row: no shuffle.
     """
-    strength = F.least(F.greatest(F.abs(F.col("weight")) * (1.0 - F.col("omega")), F.lit(0.0)), F.lit(1.0))
-    # log(0) for a certain rule is kept out of the sum and restored by `sure`.
-    log_rest = F.when(strength < 1.0, F.log1p(-strength)).otherwise(0.0)
-    items = literals.select(*key, "feature", "op", "value", log_rest.alias("lr"), (strength >= 1.0).alias("sure"))
-    cell = F.struct("op", "value", "lr", "sure")
-    op, v = F.col("op"), F.col("value")
-    per_feature = items.groupBy(*key, "feature").agg(
-        F.min(F.when(op == "==", v)).alias("eq"), F.max(F.when(op == "==", v)).alias("eq_top"),
-        F.max(F.when(op == ">", v)).alias("gt"), F.min(F.when(op == "<", v)).alias("lt"), F.collect_list(cell).alias("items"),
-    )
-    eq, gt, lt = F.col("eq"), F.col("gt"), F.col("lt")
-    many = F.coalesce(F.col("eq_top") > eq, F.lit(False))
-    outside = F.coalesce(~(eq > gt), F.lit(False)) | F.coalesce(~(eq < lt), F.lit(False))
-    crossed = F.coalesce(gt >= lt, F.lit(False))
-    contradiction = F.when(eq.isNotNull(), many | outside).otherwise(crossed)
-    counts = F.filter(
-        "items",
-        lambda i: F.when(eq.isNull() | (i["op"] == "=="), True)
-        .when(many, False)
-        .when(i["op"] == ">", eq > i["value"])
-        .otherwise(eq < i["value"]),
+    def cell(c: Column, e: Column) -> Column:
+        strength = F.least(F.greatest(F.abs(c["weight"]) * (1.0 - c["omega"]), F.lit(0.0)), F.lit(1.0))
+        # log(0) for a certain rule is kept out of the sum and restored by `sure`
+        rest = F.when(strength < 1.0, F.log1p(-strength)).otherwise(0.0)
+        return F.struct(e["op"].alias("op"), e["value"].alias("value"), rest.alias("lr"), (strength >= 1.0).alias("sure"))
+
+    entries = _entries(rules)
+    names = {f: f"_items{i}" for i, f in enumerate(entries)}
+    rows = df.select(*key, *[_spoken(e, cell).alias(names[f]) for f, e in entries.items()])
+    of = lambda items, op: F.transform(F.filter(items, lambda i: i["op"] == op), lambda i: i["value"])
+    bounds = lambda items: F.struct(
+        F.array_min(of(items, "==")).alias("eq"), F.array_max(of(items, "==")).alias("top"), F.array_max(of(items, ">")).alias("gt"), F.array_min(of(items, "<")).alias("lt")
     )
-    rest = F.aggregate(counts, F.lit(0.0), lambda acc, i: acc + i["lr"])
-    sure = F.exists(counts, lambda i: i["sure"])
-    certainty = F.when(F.size(counts) == 0, 0.0).when(sure, 1.0).otherwise(1.0 - F.exp(rest))
-    raw = F.pow(F.greatest(F.col("certainty"), F.lit(eps)), F.lit(float(beta)))
-    rows = per_feature.select(
-        *key, "feature", eq.alias("eq"), gt.alias("gt"), lt.alias("lt"), contradiction.alias("contradiction"),
-        F.size(counts).alias("n_contributors"), certainty.alias("certainty"),
-    )
-    row = Window.partitionBy(*key)  # at most one entry per feature
-    return rows.withColumn("confidence", raw / F.greatest(F.sum(raw).over(row), F.lit(eps)))
+    rows = rows.select("*", *[bounds(names[f]).alias(f"_b{i}") for i, f in enumerate(entries)])
+
+    def merged(f: str, items: str, b: Column) -> Column:
+        eq, gt, lt = b["eq"], b["gt"], b["lt"]
+        many = F.coalesce(b["top"] > eq, F.lit(False))
+        outside = F.coalesce(~(eq > gt), F.lit(False)) | F.coalesce(~(eq < lt), F.lit(False))
+        contradiction = F.when(eq.isNotNull(), many | outside).otherwise(F.coalesce(gt >= lt, F.lit(False)))
+        used = F.filter(
+            items,
+            lambda i: F.when(eq.isNull() | (i["op"] == "=="), True).when(many, False).when(i["op"] == ">", eq > i["value"]).otherwise(eq < i["value"]),
+        )
+        rest = F.aggregate(used, F.lit(0.0), lambda acc, i: acc + i["lr"])
+        certainty = F.when(F.size(used) == 0, 0.0).when(F.exists(used, lambda i: i["sure"]), 1.0).otherwise(1.0 - F.exp(rest))
+        return F.when(
+            F.size(items) > 0,
+            F.struct(F.lit(f).alias("feature"), eq.alias("eq"), gt.alias("gt"), lt.alias("lt"), contradiction.alias("contradiction"),
+                     F.size(used).alias("n_contributors"), certainty.alias("certainty")),
+        )
+
+    cells = F.array_compact(F.array(*[merged(f, names[f], F.col(f"_b{i}")) for i, f in enumerate(entries)]))
+    rows = rows.select(*key, cells.alias("_cells"))
+    raw = lambda c: F.pow(F.greatest(c["certainty"], F.lit(eps)), F.lit(float(beta)))
+    total = F.aggregate("_cells", F.lit(0.0), lambda acc, c: acc + raw(c))
+    rows = rows.withColumn("_total", F.greatest(total, F.lit(eps)))
+    out = unnest(rows, [*key, "_total"], "_cells", "c").select(*key, "c.*", "_total")
+    return out.withColumn("confidence", F.pow(F.greatest("certainty", F.lit(eps)), F.lit(float(beta))) / F.col("_total")).drop("_total")
 
 
 def literal_expression() -> Column:
@@ -219,30 +252,45 @@ def explain_summary(df: DataFrame, rules: RuleSet, key: Sequence[str], prior: Se
     )
 
 
-def combine_literals(literals: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Per row, feature and operator: heaviest `==` value, largest `>`, smallest `<`, and the summed weight.
+def combine_literals(df: DataFrame, rules: RuleSet, key: Sequence[str]) -> DataFrame:
+    """Per row (with `contributions`), feature and operator: heaviest `==` value, largest `>`, smallest `<`, and the summed weight.
 
-    Each positive rule spreads its weight evenly over its literals.
+    Each positive rule spreads its weight evenly over its literals. All within the row: no shuffle.
     """
-    share = F.abs("weight") / F.col("n_literals")
-    by_value = literals.groupBy(*key, "feature", "op", "value").agg(F.sum(share).alias("w"))
-    best = (
-        F.when(F.first("op") == "==", F.max_by("value", F.struct(F.round("w", 12), -F.col("value"))))
-        .when(F.first("op") == ">", F.max("value"))
-        .otherwise(F.min("value"))
-    )
-    return by_value.groupBy(*key, "feature", "op").agg(best.alias("value"), F.sum("w").alias("weight"))
-
-
-def combined_rule_length_stats(df: DataFrame, rules: RuleSet, key: Sequence[str], *, sample: int | None = 200, seed: int = 0) -> DataFrame:
-    """Mean, median and empty share of the number of combined literals, on a hash sample or on all rows.
+    entries = _entries(rules)
+    cells = []
+    for i, (f, found) in enumerate(entries.items()):
+        item = lambda c, e: F.when(c["weight"] > 0, F.struct(e["op"].alias("op"), e["value"].alias("value"), (F.abs(c["weight"]) / e["n_literals"]).alias("w")))
+        cells.append(F.array_compact(_spoken(found, item)).alias(f"_items{i}"))
+    rows = df.select(*key, *cells)
+    out = []
+    for i, (f, found) in enumerate(entries.items()):
+        for op in sorted({e[1] for e in found}):
+            own = F.filter(f"_items{i}", lambda x: x["op"] == op)
+            weight = lambda items: F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x["w"])
+            values = F.transform(own, lambda x: x["value"])
+            if op == "==":
+                heaviest = F.transform(
+                    F.array_distinct(values), lambda v: F.struct((-F.round(weight(F.filter(own, lambda x: x["value"] == v)), 12)).alias("o"), v.alias("v"))
+                )
+                best = F.array_min(heaviest)["v"]
+            else:
+                best = F.array_max(values) if op == ">" else F.array_min(values)
+            cell = F.struct(F.lit(f).alias("feature"), F.lit(op).alias("op"), best.alias("value"), weight(own).alias("weight"))
+            out.append(F.when(F.size(own) > 0, cell))
+    merged = rows.select(*key, F.array_compact(F.array(*out)).alias("_cells"))
+    return unnest(merged, list(key), "_cells", "c").select(*key, "c.*")
+
+
+def combined_rule_length_stats(df: DataFrame, rules: RuleSet, key: Sequence[str], *, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """Mean, median and empty share of the number of combined literals, on all rows or on a hash sample of the size asked for.
 
     The count of distinct (feature, op) pairs among positive rules is found inside the row.
     """
     if sample is not None:
         pooled = df.withColumn("_all", F.lit(0))
         cuts = O.hash_cuts(pooled, "_all", key, {0: sample}, seed)
-        df = pooled.where(O.below_cut("_all", key, seed, cuts)).drop("_all")
+        df = O.with_drawn(pooled, "_all", key, seed, cuts, "_in").where("_in").drop("_all", "_in")
     pairs = F.array(*[F.array(*[F.lit(f"{f} {op}") for f, op, _ in r.literals]) for r in rules])
     used = F.flatten(F.transform(F.filter("contributions", lambda x: x["weight"] > 0), lambda x: F.get(pairs, x["rule_id"])))
     rows = explained(df, rules, mode="agreement").select(F.size(F.array_distinct(used)).alias("n"))

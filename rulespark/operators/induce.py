@@ -1,9 +1,10 @@
 """Rule induction by sequential covering, FOIL and RIPPER style.
 
 The rows stay where they are. Each step asks one aggregate question of them: how many positive and
-negative rows fall between the candidate thresholds of every feature. Its answer has at most
-`MAX_SLOTS` rows per feature, from which the driver picks the next literal. Which rows a rule set
-already covers is recomputed from the rules, and written to a checkpoint every few rules.
+negative rows fall between the candidate thresholds of every feature. Its answer has a row per slot
+between thresholds and the best value of each categorical feature, from which the driver picks the next
+literal. Which rows a rule set already covers is recomputed from the rules, and written to a checkpoint
+every few rules.
 """
 
 from __future__ import annotations
@@ -23,10 +24,9 @@ from rulespark.functions.literals import rule_holds
 from rulespark.operators import order_stats as O
 from rulespark.operators.activate import any_rule_holds, melt
 from rulespark.operators.prepare import feature_kinds
-from rulespark.rules import Rule, RuleSet, default_caption
+from rulespark.rules import EQ_TOLERANCE, Rule, RuleSet, default_caption
 from rulespark.session import ensure_checkpoint_dir
 
-MAX_SLOTS = 64
 # Buckets per numeric feature when its distinct values are too many for one window.
 BUCKETS = 2048
 # Rounds of looking into a few more buckets before all that may still matter are taken at once.
@@ -141,8 +141,8 @@ def label_value_counts(task: Task, positive: Column) -> DataFrame:
 
 
 def _value_sums(task: Task) -> list[Column]:
-    # One long orders the rows, so that the aggregation buffer stays fixed-width and hash aggregation applies.
-    order = F.col(task.key[0]) if _one_number(task) else F.xxhash64(*task.key)
+    # Rows come in the order of the key, whatever its type. One number keeps the aggregation buffer fixed-width.
+    order = F.col(task.key[0]) if _one_number(task) else F.struct(*task.key)
     return [
         F.count("*").alias("n"), F.count_if("is_pos").alias("pos"),
         F.min_by("is_pos", order).alias("first_pos"), F.max_by("is_pos", order).alias("last_pos"),
@@ -352,12 +352,14 @@ class StepCounts:
 
 def step_counts(
     task: Task, inside: Column | None, positive: Column, negative: Column, cuts: dict[str, list[float]],
-    base: tuple[int, int], skip: Sequence[str] = (),
+    base: tuple[int, int], skip: Sequence[str] = (), *, min_support: int = 1, every_value: bool = False,
 ) -> StepCounts:
-    """One job: counts for every candidate literal of every unused feature on the rows inside the rule.
+    """One job: counts for the candidate literals of every unused feature on the rows inside the rule.
 
-    `base` is the number of positives and negatives inside the rule so far. Cells are summed per (feature, slot) before the shuffle. Of a categorical feature only its
-    `MAX_SLOTS` best values come back; the best literal is among them.
+    `base` is the number of positives and negatives inside the rule so far. Cells are summed per (feature, slot) before
+    the shuffle; every slot between thresholds comes back. A categorical feature is ranked on the cluster, on complete
+    counts: its value of highest gain comes back, the smallest on a tie, or with `every_value` all of them. A value
+    counts the rows that the rule's `==` test accepts, so growth and rules agree on codes that lie within its tolerance.
     """
     numeric = [f for f in task.numeric if f not in skip and cuts.get(f)]
     categorical = [f for f in task.categorical if f not in skip]
@@ -369,13 +371,14 @@ def step_counts(
     # Entry 0 of the fanned-out array counts the rows themselves, entry i feature i - 1.
     names = [*numeric, *categorical]
     marks = F.array(F.lit(0.0), *[F.col(f"s{i}") for i in range(len(names))])
-    cells = rows.select("p", "n", F.posexplode(marks).alias("f", "s")).where("s IS NOT NULL")
+    cells = rows.select("p", "n", F.posexplode(marks).alias("f", "s")).where("s IS NOT NULL AND NOT isnan(s)")
     sums = cells.groupBy("f", "s").agg(F.count_if("p").alias("p"), F.count_if("n").alias("n"), F.count("*").alias("a"))
-    score = gain.foil_gain(F.lit(float(base[0])), F.lit(float(base[1])), F.col("p"), F.col("n"))
-    best = Window.partitionBy("f").orderBy(F.desc("score"), "s")
-    got = sums.withColumn("score", score).withColumn("r", F.row_number().over(best)).where(F.col("r") <= MAX_SLOTS).collect()
+    if categorical:
+        sums = _ranked_values(sums, len(numeric), base, min_support)
+        if not every_value:
+            sums = sums.where((F.col("f") <= len(numeric)) | (F.col("r") == 1))
     by_feature: dict[str, list] = {}
-    for r in got:
+    for r in sums.select("f", "s", "p", "n", "a").collect():
         by_feature.setdefault(names[r["f"] - 1] if r["f"] else "", []).append((r["s"], r["p"], r["n"], r["a"]))
     (_, pos, neg, total), = by_feature.get("", [(0.0, 0, 0, 0)])
     found: dict[tuple[str, str, float], tuple[int, int, int]] = {}
@@ -384,12 +387,37 @@ def step_counts(
             found[(f, "==", s)] = tuple(c)
     for f in numeric:
         slots = sorted(by_feature.get(f, []))
+        place = np.array([s for s, *_ in slots])
+        before = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum([c for _, *c in slots], axis=0, dtype=np.int64).reshape(-1, 3)])
         for i, c in enumerate(sorted(cuts[f])):
-            for op, take in ((">", lambda s: s > 2 * i + 1), ("<", lambda s: s < 2 * i + 1)):
-                found[(f, op, c)] = tuple(sum(x[j] for x in slots if take(x[0])) for j in (1, 2, 3))
+            below, upto = before[np.searchsorted(place, 2 * i + 1, "left")], before[np.searchsorted(place, 2 * i + 1, "right")]
+            found[(f, "<", c)] = tuple(below.tolist())
+            found[(f, ">", c)] = tuple((before[-1] - upto).tolist())
     return StepCounts(pos, neg, total, found)
 
 
+# The `==` test accepts |x - v| <= e (1 + |v|). On the scale sign(v) log(1 + |v|), here in whole billionths, that is a
+# window of e, a little widened.
+_SCALE = 1e9
+_NEAR = int(1.2 * EQ_TOLERANCE * _SCALE)
+
+
+def _ranked_values(sums: DataFrame, n_numeric: int, base: tuple[int, int], min_support: int) -> DataFrame:
+    """Counts of categorical values by the rules' `==` test, with `r`: their rank by gain within the feature."""
+    scale = F.round(F.signum("s") * F.log1p(F.abs("s")) * _SCALE).cast("bigint")
+    around = Window.partitionBy("f").orderBy("g").rangeBetween(-_NEAR, _NEAR)
+    near = F.filter(
+        F.collect_list(F.struct("s", "p", "n", "a")).over(around), lambda x: F.abs(x["s"] - F.col("s")) <= EQ_TOLERANCE + EQ_TOLERANCE * F.abs("s")
+    )
+    total = lambda c: F.aggregate("near", F.lit(0).cast("bigint"), lambda acc, x: acc + x[c])
+    values = sums.where(F.col("f") > n_numeric).withColumn("g", scale).withColumn("near", near)
+    values = values.select("f", "s", *[total(c).alias(c) for c in "pna"])
+    score = gain.foil_gain(F.lit(float(base[0])), F.lit(float(base[1])), F.col("p"), F.col("n"))
+    best = Window.partitionBy("f").orderBy((F.col("p") >= min_support).desc(), F.desc("score"), "s")
+    values = values.withColumn("score", F.round(score, 12)).withColumn("r", F.row_number().over(best)).drop("score")
+    return sums.where(F.col("f") <= n_numeric).withColumn("r", F.lit(0)).unionByName(values)
+
+
 def foil_gain(p0: int, n0: int, p1: int, n1: int) -> float:
     if p1 < 1:
         return -math.inf
@@ -397,16 +425,20 @@ def foil_gain(p0: int, n0: int, p1: int, n1: int) -> float:
     return p1 * (purity(p1, n1) - purity(p0, n0))
 
 
-def candidate_literals(task: Task, counts: StepCounts, cuts: dict[str, list[float]]) -> list[tuple[str, str, float]]:
+def candidate_literals(task: Task, counts: StepCounts, cuts: dict[str, list[float]], first: StepCounts | None = None) -> list[tuple[str, str, float]]:
     """Candidates in the order ties are broken: features in order, values ascending, thresholds in proposal
-    order with the more precise side first (`>` on a tie). Negatives here are all rows that are not positive."""
+    order with the more precise side first (`>` on a tie). Values are those of `counts`; sides were decided by the
+    counts of the rule's first step. Negatives here are all rows that are not positive."""
+    sides = first or counts
     out: list[tuple[str, str, float]] = []
     for f in task.features:
         if task.kinds[f] == "categorical":
             out += sorted(lit for lit in counts.literals if lit[0] == f)
             continue
         for c in cuts.get(f, []):
-            precision = {op: p / (a + 1e-12) for op in "<>" for p, _, a in [counts.literals[(f, op, c)]]}
+            if (f, ">", c) not in sides.literals:
+                continue
+            precision = {op: p / (a + 1e-12) for op in "<>" for p, _, a in [sides.literals[(f, op, c)]]}
             out += [(f, op, c) for op in ("><" if precision[">"] >= precision["<"] else "<>")]
     return out
 
@@ -445,13 +477,13 @@ def grow_rule(
     """
     cuts = numeric_candidates(task, positive, cfg)
     rule: list[tuple] = []
-    order: list[tuple] = []
+    first = None
     pos, neg = start if start is not None else count_sets(task, positive, negative)
     while len(rule) < max(1, max_literals) and (len(rule) < max(1, min_literals) or neg):
         inside = rule_holds(rule) if rule else None
-        counts = step_counts(task, inside, positive, negative, cuts, (pos, neg), [f for f, _, _ in rule])
-        if not rule:
-            order = candidate_literals(task, counts, cuts)
+        counts = step_counts(task, inside, positive, negative, cuts, (pos, neg), [f for f, _, _ in rule], min_support=cfg.min_pos_support)
+        first = first or counts
+        order = candidate_literals(task, counts, cuts, first)
         found = best_literal(order, counts, [f for f, _, _ in rule], cfg.min_pos_support)
         if found is None or found[1] < cfg.min_gain:
             break
@@ -509,10 +541,21 @@ def signature(rule: Sequence[tuple]) -> tuple:
     return tuple(sorted((f, op, float(f"{v:.6g}")) for f, op, v in rule))
 
 
-def _drawn(task: Task, cfg: InductionConfig, attempt: int, ratio: float, salt: int) -> Column:
-    """A seeded share of the rows, by key hash: the same rows whenever and wherever it is evaluated."""
-    h = F.xxhash64(*task.key, F.lit(cfg.seed), F.lit(attempt), F.lit(salt))
-    return F.pmod(h, F.lit(1_000_000)) < int(ratio * 1_000_000)
+def share_of(n: int, ratio: float) -> int:
+    """Rows of a drawn part: the rounded share, at least one."""
+    return min(n, max(1, round(n * ratio)))
+
+
+def with_grow_part(task: Task, sides: Column, sizes: tuple[int, int], cfg: InductionConfig, attempt: int) -> DataFrame:
+    """The task's rows plus `_side` (1 open positives, 0 negatives, NULL others) and `_grow`: exact seeded shares of both.
+
+    The draw is by key hash: the same rows whenever and wherever it is evaluated.
+    """
+    rows = task.rows.withColumn("_side", sides)
+    seed = (cfg.seed * 1_000_003 + attempt) % (2**31)
+    wanted = {1: share_of(sizes[0], cfg.grow_ratio), 0: share_of(sizes[1], cfg.neg_ratio)}
+    cuts = O.hash_cuts(rows.where("_side IS NOT NULL"), "_side", task.key, wanted, seed)
+    return O.with_drawn(rows, "_side", task.key, seed, cuts, "_grow")
 
 
 # --- covering ---
@@ -520,6 +563,7 @@ def _drawn(task: Task, cfg: InductionConfig, attempt: int, ratio: float, salt: i
 
 def induce_class(task: Task, cls: int, sizes: dict[int, int], cfg: InductionConfig, seen: set, total_rules: int) -> list[Rule]:
     """Rules for one class: tiers from strict to loose, each removing the positives its rules cover."""
+    ensure_checkpoint_dir(task.rows.sparkSession)
     total = sum(sizes.values())
     is_class = F.col("y") == cls
     rows, pending = task.rows.withColumn("covered", F.lit(False)), []
@@ -535,13 +579,15 @@ def induce_class(task: Task, cls: int, sizes: dict[int, int], cfg: InductionConf
             grow_pos, prune_pos, grow_neg, prune_neg = open_pos, open_pos, ~is_class, ~is_class
             start = (left, total - sizes[cls])
             if cfg.algo == "ripper":
-                a, b = _drawn(task, cfg, attempt, cfg.grow_ratio, 1), _drawn(task, cfg, attempt, cfg.neg_ratio, 2)
-                grow_pos, prune_pos, grow_neg, prune_neg = open_pos & a, open_pos & ~a, ~is_class & b, ~is_class & ~b
-                a, b, c, d = count_sets(current, grow_pos, prune_pos, grow_neg, prune_neg)
-                # An empty draw falls back to the set it was drawn from, or to its other half.
-                grow_pos, grow_neg = (grow_pos if a else open_pos), (grow_neg if c else ~is_class)
-                prune_pos, prune_neg = (prune_pos if b else grow_pos), (prune_neg if d else grow_neg)
-                start = (a or left, c or total - sizes[cls])
+                current = replace_rows(task, with_grow_part(current, F.when(open_pos, 1).when(~is_class, 0), start, cfg, attempt))
+                side, grow = F.col("_side"), F.col("_grow")
+                drawn = (share_of(start[0], cfg.grow_ratio), share_of(start[1], cfg.neg_ratio))
+                open_pos = F.coalesce(side == 1, F.lit(False))
+                grow_pos, grow_neg = open_pos & grow, ~is_class & grow
+                # When the draw takes a whole set, the rule is pruned on the set it was grown on.
+                prune_pos = open_pos & ~grow if drawn[0] < start[0] else grow_pos
+                prune_neg = ~is_class & ~grow if drawn[1] < start[1] else grow_neg
+                start = drawn
             rule = grow_rule(current, grow_pos, grow_neg, cfg, max_literals=max_literals, min_literals=min_literals, start=start)
             accepted = False
             if rule:
@@ -579,7 +625,6 @@ def replace_rows(task: Task, rows: DataFrame) -> Task:
 
 def induce_rules(df: DataFrame, key: Sequence[str], features: Sequence[str], cfg: InductionConfig = InductionConfig(), *, label: str = "y", dictionary: Sequence[str] = ()) -> RuleSet:
     """Rules for every class, the rarest class first. Classes share the signatures and the total cap."""
-    ensure_checkpoint_dir(df.sparkSession)
     task = make_task(df, key, features, label=label, dictionary=dictionary)
     if task.numeric and task.buckets > 1:
         task = place_in_buckets(task, max(BUCKETS, task.buckets))

@@ -107,54 +107,56 @@ def row_hash(key: Sequence[str], seed: int) -> Column:
     return F.xxhash64(*key, F.lit(seed))
 
 
-def hash_cuts(df: DataFrame, group: str, key: Sequence[str], wanted: dict, seed: int, *, rank_at_most: int = 200_000) -> dict:
-    """Per group the row-hash value at or below which exactly `wanted[group]` rows lie.
+def hash_cuts(df: DataFrame, group: str, key: Sequence[str], wanted: dict, seed: int, *, rank_at_most: int = 200_000) -> DataFrame:
+    """(g, cut): per group the row-hash value at or below which exactly `wanted[group]` rows lie.
 
-    Every pass counts rows per slice of the hash range and keeps the slice holding the cut, until few
-    enough rows are left to rank; no row of the table is moved. Keys must be unique.
+    Every pass counts rows per slice of the hash range and keeps the slice holding the cut, until few enough rows are
+    left to rank; no row of the table is moved, and one row per group comes back, so groups may be many. A group
+    nothing is wanted of has no row. Keys must be unique.
     """
+    spark = df.sparkSession
+    kind = df.schema[group].dataType.simpleString()
     rows = df.select(F.col(group).alias("g"), row_hash(key, seed).alias("h"))
-    cuts = {g: None for g, k in wanted.items() if k <= 0}
-    # open: group -> (filter of the slice that holds the cut, rows still wanted inside it)
-    spans = {g: (f"g <=> {_sql(g)}", k) for g, k in wanted.items() if k > 0}
+    table = lambda items: F.broadcast(spark.createDataFrame(items, f"k {kind}, slice bigint, want bigint"))
+    cuts: list[tuple] = []
+    # open groups: (group, slice of the last pass that holds the cut, rows still wanted inside it); a row per group
+    spans, at = [(g, None, int(k)) for g, k in wanted.items() if k > 0], None
     for bits in (52, 40, 28, 16, 4, 0):
         if not spans:
             break
-        inside = rows.where(" OR ".join(f"({where})" for where, _ in spans.values()))
-        counts: dict = {}
-        for r in inside.groupBy("g", F.shiftright("h", bits).alias("b")).count().collect():
-            counts.setdefault(r["g"], []).append((r["b"], r["count"]))
-        ready, fresh = {}, {}
-        for g, (_, k) in spans.items():
-            for b, n in sorted(counts.get(g, [])):
-                if k <= n:
-                    slice_ = (f"g <=> {_sql(g)} AND shiftright(h, {bits}) = {b}", k)
-                    (ready if n <= rank_at_most or bits == 0 else fresh)[g] = slice_
-                    break
-                k -= n
-            else:
-                cuts[g] = 2**63 - 1
+        inside = _within(rows, table(spans), at)
+        counts = inside.groupBy("g", "want", F.shiftright("h", bits).alias("b")).count()
+        up_to = F.sum("count").over(Window.partitionBy("g").orderBy("b"))
+        hold = counts.withColumn("upto", up_to).where("upto >= want AND upto - count < want")
+        found = {r["g"]: r for r in hold.collect()}
+        ready, fresh = [], []
+        for g, _, k in spans:
+            r = found.get(g)
+            if r is None:  # fewer rows than wanted: all of them
+                cuts.append((g, 2**63 - 1))
+                continue
+            span = (g, r["b"], k - (r["upto"] - r["count"]))
+            (ready if r["count"] <= rank_at_most or bits == 0 else fresh).append(span)
         if ready:
             rank = F.row_number().over(Window.partitionBy("g").orderBy("h"))
-            ranked = rows.where(" OR ".join(f"({where})" for where, _ in ready.values())).withColumn("r", rank)
-            ends = " OR ".join(f"(g <=> {_sql(g)} AND r = {k})" for g, (_, k) in ready.items())
-            cuts.update({r["g"]: r["h"] for r in ranked.where(ends).collect()})
-        spans = fresh
-    return cuts
+            ends = _within(rows, table(ready), bits).withColumn("r", rank).where("r = want")
+            cuts += [(r["g"], r["h"]) for r in ends.select("g", "h").collect()]
+        spans, at = fresh, bits
+    return spark.createDataFrame(cuts, f"g {kind}, cut bigint")
 
 
-def _sql(v) -> str:
-    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+def _within(rows: DataFrame, spans: DataFrame, bits: int | None) -> DataFrame:
+    same = F.col("g").eqNullSafe(F.col("k"))
+    if bits is not None:
+        same = same & (F.shiftright("h", bits) == F.col("slice"))
+    return rows.join(spans, same).select("g", "h", "want")
 
 
-def below_cut(group: str, key: Sequence[str], seed: int, cuts: dict) -> Column:
-    """True on the rows drawn by `hash_cuts`; row-local."""
-    h = row_hash(key, seed)
-    out = F.lit(False)
-    for g, cut in cuts.items():
-        if cut is not None:
-            out = F.when(F.col(group).eqNullSafe(F.lit(g)), h <= F.lit(cut)).otherwise(out)
-    return out
+def with_drawn(df: DataFrame, group: str, key: Sequence[str], seed: int, cuts: DataFrame, out: str) -> DataFrame:
+    """df plus `out`, true on the rows drawn by `hash_cuts`. The cuts are one row per group, broadcast: no row moves."""
+    side = F.broadcast(cuts.select(F.col("g").alias("_cut_group"), F.col("cut").alias("_cut")))
+    drawn = F.coalesce(row_hash(key, seed) <= F.col("_cut"), F.lit(False))
+    return df.join(side, F.col(group).eqNullSafe(F.col("_cut_group")), "left").withColumn(out, drawn).drop("_cut_group", "_cut")
 
 
 def number_rows(df: DataFrame, key: Sequence[str], seed: int, *, buckets: int = HASH_BUCKETS) -> DataFrame:

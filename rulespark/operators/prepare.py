@@ -246,8 +246,8 @@ def stratified_split(
         df = df.withColumn("_all", F.lit(0))
         group, counts = "_all", {0: sum(counts.values())}
     cuts = O.hash_cuts(df, group, key, test_sizes(counts, test_size), seed)
-    part = F.when(O.below_cut(group, key, seed, cuts), "test").otherwise("train")
-    return df.withColumn("part", part).drop("_all")
+    part = F.when(F.col("_test"), "test").otherwise("train")
+    return O.with_drawn(df, group, key, seed, cuts, "_test").withColumn("part", part).drop("_all", "_test")
 
 
 def modulus_split(df: DataFrame, key: str, *, every: int = 5) -> DataFrame:
@@ -263,7 +263,7 @@ def train_val_split(df: DataFrame, key: Sequence[str], *, val_split: float = 0.2
     want = min(max(1, round(val_split * n)), n - 1)
     pooled = df.withColumn("_all", F.lit(0))
     cuts = O.hash_cuts(pooled, "_all", key, {0: want}, seed)
-    return pooled.withColumn("is_val", O.below_cut("_all", key, seed, cuts)).drop("_all")
+    return O.with_drawn(pooled, "_all", key, seed, cuts, "is_val").drop("_all")
 
 
 def upsample_minority(

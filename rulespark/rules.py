@@ -63,6 +63,7 @@ class RuleSet:
     rules: tuple[Rule, ...]
     n_classes: int
     default_label: int = 0
+    exact_eq: bool = False  # `==` without tolerance, for codes so large that it would merge neighbours
 
     def __len__(self) -> int:
         return len(self.rules)

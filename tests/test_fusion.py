@@ -179,12 +179,15 @@ def test_conformance_and_merge(spark, random_case):
     df, rules, _ = random_case
     row = X.conformance_checks(predict.score(df, rules), 3).first()
     assert row["n_rows"] == 300 and not any(row[c] for c in row.asDict() if c.startswith("bad_"))
-    lits = spark.createDataFrame(
-        [(1, "f", ">", 1.0, 0.2, 0.6), (1, "f", ">", 2.0, 0.5, 0.3), (1, "f", "<", 5.0, 0.4, 0.1), (1, "g", "==", 1.0, 0.1, 0.5),
-         (1, "g", "==", 2.0, 0.1, 0.5), (1, "h", "==", 3.0, 0.0, 1.0), (1, "h", ">", 3.5, 0.1, 0.2)],
-        "id long, feature string, op string, value double, omega double, weight double",
-    )
-    got = {r["feature"]: r for r in X.merge_literals(lits, ["id"]).collect()}
+    cells = [("f", ">", 1.0, 0.2, 0.6), ("f", ">", 2.0, 0.5, 0.3), ("f", "<", 5.0, 0.4, 0.1), ("g", "==", 1.0, 0.1, 0.5),
+             ("g", "==", 2.0, 0.1, 0.5), ("h", "==", 3.0, 0.0, 1.0), ("h", ">", 3.5, 0.1, 0.2)]
+    single = RuleSet(tuple(Rule(i, 0, ((f, op, v),)) for i, (f, op, v, _, _) in enumerate(cells)), 2)
+    said = [(1, [(i, 0, omega, weight) for i, (_, _, _, omega, weight) in enumerate(cells)]), (2, [])]
+    rows = spark.createDataFrame(said, "id long, contributions array<struct<rule_id:int,label:int,omega:double,weight:double>>")
+    merged = X.merge_literals(rows, single, ["id"])
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in X.combine_literals(rows, single, ["id"])._jdf.queryExecution().executedPlan().toString()
+    got = {r["feature"]: r for r in merged.collect()}
     assert (got["f"]["gt"], got["f"]["lt"], got["f"]["contradiction"]) == (2.0, 5.0, False)
     assert got["g"]["contradiction"] and got["h"]["contradiction"] and got["h"]["certainty"] == 1.0
     want = 1 - (1 - 0.6 * 0.8) * (1 - 0.3 * 0.5) * (1 - 0.1 * 0.6)

@@ -67,12 +67,20 @@ def test_exact_draws(spark):
     up = P.upsample_minority(df, ["id"], target=0.4)
     assert up.where("y = 1").count() == round(0.4 * 1000 / 0.6) and up.where("y = 0").count() == 857
     cuts = O.hash_cuts(df, "y", ["id"], {0: 300, 1: 0}, 5, rank_at_most=3)
-    assert df.where(O.below_cut("y", ["id"], 5, cuts)).count() == 300
+    assert O.with_drawn(df, "y", ["id"], 5, cuts, "drawn").where("drawn").count() == 300
     numbered = O.number_rows(df, ["id"], 3, buckets=16)
     assert sorted(r["idx"] for r in numbered.collect()) == list(range(1000))
     assert P.train_val_split(df, ["id"], val_split=1.0).where("is_val").count() == 999
 
 
+def test_draws_from_thousands_of_classes(spark):
+    """Names that need quoting, a null class, and more classes than a nested expression could hold."""
+    name = F.when(F.col("id") % 2500 == 7, None).otherwise(F.concat(F.lit("a'b\\"), (F.col("id") % 2500).cast("string")))
+    df = spark.range(10_000).select("id", name.alias("y"))
+    sizes = P.stratified_split(df, ["id"], test_size=0.25).groupBy("y", "part").count().where("part = 'test'").collect()
+    assert len(sizes) == 2500 and {r["count"] for r in sizes} == {1}
+
+
 def test_confidence_rejects_bad_distances(spark):
     df = spark.createDataFrame([(0, 0.1), (1, float("nan"))], "cluster_id int, distance_norm double")
     with pytest.raises(ValueError):
