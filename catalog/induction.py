@@ -113,7 +113,7 @@ def _text(lit: str) -> str:
 
 
 def combos(spark, rows, groups, stage, n, pool):
-    out = S._combined(rows, pool, groups, stage, n, set(), None)
+    out = S.combined_rules(rows, pool, groups, stage, n)
     data = [
         ("&".join(sorted(f"{f}{op}{round(v, 3)!r}" for f, op, v in cond)), s["support"]) for cond, s in out
     ]
@@ -322,9 +322,11 @@ od AS (SELECT gn.*, o, row_number() OVER (ORDER BY o, pos, CASE WHEN op = '==' T
 
 def first_step(spark, sf_dir):
     t = task(spark, sf_dir)
+    t.rows.persist()
     pos = F.col("y") == 1
     cuts = I.numeric_candidates(t, pos, CFG)
     counts = I.step_counts(t, None, pos, ~pos, cuts, I.count_sets(t, pos, ~pos), every_value=True)
+    t.rows.unpersist()
     return t, cuts, counts, I.candidate_literals(t, counts, cuts)
 
 
@@ -353,6 +355,73 @@ def d11_best_literal(spark, sf_dir):
     return rounded(literal_rows(spark, [(*lit, g)], ", gain double"), 4)
 
 
+# Thresholds that lie on data values, more than any cap that was ever there: 49 cuts, 99 slots.
+_CUTS = [float(i) for i in range(2, 51)]
+
+
+def _step_rows(spark, counts, order):
+    rows = [(f, op, v, *counts.literals[(f, op, v)][:2]) for f, op, v in order]
+    return spark.createDataFrame(rows, "feature string, op string, value double, p1 bigint, n1 bigint")
+
+
+@query(
+    "d11_counts_on_data_values",
+    f"""WITH c AS (SELECT unnest({_CUTS}) AS v), y AS (SELECT l_quantity AS q, (l_discount > 0.05 AND l_quantity > 12)::INT AS y FROM lineitem)
+    SELECT 'l_quantity' AS feature, op, v AS value, count(*) FILTER (WHERE y = 1 AND CASE op WHEN '<' THEN q < v ELSE q > v END) AS p1,
+           count(*) FILTER (WHERE y = 0 AND CASE op WHEN '<' THEN q < v ELSE q > v END) AS n1 FROM y, c, (SELECT unnest(['<', '>']) AS op) GROUP BY op, v""",
+)
+def d11_counts_on_data_values(spark, sf_dir):
+    from catalog.common import table
+
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", ((F.col("l_discount") > 0.05) & (F.col("l_quantity") > 12)).cast("int").alias("y")
+    )
+    t = I.make_task(lines, ["l_orderkey", "l_linenumber"], ["l_quantity"])
+    pos, cuts = F.col("y") == 1, {"l_quantity": _CUTS}
+    counts = I.step_counts(t, None, pos, ~pos, cuts, I.count_sets(t, pos, ~pos))
+    return _step_rows(spark, counts, I.candidate_literals(t, counts, cuts))
+
+
+def _coded(spark, sf_dir, code):
+    return task_rows(spark, sf_dir).withColumn("code", code.cast("double"))
+
+
+_GAIN = "p1 * (ln((p1 + 1e-9) / (p1 + n1 + 1e-9)) - ln((p0 + 1e-9) / (p0 + n0 + 1e-9)))"
+
+
+@query(
+    "d11_wide_values_second_step",
+    rounded_sql(
+        f"""WITH {T_SQL}, i AS (SELECT y, (o_orderkey % 211)::DOUBLE AS code FROM t WHERE o_totalprice > 180000), tt AS (SELECT sum(y) AS p0, sum(1 - y) AS n0 FROM i),
+        g AS (SELECT code, sum(y) AS p1, sum(1 - y) AS n1 FROM i GROUP BY code)
+        SELECT 'code' AS feature, '==' AS op, code AS value, p1::BIGINT AS p1, n1::BIGINT AS n1, {_GAIN} AS gain FROM g, tt WHERE p1 >= 1 ORDER BY round({_GAIN}, 9) DESC, code LIMIT 1""",
+        "gain",
+    ),
+)
+def d11_wide_values_second_step(spark, sf_dir):
+    """The best of 211 dictionary values inside a rule, where it differs from the best before the rule."""
+    t = I.make_task(_coded(spark, sf_dir, F.col("o_orderkey") % 211), KEY, ["code", "o_totalprice"], dictionary=["code"])
+    pos, inside = F.col("y") == 1, F.col("o_totalprice") > 180000
+    base = I.count_sets(t, pos & inside, ~pos & inside)
+    counts = I.step_counts(t, inside, pos, ~pos, {}, base, ["o_totalprice"])
+    lit, g = I.best_literal(I.candidate_literals(t, counts, {}), counts, [])
+    return rounded(spark.createDataFrame([(*lit, *counts.literals[lit][:2], g)], "feature string, op string, value double, p1 bigint, n1 bigint, gain double"))
+
+
+@query(
+    "d11_large_codes",
+    f"""WITH {T_SQL}, c AS (SELECT y, (1000000 + 4 * (o_orderkey % 9))::DOUBLE AS code FROM t)
+    SELECT 'code' AS feature, '==' AS op, v.code AS value, count(*) FILTER (WHERE y = 1) AS p1, count(*) FILTER (WHERE y = 0) AS n1
+    FROM (SELECT DISTINCT code FROM c) v JOIN c ON abs(c.code - v.code) <= 1e-5 + 1e-5 * abs(v.code) GROUP BY v.code""",
+)
+def d11_large_codes(spark, sf_dir):
+    """Codes whose neighbours the `==` test of a rule accepts too: growth counts what the rule will cover."""
+    t = I.make_task(_coded(spark, sf_dir, F.col("o_orderkey") % 9 * 4 + 1_000_000), KEY, ["code"], dictionary=["code"])
+    pos = F.col("y") == 1
+    counts = I.step_counts(t, None, pos, ~pos, {}, I.count_sets(t, pos, ~pos), every_value=True)
+    return _step_rows(spark, counts, I.candidate_literals(t, counts, {}))
+
+
 def _grown_sql(max_literals: int, min_literals: int) -> str:
     """CTEs s1, s2, ...: the literal each growth step adds. Candidate order and thresholds are those of the first step."""
     parts = ["in0 AS (SELECT o_orderkey, y FROM t)"]

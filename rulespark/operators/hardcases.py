@@ -145,15 +145,15 @@ _PREDS = {"weighted_vote": "pred_weighted_vote", "first_hit": "pred_first_hit_la
 def bucket_summary(flagged: DataFrame, n_classes: int, by: Sequence[str] = ("dataset", "algo")) -> DataFrame:
     """Per group and (overlapping) bucket: size, quality of the four methods, deltas, fixes, breaks, means.
 
-    Rows are exploded into their buckets and reduced to (bucket, label, four predictions) cells before
-    the shuffle; all figures come from one aggregate over those cells.
+    Rows are reduced to (set of buckets, label, four predictions) cells before the shuffle; only those few cells are
+    exploded into their buckets, and all figures come from one aggregate over them.
     """
     preds = list(_PREDS.values())
-    kept = [*by, "true_label", *preds, *[F.col(c).cast("double").alias(c) for c in _MEANS.values()]]
-    rows = unnest(flagged, kept, _buckets(), "bucket")
-    cells = rows.groupBy(*by, "bucket", "true_label", *preds).agg(
+    kept = flagged.select(*by, "true_label", *preds, *[F.col(c).cast("double").alias(c) for c in _MEANS.values()], _buckets().alias("buckets"))
+    sets = kept.groupBy(*by, "buckets", "true_label", *preds).agg(
         F.count("*").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in _MEANS.values()]
     )
+    cells = unnest(sets, [c for c in sets.columns if c != "buckets"], "buckets", "bucket")
     n = F.col("n")
     sums = [F.sum("n").alias("n_samples"), *[F.sum(f"s_{c}").alias(f"s_{c}") for c in _MEANS.values()]]
     for c in range(n_classes):

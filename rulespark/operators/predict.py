@@ -95,16 +95,19 @@ def class_weights(df: DataFrame, label: str = "y", *, power: float = 0.5) -> Dat
 
 
 def random_forest_baseline(
-    train: DataFrame, test: DataFrame, features: Sequence[str], n_classes: int, *, trees: int = 400, seed: int = 42
+    train: DataFrame, test: DataFrame, features: Sequence[str], n_classes: int, *, trees: int = 400, depth: int = 30, bins: int = 128, seed: int = 42
 ) -> DataFrame:
-    """test plus `rf_proba` (K classes, floored at 1e-12 and renormalised) and `rf_pred`."""
+    """test plus `rf_proba` (K classes, floored at 1e-12 and renormalised) and `rf_pred`.
+
+    Trees grow until their leaves are pure, as far as `depth` lets them; 30 is the most that the library allows.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     assemble = VectorAssembler(inputCols=list(features), outputCol="rf_features")
     model = RandomForestClassifier(
-        featuresCol="rf_features", labelCol="y", numTrees=trees, seed=seed, probabilityCol="rf_raw", predictionCol="rf_label"
+        featuresCol="rf_features", labelCol="y", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, probabilityCol="rf_raw", predictionCol="rf_label"
     ).fit(assemble.transform(train))
     out = model.transform(assemble.transform(test)).withColumn("rf_p", vector_to_array("rf_raw"))
     p = [F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(1e-12)) for x in M.unpack(F.col("rf_p"), n_classes)]
