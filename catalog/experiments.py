@@ -164,9 +164,22 @@ def l8_significance(spark, sf_dir):
     return rounded(E.significance(E.paired_deltas(runs(spark, sf_dir))).drop("z", "exact", "p_value"))
 
 
-@query("l8_significance_p_values")
+@query(
+    "l8_significance_p_values",
+    rounded_sql(
+        f"""WITH RECURSIVE {PAIRED}, r AS (SELECT *, rank() OVER (PARTITION BY metric, "left", "right" ORDER BY abs(delta)) AS rk,
+              CASE WHEN metric IN ('acc', 'macro_f1') THEN delta ELSE -delta END AS sd FROM pd WHERE delta <> 0),
+        w AS (SELECT metric, "left", "right", sum(CASE WHEN sd > 0 THEN rk ELSE 0 END)::BIGINT AS w_plus, count(*) AS n_used FROM r GROUP BY ALL),
+        ways AS (SELECT 0 AS k, list_transform(range(1276), lambda s: (s = 0)::BIGINT) AS c UNION ALL
+                 SELECT k + 1, list_transform(range(1, 1277), lambda s: c[s] + CASE WHEN s > k + 1 THEN c[s - k - 1] ELSE 0 END) FROM ways WHERE k < 50)
+        SELECT metric, "left", "right", n_used, w_plus::DOUBLE AS w_plus, list_sum(c[w_plus + 1:])::DOUBLE / pow(2, k) AS p_value FROM w JOIN ways ON k = n_used""",
+        "w_plus p_value", 9,
+    ),
+)
 def l8_significance_p_values(spark, sf_dir):
-    return E.significance(E.paired_deltas(runs(spark, sf_dir)))
+    """The exact one-sided tail: subsets of the ranks 1..n whose sum reaches W+. These deltas have no ties and no zeros."""
+    found = E.significance(E.paired_deltas(runs(spark, sf_dir)))
+    return rounded(found.select("metric", "left", "right", "n_used", "w_plus", "p_value"), 9)
 
 
 @query(

@@ -524,7 +524,7 @@ def d16_induce_class(spark, sf_dir):
     t = task(spark, sf_dir)
     t.rows.persist()
     sizes = {r["y"]: r["count"] for r in t.rows.groupBy("y").count().collect()}
-    cfg = I.InductionConfig(algo="foil", max_rules_per_class=16)
+    cfg = I.InductionConfig(algo="foil")
     rules = I.induce_class(t, 1, sizes, cfg, set(), 0)
     t.rows.unpersist()
     return rules_frame(spark, rules)
@@ -532,7 +532,7 @@ def d16_induce_class(spark, sf_dir):
 
 @query("d17_induce_rules_foil")
 def d17_induce_rules_foil(spark, sf_dir):
-    return rules_frame(spark, I.induce_rules(task_rows(spark, sf_dir), KEY, FEATURES, I.InductionConfig(algo="foil", max_rules_per_class=12)))
+    return rules_frame(spark, I.induce_rules(task_rows(spark, sf_dir), KEY, FEATURES, I.InductionConfig(algo="foil")))
 
 
 @query("d17_induce_rules_ripper_documents")
@@ -540,5 +540,5 @@ def d17_induce_rules_ripper_documents(spark, sf_dir):
     coded, _ = P.encode_categoricals(docs(spark, sf_dir).withColumnRenamed("lang", "lang_code").withColumnRenamed("source", "source_code"))
     return rules_frame(
         spark,
-        I.induce_rules(coded, ["doc_id"], DOC_FEATURES, I.InductionConfig(algo="ripper", max_rules_per_class=12), dictionary=["lang_code", "source_code"]),
+        I.induce_rules(coded, ["doc_id"], DOC_FEATURES, I.InductionConfig(algo="ripper"), dictionary=["lang_code", "source_code"]),
     )

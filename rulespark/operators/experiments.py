@@ -78,17 +78,26 @@ def metric_cells(agg: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     return agg.select("dataset", "method", F.explode(cells).alias("c")).select("dataset", "method", "c.*").where("value IS NOT NULL")
 
 
-def mean_rank(agg: DataFrame, metrics: Sequence[str] = METRICS, *, tie: float | None = None) -> DataFrame:
+def mean_rank(agg: DataFrame, metrics: Sequence[str] = METRICS, *, tie: float = 1e-12) -> DataFrame:
     """Mean and population deviation over datasets of each method's rank, ties sharing their average rank.
 
-    With `tie`, values closer than it count as equal.
+    Scores tie with the best of their run: a run ends at the first score more than `tie` below its first one. A dataset
+    and metric has a score per method, few enough to be walked inside one row.
     """
     cells = metric_cells(agg, metrics)
-    if tie is not None:
-        cells = cells.withColumn("score", F.round(F.col("score") / tie) * tie)
-    order = Window.partitionBy("dataset", "metric").orderBy(F.desc("score"))
-    same = Window.partitionBy("dataset", "metric", "score")
-    ranked = cells.withColumn("rank", F.rank().over(order) + (F.count("*").over(same) - 1) / 2.0)
+    scores = cells.groupBy("dataset", "metric").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "method"))).alias("xs"))
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.array().cast("array<double>").alias("firsts"))
+
+    def walk(acc: Column, x: Column) -> Column:
+        first = F.when(acc["first"].isNull() | (x["s"] - acc["first"] > tie), x["s"]).otherwise(acc["first"])
+        return F.struct(first.alias("first"), F.array_append(acc["firsts"], first).alias("firsts"))
+
+    firsts = F.aggregate("xs", start, walk, lambda acc: acc["firsts"])
+    runs = scores.withColumn("run", firsts).select("dataset", "metric", F.explode(F.arrays_zip("xs", "run")).alias("c"))
+    runs = runs.select("dataset", "metric", F.col("c.xs.method").alias("method"), F.col("c.run").alias("run"))
+    order = Window.partitionBy("dataset", "metric").orderBy("run")
+    same = Window.partitionBy("dataset", "metric", "run")
+    ranked = runs.withColumn("rank", F.rank().over(order) + (F.count("*").over(same) - 1) / 2.0)
     return ranked.groupBy("metric", "method").agg(F.avg("rank").alias("mean_rank"), F.stddev_pop("rank").alias("std_rank"))
 
 
