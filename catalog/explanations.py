@@ -130,6 +130,20 @@ def i5_combined_condition(spark, sf_dir):
     return rows.select(*KEY, "n_fired", X.combined_condition(RULES).alias("combined_condition"))
 
 
+@query(
+    "e4_find_firing_examples",
+    f"""{_contrib_sql(X.mass_weights(RULES))}, {_texts_sql()},
+    r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY round(abs(weight), 12) DESC, rule_id) AS rk,
+                 max((weight > 0)::INT) OVER (PARTITION BY o_orderkey) AS anyp FROM con JOIN txt USING (rule_id)),
+    top AS (SELECT o_orderkey, n_fired FROM fused WHERE n_fired > 0 ORDER BY n_fired DESC, o_orderkey LIMIT 20),
+    t AS (SELECT o_orderkey, n_fired, coalesce(c, '') AS condition FROM top LEFT JOIN
+      (SELECT o_orderkey, string_agg(t, ' AND ' ORDER BY rk) AS c FROM r WHERE weight > 0 OR (anyp = 0 AND rk = 1) GROUP BY 1) USING (o_orderkey))
+    SELECT *, row_number() OVER (ORDER BY condition = '', n_fired DESC, o_orderkey) = 1 AS example FROM t""",
+)
+def e4_find_firing_examples(spark, sf_dir):
+    return X.firing_examples(orders(spark, sf_dir), RULES, KEY, 20)
+
+
 @query(
     "i6_explain_summary",
     rounded_sql(

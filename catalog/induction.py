@@ -299,6 +299,23 @@ def d8_threshold_proposals_refined(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "feature string, kind int, rank int, threshold double"), 4)
 
 
+_LINES = """t AS (SELECT l_orderkey * 10 + l_linenumber AS o_orderkey, l_quantity, l_extendedprice, (l_discount > 0.05 AND l_quantity > 12)::INT AS y FROM lineitem),
+cells AS (SELECT o_orderkey, y, 'l_quantity' AS feature, l_quantity AS value FROM t UNION ALL SELECT o_orderkey, y, 'l_extendedprice', l_extendedprice FROM t)"""
+
+
+@query(
+    "d8_threshold_proposals_two_keys",
+    rounded_sql(f"WITH {PROPOSALS.replace(T_SQL, _LINES).replace(str(tuple(NUMERIC)), str(('l_quantity', 'l_extendedprice')))} SELECT * FROM pr", "threshold", 4),
+)
+def d8_threshold_proposals_two_keys(spark, sf_dir):
+    """Ties are ordered by the key's columns when it has several, as when it is one number."""
+    from catalog.common import table
+
+    lines = table(spark, sf_dir, "lineitem").withColumn("y", ((F.col("l_discount") > 0.05) & (F.col("l_quantity") > 12)).cast("int"))
+    t = I.make_task(lines, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice"])
+    return rounded(I.threshold_proposals(t, F.col("y") == 1, CFG), 4)
+
+
 @query("d8_numeric_candidates", rounded_sql(f"WITH {PROPOSALS} SELECT feature, pos, threshold FROM ca", "threshold", 4))
 def d8_numeric_candidates(spark, sf_dir):
     cuts = I.numeric_candidates(task(spark, sf_dir), F.col("y") == 1, CFG)

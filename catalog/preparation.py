@@ -183,6 +183,19 @@ def b11_stratified_split_sizes(spark, sf_dir):
     return split.groupBy("y", "part").agg(F.count("*").alias("n"))
 
 
+@query(
+    "b11_split_many_classes",
+    """WITH c AS (SELECT o_custkey % 450 AS y, count(*) AS n, sum(count(*)) OVER () AS t FROM orders GROUP BY 1),
+        s AS (SELECT y, n, ceil(0.16 * t) AS w, ceil(0.16 * t) * n / t AS share FROM c),
+        r AS (SELECT y, n, floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, y::VARCHAR)
+                     <= w - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS test FROM s)
+        SELECT y, 'test' AS part, test::BIGINT AS n FROM r WHERE test > 0 UNION ALL SELECT y, 'train', (n - test)::BIGINT FROM r WHERE n > test""",
+)
+def b11_split_many_classes(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 450).alias("y"))
+    return P.stratified_split(rows, ["o_orderkey"]).groupBy("y", "part").agg(F.count("*").alias("n"))
+
+
 @query(
     "b11_modulus_split",
     f"WITH {ORDERS_SQL} SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM ord",

@@ -108,17 +108,6 @@ def e3_fired_rules_for_row(spark, sf_dir):
     return A.fired_overview(orders(spark, sf_dir), ORDER_RULES, ["o_orderkey"])
 
 
-@query(
-    "e4_find_firing_examples",
-    f"WITH {ORDERS_SQL}, {rules_sql(ORDER_RULES)}, {fired_sql('ord', ['o_orderkey'], ORDER_RULES)} "
-    "SELECT o_orderkey, count(*) AS n_fired, string_agg(caption, ' AND ' ORDER BY rule_id) AS condition "
-    "FROM fired JOIN rules USING (rule_id) GROUP BY ALL ORDER BY n_fired DESC, o_orderkey LIMIT 20",
-)
-def e4_find_firing_examples(spark, sf_dir):
-    fired = A.activate(orders(spark, sf_dir), ORDER_RULES, ["o_orderkey"])
-    return A.firing_examples(fired, rules_frame(spark, ORDER_RULES), ["o_orderkey"], 20)
-
-
 # ---------------------------------------------------------------- F fusion
 
 

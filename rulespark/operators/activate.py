@@ -182,19 +182,6 @@ def fired_overview(df: DataFrame, rules: RuleSet, key: Sequence[str]) -> DataFra
     )
 
 
-def firing_examples(fired: DataFrame, rules: DataFrame, key: Sequence[str], limit: int) -> DataFrame:
-    """Rows with the most fired rules, with the merged condition of everything that fired."""
-    conds = rules.select("rule_id", "caption", "n_literals").where("n_literals > 0")
-    return (
-        fired.join(small_side(conds), "rule_id")
-        .groupBy(*key)
-        .agg(F.count("*").alias("n_fired"), F.array_sort(F.collect_list(F.struct("rule_id", "caption"))).alias("c"))
-        .select(*key, "n_fired", F.array_join(F.col("c.caption"), " AND ").alias("condition"))
-        .orderBy(F.desc("n_fired"), *key)
-        .limit(limit)
-    )
-
-
 def any_rule_holds(rules: Sequence) -> Column:
     flags = [F.coalesce(rule_holds(r.literals), F.lit(False)) for r in rules]
     return balanced(or_, flags) if flags else F.lit(False)

@@ -110,6 +110,19 @@ def combined_condition(rules: RuleSet) -> Column:
     return F.array_join(F.when(F.size(positive) > 0, positive).otherwise(top), " AND ")
 
 
+def firing_examples(df: DataFrame, rules: RuleSet, key: Sequence[str], limit: int, *, mode: str = "mass") -> DataFrame:
+    """The rows with the most fired rules and the combined condition of each; `example` marks the first that has one.
+
+    Rows are ranked by how many rules fire, in every task first; only those that stay are scored and explained.
+    """
+    fired = with_fired(df, rules).withColumn("n_fired", F.size("fired")).where("n_fired > 0")
+    top = fired.orderBy(F.desc("n_fired"), *key).limit(limit).drop("fired", "n_fired")
+    rows = explained(top, rules, mode=mode).select(*key, "n_fired", combined_condition(rules).alias("condition"))
+    place = F.struct(F.length(F.trim("condition")) == 0, -F.col("n_fired"), *key)
+    first = F.min(place).over(Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # `limit` rows
+    return rows.withColumn("example", place == first)
+
+
 def rules_pool(rules: RuleSet) -> Column:
     captions = F.array(*[F.lit(r.caption or default_caption(r.literals)) for r in rules])
     masses = F.array(*[_doubles([round(m, 6) for m in r.mass]) for r in rules])
