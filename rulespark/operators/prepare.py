@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rulespark.operators import order_stats as O
 from rulespark.operators.activate import melt
-from rulespark.session import ensure_checkpoint_dir, small_side
+from rulespark.session import ensure_checkpoint_dir, fits_broadcast, small_side
 
 ID_WORDS = ("id", "uid", "identifier")
 # Preferred label names, fixed values.
@@ -161,6 +161,22 @@ def _bucketed_codes(values: DataFrame, size: int) -> DataFrame:
     )
 
 
+SALTS = 32
+
+
+def _look_up(df: DataFrame, key: str, entries: DataFrame, *, salts: int = SALTS) -> DataFrame:
+    """df left-joined to entries (_v, _c) on key = _v: broadcast where they fit, else spread over `salts`.
+
+    A column's most frequent value, and all its NULLs, would each meet the dictionary in one task. Rows get a salt from
+    their other columns and the dictionary is repeated for each, so that a hot value is `salts` keys.
+    """
+    if fits_broadcast(entries):
+        return df.join(F.broadcast(entries), F.col(key) == F.col("_v"), "left")
+    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    copies = entries.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, (F.col(key) == F.col("_v")) & (F.col("_salt") == F.col("_copy")), "left").drop("_salt", "_copy")
+
+
 def encode_with_dictionary(
     df: DataFrame, value_dim: DataFrame, columns: Sequence[str], *, unknown: str = "code", trim: bool = False
 ) -> DataFrame:
@@ -170,12 +186,11 @@ def encode_with_dictionary(
         raise ValueError("unknown must be 'code' or 'parse'")
     out = df
     for c in columns:
-        # Each column joins its own slice; a slice too wide to broadcast is joined by shuffle.
-        dim = small_side(value_dim.where(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("code").alias("_c")))
+        dim = value_dim.where(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("code").alias("_c"))
         raw = F.col(c).cast("string")
         key = F.trim(raw) if trim else raw
         other = F.lit(-1.0) if unknown == "code" else F.coalesce(raw.try_cast("double"), F.lit(0.0))
-        joined = out.withColumn("_k", key).join(dim, F.col("_k") == F.col("_v"), "left")
+        joined = _look_up(out.withColumn("_k", key), "_k", dim)
         out = joined.withColumn(c, F.coalesce(F.col("_c").cast("double"), other)).drop("_k", "_v", "_c")
     return out
 
@@ -202,9 +217,9 @@ def decode_features(df: DataFrame, value_dim: DataFrame, columns: Sequence[str])
     """Codes back to their strings; codes without an entry are shown as they are."""
     out = df
     for c in columns:
-        dim = small_side(value_dim.where(F.col("feature") == c).select(F.col("code").alias("_c"), F.col("value").alias("_v")))
-        out = out.join(dim, F.col(c).cast("bigint") == F.col("_c"), "left")
-        out = out.withColumn(c, F.coalesce(F.col("_v"), F.col(c).cast("string"))).drop("_c", "_v")
+        dim = value_dim.where(F.col("feature") == c).select(F.col("code").cast("bigint").alias("_v"), F.col("value").alias("_c"))
+        out = _look_up(out.withColumn("_k", F.col(c).cast("bigint")), "_k", dim)
+        out = out.withColumn(c, F.coalesce(F.col("_c"), F.col(c).cast("string"))).drop("_k", "_c", "_v")
     return out
 
 

@@ -178,3 +178,23 @@ def test_collected_runs_have_all_columns(spark, tmp_path):
     b = write(tmp_path, "bench__b.csv", "dataset,inducer,seed,system,acc,ece\nb,RF,1,rf,0.7,nan\n")
     got = run_files.collect_runs(spark, [a, b])
     assert got.count() == 2 and {"unc_comb", "ece", "split_seed", "method"} <= set(got.columns)
+
+
+def test_wide_dictionaries_are_joined_in_salted_parts(spark, monkeypatch):
+    """Past the broadcast bound a hot value and the NULLs are spread; codes and decoded strings are the same."""
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"v{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, c string")
+    dim = P.value_dictionary(df, ["c"])
+    want = {r["id"]: r["c"] for r in P.encode_with_dictionary(df, dim, ["c"]).collect()}
+    monkeypatch.setattr(P, "fits_broadcast", lambda entries: False)
+    coded = P.encode_with_dictionary(df, dim, ["c"])
+    assert {r["id"]: r["c"] for r in coded.collect()} == want
+    back = {r["id"]: r["c"] for r in P.decode_features(coded, dim, ["c"]).collect()}
+    assert all(back[i] == (c if c is not None else "-1.0") for i, c in rows)
+
+
+def test_broadcasts_are_measured_in_bytes(spark):
+    from rulespark.session import fits_broadcast
+
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array(F.lit("ab"), F.lit(None)).alias("a"))
+    assert fits_broadcast(df) and not fits_broadcast(df, max_bytes=50_000) and not fits_broadcast(df, 99)
