@@ -208,3 +208,27 @@ def test_streaming_scores_equal_batch_scores(spark, random_case, tmp_path):
         assert got == {r["id"]: (r["pred"], r["n_fired"]) for r in predict.score(df, rules, method=method).collect()}
     with pytest.raises(ValueError):
         score_stream(df, rules)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_forms_agree_on_odd_values(spark, exact):
+    """Longs past 2^53, booleans, NULL, NaN and infinities; large codes that the tolerant `==` cannot tell apart."""
+    big = 2**53
+    rows = [(0, big + 1, True, 1.0), (1, big, False, float("nan")), (2, None, None, None), (3, -5, True, float("inf")), (4, 0, False, float("-inf")),
+            (5, 1_000_000, True, 0.0), (6, 1_000_001, False, -0.0), (7, 2**62 + 3, None, 1e-6)]
+    df = spark.createDataFrame(rows, "id long, n long, b boolean, x double")
+    literals = [("n", "==", float(big)), ("n", ">", 1e15), ("n", "<", 0.0), ("n", "==", 1_000_000.0), ("b", "==", 1.0), ("b", "<", 0.5), ("x", ">", 0.0), ("x", "<", 0.0),
+                ("x", "==", 0.0)]
+    rules = RuleSet(tuple(Rule(i, 0, (lit,)) for i, lit in enumerate(literals)) + (Rule(len(literals), 1, (("n", ">", 0.0), ("b", "==", 1.0))),), 2, exact_eq=exact)
+    pairs = lambda fired: {(r["id"], r["rule_id"]) for r in fired.collect()}
+    columns = pairs(A.activate(df, rules, ["id"], form="columns"))
+    assert columns == pairs(A.activate(df, rules, ["id"], form="batches"))
+    numbers = df.select("id", *[F.col(c).cast("double").alias(c) for c in "nbx"])
+    assert columns == pairs(A.activate_relational(numbers, rules_frame(spark, rules), ["id"], ["n", "b", "x"], exact_eq=exact))
+    assert ((6, 3) in columns) == (not exact) and (5, 3) in columns
+
+
+def test_no_rules_fire_nothing(spark):
+    none = RuleSet((), 2)
+    for form in ("columns", "batches"):
+        assert [r["fired"] for r in A.with_fired(spark.range(3), none, form=form).collect()] == [[]] * 3
