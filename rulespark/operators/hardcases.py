@@ -15,6 +15,7 @@ from rulespark.operators.fuse import dempster_vec, fuse_yager_from, label_table,
 from rulespark.operators.predict import first_hit_vec
 from rulespark.rules import RuleSet
 
+# Names of flags and methods. Fixed values.
 FLAGS = ("disagreement", "high_depth", "low_weighted_margin", "minority_true_rule_support", "one_true_many_wrong")
 METHOD_PREDICTIONS = {
     "weighted_vote": "pred_weighted_vote", "first_hit_laplace": "pred_first_hit_laplace",
@@ -132,6 +133,7 @@ def _buckets() -> Column:
     return F.array_compact(F.array(*[F.when(t, F.lit(b)) for b, t in tests.items()]))
 
 
+# Columns of the bucket summary, the profile and the overview. Fixed values.
 _MEANS = {
     "mean_rules_fired": "n_rules_fired", "mean_true_rule_count": "true_rule_count",
     "mean_max_wrong_rule_count": "max_wrong_rule_count", "mean_raw_margin_weighted": "weighted_vote_margin",
@@ -196,6 +198,7 @@ def bucket_summary(flagged: DataFrame, n_classes: int, by: Sequence[str] = ("dat
     )
 
 
+# Fixed values.
 PROFILE_COLUMNS = (
     "n_samples", "share_of_test", "delta_acc_vs_weighted", "delta_macro_f1_vs_weighted", "delta_rf_acc_vs_weighted",
     "delta_rf_macro_f1_vs_weighted", "delta_dsgd_acc_vs_rf", "delta_dsgd_macro_f1_vs_rf", "weighted_vote_fix_count",
@@ -208,6 +211,7 @@ def bucket_profile(summary: DataFrame) -> DataFrame:
     return summary.groupBy("algo", "bucket").agg(*[F.avg(c).alias(f"{c}_mean") for c in PROFILE_COLUMNS])
 
 
+# Fixed values.
 _OVERVIEW = {
     "mean_hard_flag_count": "hard_case_flag_count", **{f"share_{f}": f for f in FLAGS},
     "weighted_vote_acc": "weighted_vote_correct", "first_hit_acc": "first_hit_correct",

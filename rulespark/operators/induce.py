@@ -38,6 +38,7 @@ TIERS = ((0.80, 8, 2), (0.60, 6, 1), (0.40, 5, 1), (0.20, 4, 1))
 QUANTILES = (0.05, 0.15, 0.30, 0.50, 0.70, 0.85, 0.95)
 
 
+# The defaults are the original's limits. Fixed values.
 @dataclass(frozen=True)
 class InductionConfig:
     algo: str = "ripper"
