@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulespark.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from rulespark.llm import exact_dedup, mixing, simhash, toxicity
 from rulespark.llm.common import documents, stored, taken_name
-from rulespark.llm.queries import token_digests, tokenizer
+from rulespark.llm.queries import token_digests
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ranks = tokenizer()
-    return token_digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return token_digests(docs)
 
 
 STAGES = [

@@ -14,10 +14,11 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from rulespark.llm.common import stored
+from rulespark.llm.common import stored_by
 
-CHUNK_CHARS = 24_000_000  # texts whose words are numbered together: bounds what one group holds, unless one text is longer
+CHUNK_CHARS = 8_000_000  # texts whose words are numbered together: bounds what one group holds, unless one text is longer
 BUCKETS = 512  # groups of words by hash; a bucket's distinct words are held by one task
 
 
@@ -90,6 +91,38 @@ def _expand(blob: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u4").astype(np.int64)
 
 
+_ONE, _TWO, _THREE = 192, 56, 7  # first bytes that stand alone, that need one more, that need two more
+
+
+def _squeeze_ranks(ranks: np.ndarray) -> bytes:
+    """Word ranks, small ones most often: first, second and third bytes and what is larger as separate zstd streams."""
+    wide = ranks - _ONE
+    far = wide - (_TWO << 8)
+    two, three, rest = (wide >= 0) & (far < 0), (far >= 0) & (far < _THREE << 16), far >= _THREE << 16
+    first = np.where(wide < 0, ranks, np.where(two, _ONE + (wide >> 8), np.where(three, _ONE + _TWO + (far >> 16), 255)))
+    second = np.where(two, wide, far >> 8)[two | three] & 255
+    parts = [first.astype(np.uint8), second.astype(np.uint8), (far[three] & 255).astype(np.uint8), far[rest].astype("<u4")]
+    blobs = [zstandard.ZstdCompressor(level=3).compress(p.tobytes()) for p in parts]
+    return b"".join(len(b).to_bytes(4, "big") + b for b in blobs)
+
+
+def _expand_ranks(blob: bytes) -> np.ndarray:
+    parts, at = [], 0
+    for kind in (np.uint8, np.uint8, np.uint8, "<u4"):
+        size = int.from_bytes(blob[at : at + 4], "big")
+        parts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at + 4 : at + 4 + size]), kind).astype(np.int64))
+        at += 4 + size
+    first, second, third, rest = parts
+    two, three, more = (first >= _ONE) & (first < _ONE + _TWO), (first >= _ONE + _TWO) & (first < 255), first == 255
+    out = first.copy()
+    wide = np.zeros(len(first), np.int64)
+    wide[two | three] = second
+    out[two] = _ONE + ((first[two] - _ONE) << 8) + wide[two]
+    out[three] = _ONE + (_TWO << 8) + ((first[three] - _ONE - _TWO) << 16) + (wide[three] << 8) + third
+    out[more] = _ONE + (_TWO << 8) + rest
+    return out
+
+
 def _pack_words(words: list[bytes]) -> bytes:
     sizes = _squeeze(np.fromiter(map(len, words), np.int64, len(words)))
     return len(sizes).to_bytes(4, "big") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
@@ -108,8 +141,8 @@ _CHUNKS = "chunk bigint, bucket int, blob binary, ids array<{id}>, n array<bigin
 def _number_words(df: DataFrame, pattern: str, id_type: str) -> DataFrame:
     """Chunks of texts as rows: bucket -1 has each text's word numbers in order; bucket b the chunk's words in bucket b.
 
-    Words are numbered bucket by bucket, in each the frequent ones first, so that a chunk's word list needs no numbers
-    beside it: positions are what the sequences hold.
+    Words are numbered by frequency. The row of numbers begins with the bucket of each, so a bucket's words, which lie
+    in the same order, need no numbers beside them: positions are what the sequences hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +157,19 @@ def _number_words(df: DataFrame, pattern: str, id_type: str) -> DataFrame:
         def close() -> pa.RecordBatch:
             nonlocal ids, sizes, number, sequence, held, turn
             words = [w.encode() for w in number]
-            flat = np.concatenate(sequence) if sequence else np.empty(0, np.int32)
-            bucket = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in words), np.int64, len(words))
-            uses = np.bincount(flat, minlength=len(words))
-            order = np.lexsort((-uses, bucket))
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            chunk = task << 24 | turn
-            rows = [(chunk, -1, _squeeze(place[flat]), ids, sizes)]
+            flat = np.concatenate(sequence)
+            by_use = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[by_use] = np.arange(len(words))
+            bucket = np.fromiter((xxhash.xxh32_intdigest(words[i]) % BUCKETS for i in by_use), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).tolist()
+            chunk = task << 24 | turn
+            buckets = _squeeze(bucket)
+            rows = [(chunk, -1, len(buckets).to_bytes(4, "big") + buckets + _squeeze_ranks(rank[flat]), ids, sizes)]
             for b in range(BUCKETS):
                 if edges[b] < edges[b + 1]:
-                    rows.append((chunk, b, _pack_words([words[i] for i in order[edges[b] : edges[b + 1]]]), None, None))
+                    rows.append((chunk, b, _pack_words([words[by_use[i]] for i in order[edges[b] : edges[b + 1]]]), None, None))
             ids, sizes, number, sequence, held = [], [], {}, [], 0
             turn += 1
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(id_arrow), pa.list_(pa.int64())]
@@ -186,80 +220,82 @@ def _encode_words(rows: DataFrame, ranks) -> DataFrame:
     return rows.mapInArrow(run, "chunk bigint, bucket int, blob binary")
 
 
-def _reassemble(rows: DataFrame, id_type: str) -> DataFrame:
-    """(id, ids) of each text: a chunk's rows come word lists first, in bucket order, then the sequences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, sizes, flat = None, [], []
-        for batch in batches:
-            for chunk, place, blob, ids, counts in zip(*(batch.column(i) for i in range(5))):
-                if chunk.as_py() != current:
-                    current, sizes, flat = chunk.as_py(), [], []
-                blob = blob.as_py()
-                if place.as_py() < BUCKETS:
-                    split = 4 + int.from_bytes(blob[:4], "big")
-                    sizes.append(_expand(blob[4:split]))
-                    flat.append(_expand(blob[split:]))
-                    continue
-                size = np.concatenate([*sizes, np.empty(0, np.int64)])
-                tokens = np.concatenate([*flat, np.empty(0, np.int64)]).astype(np.int32)
-                start = np.cumsum(size) - size
-                sequence, sizes, flat = _expand(blob), [], []
-                edges = np.cumsum([0, *counts.as_py()])
-                at = 0
-                while at < len(ids):  # texts of about a million words at a time
-                    to = max(at + 1, int(np.searchsorted(edges, edges[at] + 1_000_000)) - 1)
-                    words = sequence[edges[at] : edges[to]]
-                    n = size[words]
-                    ends = np.cumsum(n)
-                    take = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - start[words], n)
-                    offsets = np.concatenate([[0], ends])[edges[at : to + 1] - edges[at]]
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens[take]))
-                    yield pa.RecordBatch.from_arrays([ids.values[at:to], lists], names=["id", "ids"])
-                    at = to
-
-    return rows.mapInArrow(run, f"id {id_type}, ids array<int>")
-
-
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_table(ranks: dict[bytes, int]) -> np.ndarray:
+    """Bytes of each token by its id: one entry per rank, a fixed size."""
+    table = np.empty(max(ranks.values()) + 1, object)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
+def _bytes_of(lists: pa.ListArray, tokens: np.ndarray) -> pa.Array:
+    edges, values = np.asarray(lists.offsets).tolist(), np.asarray(lists.values)
+    return pa.array([b"".join(tokens[values[a:b]].tolist()) for a, b in zip(edges, edges[1:])], pa.binary())
+
+
+def _reassemble(sequences: DataFrame, coded: DataFrame, id_type: str, ranks, decoded: bool) -> DataFrame:
+    """(id, ids) of each text, and its bytes: a chunk's word numbers meet the ids of its words."""
+    known: dict = {}  # a worker's token-byte table
+
+    def run(numbers: pa.Table, words: pa.Table) -> pa.Table:
+        if decoded and not known:
+            known["table"] = token_table(ranks.value)
+        sizes, flat = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for blob in words.sort_by("bucket").column("blob").to_pylist():
+            split = 4 + int.from_bytes(blob[:4], "big")
+            sizes.append(_expand(blob[4:split]))
+            flat.append(_expand(blob[split:]))
+        size, tokens = np.concatenate(sizes), np.concatenate(flat).astype(np.int32)
+        start = np.cumsum(size) - size
+        blob = numbers.column("blob")[0].as_py()
+        split = 4 + int.from_bytes(blob[:4], "big")
+        by_bucket = np.argsort(_expand(blob[4:split]), kind="stable")  # word numbers in the order of the coded words
+        place = np.empty(len(by_bucket), np.int64)
+        place[by_bucket] = np.arange(len(by_bucket))
+        sequence = place[_expand_ranks(blob[split:])]
+        n = size[sequence]
+        ends = np.cumsum(n)
+        take = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - start[sequence], n)
+        offsets = np.concatenate([[0], ends])[np.cumsum([0, *numbers.column("n")[0].as_py()])]
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens[take]))
+        texts = [_bytes_of(lists, known["table"])] if decoded else []
+        return pa.Table.from_arrays([numbers.column("ids").chunk(0)[0].values, lists, *texts], names=["id", "ids", *["bytes"] * decoded])
+
+    both = sequences.groupBy("chunk").cogroup(coded.groupBy("chunk"))
+    return both.applyInArrow(run, f"id {id_type}, ids array<int>" + ", bytes binary" * decoded)
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, decoded: bool = False) -> DataFrame:
     """(id, ids): token ids of every whole text, one row per row of df; a null text is empty and has no ids.
 
+    With `decoded` also the bytes of the ids, joined from the token-byte table in the task that put the ids together.
+
     The global distinct-word shuffle, in compact form. Pre-tokens are exploded inside a task: a chunk of texts becomes
     word numbers in text order (the positions) and its distinct words. Words go by hash to buckets, where each distinct
     word is merged once however many chunks have it; ids go back to the chunks by word number, and texts are put together by
-    position. So what moves is a chunk's distinct words, their ids, and about 1.5 bytes a pre-token, never a row per
-    pre-token, and a frequent word is one entry per chunk. Chunks are numbered in the first pass, which is written to
-    the shared folder before use, so a lost executor cannot renumber them. Rows need no key: repeated and null ids
+    position. What moves is a chunk's distinct words and their ids, never a row per pre-token, and a frequent word is one
+    entry per chunk; the sequences, about a byte and a half a pre-token, are written once in buckets of the chunk number and
+    read where the ids arrive. So a lost executor cannot renumber chunks either. Rows need no key: repeated and null ids
     keep their own rows. An empty table gives an empty result.
     """
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
-    chunks = stored(_number_words(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), pattern, id_type), "chunks")
+    chunks = stored_by(_number_words(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), pattern, id_type), "chunks", "chunk")
     shared = spark.sparkContext.broadcast(ranks)
     words = chunks.where("bucket >= 0").select("chunk", "bucket", "blob").repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    coded = _encode_words(words, shared).select("chunk", F.col("bucket").alias("place"), "blob", F.lit(None).cast(f"array<{id_type}>").alias("ids"), F.lit(None).cast("array<bigint>").alias("n"))
-    sequences = chunks.where("bucket < 0").select("chunk", F.lit(BUCKETS).alias("place"), "blob", "ids", "n")
-    back = coded.unionByName(sequences).repartition("chunk").sortWithinPartitions("chunk", "place")
-    return _reassemble(back, id_type).withColumnRenamed("id", id_col)
+    sequences = chunks.where("bucket < 0").select("chunk", "blob", "ids", "n")
+    return _reassemble(sequences, _encode_words(words, shared), id_type, shared, decoded).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: str = "bytes") -> DataFrame:
-    """df with `out`, the bytes of its token ids, by the token-byte table (one entry per rank: a fixed size, broadcast)."""
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
-    table = np.empty(max(ranks.values()) + 1, object)
-    for token, rank in ranks.items():
-        table[rank] = token
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    """df with `out`, the bytes of its token ids, by the token-byte table, which is broadcast; null ids are empty."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
+        table = token_table(shared.value)
         for batch in batches:
-            texts = []
-            for ids in batch.column(at):
-                got = ids.values
-                texts.append(b"" if got is None else b"".join(tokens[got.to_numpy()].tolist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
+            texts = pa.array([b"".join(table[i] for i in ids or ()) for ids in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, BinaryType())]))

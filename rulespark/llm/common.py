@@ -20,6 +20,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df written like `stored`, in as many buckets of `key` as a shuffle has partitions, and read again.
+
+    No row moves for it, and a later grouping by `key` reads the buckets instead of shuffling.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = "stored_" + path.rsplit("-", 1)[-1]
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved: the files stay when the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -69,8 +69,9 @@ def tokenizer() -> dict[bytes, int]:
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def token_digests(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    return bpe.decode(coded, ranks).select(
+def token_digests(docs: DataFrame) -> DataFrame:
+    coded = bpe.encode(docs, tokenizer(), public_tokenizers.PATTERN, decoded=True)
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
@@ -80,8 +81,7 @@ def token_digests(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = tokenizer()
-    return token_digests(bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return token_digests(documents(spark, sf_dir))
 
 
 @query("op8_masked_lm")

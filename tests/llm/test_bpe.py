@@ -12,8 +12,9 @@ REFERENCE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeabl
 
 
 def check(df):
-    got = sorted(((r.doc_id, list(r.ids)) for r in bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect()), key=str)
-    want = sorted(((r.doc_id, REFERENCE.encode_ordinary(r.text or "")) for r in df.select("doc_id", "text").collect()), key=str)
+    rows = bpe.encode(df, RANKS, public_tokenizers.PATTERN, decoded=True).collect()
+    got = sorted(((r.doc_id, list(r.ids), bytes(r.bytes)) for r in rows), key=str)
+    want = sorted(((r.doc_id, REFERENCE.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in df.select("doc_id", "text").collect()), key=str)
     assert got == want
 
 
@@ -59,3 +60,18 @@ def test_decoding_of_no_ids(spark):
     df = spark.createDataFrame([(1, []), (2, None), (3, [0])], "doc_id long, ids array<int>")
     got = {r.doc_id: bytes(r.bytes) for r in bpe.decode(df, RANKS).collect()}
     assert got == {1: b"", 2: b"", 3: REFERENCE.decode_single_token_bytes(0)}
+
+
+def test_ranks_survive_coding():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for top in (1, 191, 192, 193, 14_527, 14_528, 14_529, 473_279, 473_280, 473_281, 5_000_000, 2**31):
+        ranks = np.concatenate([[0, top - 1, top], rng.integers(0, top + 1, 500)])
+        assert (bpe._expand_ranks(bpe._squeeze_ranks(ranks)) == ranks).all()
+    assert len(bpe._expand_ranks(bpe._squeeze_ranks(np.empty(0, np.int64)))) == 0
+
+
+def test_sequences_are_not_shuffled(spark, docs):
+    plan = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2, plan  # words to their buckets, ids to their chunks
