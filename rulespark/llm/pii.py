@@ -38,6 +38,7 @@ LEAST_GAIN = 1e-3
 HELD_OUT = 4  # every fourth text by hash calibrates and does not train
 PRECISION = 0.97  # that added spans of a kind must reach among calibration candidates
 LEAST_HITS = 20  # true candidates above a threshold that calibration needs to trust it
+LEAST_SCORE = 0.0  # log odds: what the trees think less likely than not is never added
 
 _WORDS = {
     "email": "e-?mail|contact|write|reply|address", "ip": "ip|host|server|addr|client|login|from",
@@ -191,7 +192,8 @@ def train(cells: DataFrame) -> Model:
 
     Labels are weak: a candidate is a hit if it overlaps a span that the base accepts. Every candidate of the corpus is
     in a cell; there are as many cells as different feature rows, however large the corpus. A round is DEPTH + 1
-    sums over them. A kind's threshold is the least score at which candidates of held-out texts are hits with PRECISION.
+    sums over them. A kind's threshold is the least score, LEAST_SCORE at least, from which on candidates of held-out texts
+    are hits with PRECISION.
     """
     totals = {r.kind: (r.n, r.hits) for r in cells.where("not held_out").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()}
     kinds = sorted(totals)
@@ -210,7 +212,7 @@ def train(cells: DataFrame) -> Model:
     above = Window.partitionBy("kind").orderBy(F.desc("score"))
     curve = steps.select("kind", "score", F.sum("n").over(above).alias("n"), F.sum("hits").over(above).alias("hits"))
     good = curve.where((F.col("hits") >= PRECISION * F.col("n")) & (F.col("hits") >= LEAST_HITS)).groupBy("kind").agg(F.min("score").alias("t"))
-    return Model(trees, bias, {r.kind: r.t for r in good.collect()})
+    return Model(trees, bias, {r.kind: max(r.t, LEAST_SCORE) for r in good.collect()})
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
