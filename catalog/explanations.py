@@ -194,9 +194,33 @@ def i9_inspection_checks(spark, sf_dir):
     return X.inspect_rows(orders(spark, sf_dir), RULES, KEY).drop("payload")
 
 
-@query("i9_inspect_rows")
+@query(
+    "i9_inspect_rows",
+    rounded_sql(
+        f"""{_contrib_sql(X.mass_weights(RULES))}, {_texts_sql()},
+        r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY round(abs(weight), 12) DESC, rule_id) AS rk,
+                     max((weight > 0)::INT) OVER (PARTITION BY o_orderkey) AS anyp FROM con JOIN txt USING (rule_id)),
+        c AS (SELECT o_orderkey, string_agg(t, ' AND ' ORDER BY rk) FILTER (WHERE weight > 0 OR (anyp = 0 AND rk = 1)) AS t, string_agg(rule_id, ',' ORDER BY rk) AS pool,
+                     string_agg(rule_id, ',' ORDER BY rule_id) AS fired FROM r GROUP BY 1)
+        SELECT o_orderkey, pred, p0, p1, p2, om AS omega, n_fired, coalesce(fired, '') AS fired, coalesce(t, '') AS condition, coalesce(pool, '') AS pool FROM fused LEFT JOIN c USING (o_orderkey)""",
+        "p0 p1 p2 omega",
+    ),
+)
 def i9_inspect_rows(spark, sf_dir):
-    return X.inspect_rows(orders(spark, sf_dir), RULES, KEY)
+    """The payload read back from its JSON."""
+    kind = (
+        "struct<prediction:struct<pred:int,proba:array<double>,unc_comb:double>,activation:struct<n_rules_fired:int,fired:array<int>>,"
+        "combined_rule:struct<combined_condition:string,rules_pool:array<struct<rule_id:int>>>>"
+    )
+    rows = X.inspect_rows(orders(spark, sf_dir), RULES, KEY).select(*KEY, F.from_json("payload", kind).alias("j"))
+    p, a, c = F.col("j.prediction"), F.col("j.activation"), F.col("j.combined_rule")
+    return rounded(
+        rows.select(
+            *KEY, p["pred"].alias("pred"), *[F.get(p["proba"], F.lit(i)).alias(f"p{i}") for i in range(3)], p["unc_comb"].alias("omega"),
+            a["n_rules_fired"].alias("n_fired"), F.concat_ws(",", a["fired"].cast("array<string>")).alias("fired"),
+            c["combined_condition"].alias("condition"), F.concat_ws(",", F.transform(c["rules_pool"], lambda x: x["rule_id"].cast("string"))).alias("pool"),
+        )
+    )
 
 
 @query(
