@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR
 
@@ -25,7 +26,7 @@ def odd(spark):
     rows = [(i, t, ["en", None][i % 2], ["s", None, "t"][i % 3], "x", 1) for i, t in enumerate(ODD_TEXTS)]
     rows += [(None, "a b c", "en", "s", "y", None), (3, "one", "en", "s", "y", 2), (3, "one", "en", "s", "y", 2), (99, "A b C", None, None, None, None)]
     schema = "doc_id long, text string, lang string, source string, sha string, key int"
-    return spark.createDataFrame(rows, schema).withColumn("n_chars", __import__("pyspark").sql.functions.length("text").cast("long")).repartition(3)
+    return spark.createDataFrame(rows, schema).withColumn("n_chars", F.length("text").cast("long")).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -56,7 +56,6 @@ def test_copies_ties_and_invalid_rows(spark):
     got = grouped(neighbours.search(df, "vec_id", "embedding", F.col("vec_id").isin(300, 1000, 2000, 2001, 2003)))
     assert set(got) == {300, 1000}
     assert [i for i, _ in got[300]] == list(range(10)) and {s for _, s in got[300]} == {0.0}
-    assert [i for i, _ in got[1000]] == [*range(10)] or [i for i, _ in got[1000]][0] in (0, 1001)
     want = brute(rows, [i in (300, 1000) for i, _ in rows])
     assert got == want
 
