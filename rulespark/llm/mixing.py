@@ -80,12 +80,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", size: str
     band, draw, piece, place, key = taken_name(df, "band", "draw", "piece", "place", "key")
     sized = df.withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long"))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    sliced = sized.withColumn(band, _band(F.col(size))).withColumn(draw, F.md5(ident.cast("binary"))).withColumn(piece, F.substring(draw, 1, 2)).withColumn(key, F.col(source))
+    sliced = sized.withColumn(band, _band(F.col(size))).withColumn(draw, F.md5(ident.cast("binary"))).withColumn(piece, F.substring(draw, 1, 2)).withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")))
     slices = sliced.groupBy(key, band, piece).count()
     before = F.sum("count").over(Window.partitionBy(key).orderBy(band, piece)) - F.col("count")
-    targets = source_targets(sized, source, size)
+    named = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))  # never null, so that the join keeps the window's partitioning
+    targets = source_targets(sized, source, size).withColumn("named", named)
     plan = stored(
-        slices.withColumn("before", before).drop("count").join(targets, F.col(key).eqNullSafe(F.col("source")))
+        slices.withColumn("before", before).drop("count").join(targets, F.col(key) == F.col("named"))
         .select(F.col(key), F.col(band), F.col(piece), "before", "source_size", "target", "rate",
                 _draw(F.concat(F.lit("offset:"), F.coalesce(F.col("source"), F.lit("null")))).alias("offset")),
         "slices",
@@ -93,7 +94,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", size: str
     here = F.row_number().over(Window.partitionBy(key, band, piece).orderBy(draw, F.col(id_col), F.col(size)))
     rows = sliced.withColumn(place, here).alias("r").join(
         plan.alias("p"),
-        F.col(f"r.{key}").eqNullSafe(F.col(f"p.{key}")) & (F.col(f"r.{band}") == F.col(f"p.{band}")) & (F.col(f"r.{piece}") == F.col(f"p.{piece}")),
+        (F.col(f"r.{key}") == F.col(f"p.{key}")) & (F.col(f"r.{band}") == F.col(f"p.{band}")) & (F.col(f"r.{piece}") == F.col(f"p.{piece}")),
     )
     end = (F.col("p.before") + F.col(place)) * F.col("p.rate") + F.col("p.offset")
     copies = F.shiftright(end, UNIT) - F.shiftright(end - F.col("p.rate"), UNIT)
