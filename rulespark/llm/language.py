@@ -159,6 +159,11 @@ def train(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
     if not languages:
         return Model(vocabulary, [], np.zeros((vocabulary.size, 0)), np.zeros(0))
     drawn = rows.select("id", "lang").withColumn("draw", F.xxhash64(F.col("id").cast("string")))
+    # the smallest hashes of a language lie below this bound, so only about as many rows as are wanted meet in its task
+    spare = PER_LANGUAGE + 8 * int(PER_LANGUAGE**0.5)
+    bounds = [(lang, 2**63 - 1 if spare >= n else int(spare / n * 2**64) - 2**63) for lang, n in shares.items()]
+    below = F.broadcast(spark.createDataFrame(bounds, "lang string, bound bigint"))  # a row per language
+    drawn = drawn.join(below, "lang").where("draw <= bound").drop("bound")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
     chosen = drawn.withColumn("place", place).where(F.col("place") <= PER_LANGUAGE).select("id", "lang").distinct()
 
