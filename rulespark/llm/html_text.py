@@ -18,10 +18,12 @@ LINKED = 0.6  # share of link characters from which a slot is a menu
 LEAST_PAGES = 3  # pages that must speak about a slot
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
     re.S | re.I,
 )
+# Elements left out with all that is in them if their own end tag follows; without one the tag alone is left out.
+_WHOLE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("noscript", "template", "svg", "iframe", "select")}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -56,6 +58,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int, bool, bool
     text: list[str] = []
     links = 0
     inline: list[str] = []
+    until = 0  # end of the element that is being left out
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal links
@@ -72,6 +76,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int, bool, bool
         del stack[depth:]
 
     for m in _TOKEN.finditer(page or ""):
+        if m.start() < until:
+            continue
         raw = m[0]
         name = m[3]
         if name is None:
@@ -80,10 +86,20 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int, bool, bool
                 text.append(piece)
                 if "a" in inline:
                     links += len(piece.strip())
-            elif m[1] and m[1].lower() in ("textarea", "select", "svg", "iframe"):
+            elif m[1] and m[1].lower() == "textarea":
                 text.append(" ")
             continue
         name = name.lower()
+        if name in _WHOLE:
+            if name in ("svg", "iframe", "select"):
+                text.append(" ")
+            if not m[2] and not (name == "svg" and raw.endswith("/>")) and name not in unclosed:
+                end = _WHOLE[name].search(page, m.end())
+                if end:
+                    until = end.end()
+                else:
+                    unclosed.add(name)
+            continue
         if m[2]:
             if name in _INLINE:
                 if name in inline:

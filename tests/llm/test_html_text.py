@@ -37,6 +37,18 @@ def test_odd_html():
     assert len(text_of("<p>" + "word " * 100_000)) == 499_999
 
 
+def test_left_out_elements_end_where_they_end():
+    for tag in ("<svg-icon name=x></svg-icon>", "<select-box>", "<title-bar></title-bar>", "<style-x/>", "<svg class=i/>", "<svg viewBox='0 0 1 1' />", "<svg>", "<select name=a>", "<template>", "<noscript>", "<iframe src=x>"):
+        got = text_of(f"<body><p>one</p>{tag}<p>two</p><p>three</p></body>").split("\n\n")
+        assert got == ["one", "two", "three"], tag
+    for name in ("svg", "select", "iframe", "noscript", "template", "script", "style", "textarea", "title"):
+        assert text_of(f"<p>one</p><{name} a='b'>x</{name}-y><b>y</b></{name.upper()} ><p>two</p>") == "one\n\ntwo", name
+    assert text_of("<p>one</p><svg/><p>two</p><svg><text>x</text></svg><p>three") == "one\n\ntwo\n\nthree"
+    assert len(text_of("<svg>" * 40_000 + "x" * 10)) == 10
+    for name in ("script", "style", "textarea", "title"):
+        assert text_of(f"<p>one</p><{name} a=b>x<p>y") == "one"
+
+
 def test_simple_tree_matching():
     a = {"x": {"p": {}, "q": {}}, "y": {}}
     b = {"w": {}, "x": {"q": {}}, "y": {}}
