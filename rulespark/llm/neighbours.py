@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rulespark.llm.common import stored
 
 DEGREE = 24  # neighbours kept for a node
+PICKED = 12  # neighbours of a node that join a round
 BLOCK = 64  # nodes compared with each other to start the graph
 ORDERS = 4  # random orders the graph is started from
 BITS = 24  # hyperplanes of an order
@@ -33,40 +34,38 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, square), F.lit(0.0), lambda s, x: s + x))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """A list column of one length, or float16 bytes, as rows."""
-    if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """A binary column of vectors as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _squares(x: np.ndarray) -> np.ndarray:
-    """Squared distances between all rows of a small block."""
+def _distances(x: np.ndarray) -> np.ndarray:
+    """Distances between all rows of a small block."""
+    x = x.astype(np.float64)
     norm = (x * x).sum(1)
-    return np.maximum(norm[:, None] + norm[None, :] - 2 * (x @ x.T), 0)
+    return np.sqrt(np.maximum(norm[:, None] + norm[None, :] - 2 * (x @ x.T), 0)).astype(np.float32)
 
 
-def halves(nodes: DataFrame) -> DataFrame:
-    """(id, half): vectors scaled by one number and rounded to float16, for building the graph only."""
-    top = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
-    scale = 1.0 / float(top)
+def packed(nodes: DataFrame) -> tuple[DataFrame, type]:
+    """(id, packed) with the vectors' own components as bytes, and their type: no row depends on another's size."""
+    kind = np.float32 if isinstance(nodes.schema["vec"].dataType.elementType, T.FloatType) else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rows = (_matrix(batch.column(1)).astype(np.float64) * scale).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "half"])
+                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "packed"])
 
-    return nodes.select("id", "vec").mapInArrow(run, "id bigint, half binary")
+    return nodes.select("id", "vec").mapInArrow(run, "id bigint, packed binary"), kind
 
 
-def _codes(batch: pa.RecordBatch, order: int) -> np.ndarray:
-    x = _matrix(batch.column(1))
-    planes = np.random.default_rng(order).standard_normal((x.shape[1], BITS)).astype(np.float32)
+def _codes(batch: pa.RecordBatch, order: int, kind: type) -> np.ndarray:
+    x = _matrix(batch.column(1), kind).astype(np.float64)
+    planes = np.random.default_rng(order).standard_normal((x.shape[1], BITS))
     return ((x - x.mean(1, keepdims=True)) @ planes > 0) @ (np.int64(1) << np.arange(BITS)[::-1])
 
 
-def start_edges(vectors: DataFrame) -> DataFrame:
+def start_edges(vectors: DataFrame, kind: type) -> DataFrame:
     """(v, u, d) of near nodes: in each random order by hyperplane signs, blocks of consecutive nodes are compared.
 
     Blocks have BLOCK nodes however many share their signs, so no bucket can grow.
@@ -77,7 +76,7 @@ def start_edges(vectors: DataFrame) -> DataFrame:
             if batch.num_rows:
                 for order in range(ORDERS):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(batch.num_rows, order), pa.int32()), pa.array(_codes(batch, order), pa.int64()), *batch.columns], names=["order", "code", "id", "half"]
+                        [pa.array(np.full(batch.num_rows, order), pa.int32()), pa.array(_codes(batch, order, kind), pa.int64()), *batch.columns], names=["order", "code", "id", "packed"]
                     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,12 +84,12 @@ def start_edges(vectors: DataFrame) -> DataFrame:
 
         def close(rows: list) -> pa.RecordBatch:
             ids = np.array([r[0] for r in rows], np.int64)
-            d = _squares(np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32))
+            d = _distances(np.frombuffer(b"".join(r[1] for r in rows), kind).reshape(len(rows), -1))
             np.fill_diagonal(d, np.inf)
             k = min(DEGREE, len(rows) - 1)
             near = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.empty((len(rows), 0), np.int64)
             far = np.take_along_axis(d, near, 1)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[near].ravel()), pa.array(far.ravel().astype(np.float32))], names=["v", "u", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[near].ravel()), pa.array(far.ravel())], names=["v", "u", "d"])
 
         for batch in batches:
             held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
@@ -100,9 +99,9 @@ def start_edges(vectors: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield close(held)
 
-    placed = vectors.mapInArrow(coded, "order int, code bigint, id bigint, half binary")
+    placed = vectors.mapInArrow(coded, "order int, code bigint, id bigint, packed binary")
     sorted_ = placed.repartitionByRange("order", "code", "id").sortWithinPartitions("order", "code", "id")
-    return sorted_.select("id", "half").mapInArrow(compare, "v bigint, u bigint, d float")
+    return sorted_.select("id", "packed").mapInArrow(compare, "v bigint, u bigint, d float")
 
 
 def _nearest(edges: DataFrame, key: str, order: list, most: int) -> DataFrame:
@@ -113,20 +112,23 @@ def _nearest(edges: DataFrame, key: str, order: list, most: int) -> DataFrame:
 def build(nodes: DataFrame) -> DataFrame:
     """(v, u, d): up to DEGREE near nodes of every node, from nodes (id, vec).
 
-    NN-descent: in each round a node's neighbours, forward and backward, are brought together with their vectors, all
-    pairs with a new one are compared in a block of at most 2 x DEGREE, and those nearer than a node's worst neighbour
-    are kept. What moves is a bounded number of vectors per node and the improvements. d is on rounded vectors.
+    NN-descent: a round takes PICKED edges of every node, new ones first. A node's picked neighbours and those who picked
+    it are brought together with their vectors, all pairs with a new one are compared, and those nearer than a node's
+    worst neighbour are kept. A hub is met by its followers in parts of PICKED, all the new ones in the same round, each with
+    the hub's own neighbours. An edge stays new until it was picked. What moves is a bounded
+    number of vectors per edge picked and the improvements.
     """
-    vectors = stored(halves(nodes), "halves")
-    first = start_edges(vectors).groupBy("v", "u").agg(F.min("d").alias("d"))
+    vectors, kind = packed(nodes)
+    vectors = stored(vectors, "vectors")
+    first = start_edges(vectors, kind).groupBy("v", "u").agg(F.min("d").alias("d"))
     graph = stored(_nearest(first, "v", ["d", "u"], DEGREE).withColumn("new", F.lit(True)), "graph")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-            centre = table.column("centre").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(centre)) + 1).tolist()]
+            centre, part = table.column("centre").to_numpy(), table.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(centre) != 0) | (np.diff(part) != 0)) + 1).tolist()]
             rest = table.slice(edges[-1]).to_batches()[0] if len(centre) else None
             yield from pairs(table, [*edges])
         if rest is not None and rest.num_rows:
@@ -138,34 +140,38 @@ def build(nodes: DataFrame) -> DataFrame:
         member = table.column("member").to_numpy()
         fresh = table.column("new").to_numpy()
         worst = table.column("worst").to_numpy()
-        x = _matrix(pa.concat_arrays(table.column("half").chunks))
+        x = _matrix(pa.concat_arrays(table.column("packed").chunks), kind)
         out = []
         for a, b in zip(edges, edges[1:]):
             if b - a < 2 or not fresh[a:b].any():
                 continue
-            d = _squares(x[a:b])
+            d = _distances(x[a:b])
             ok = (d < worst[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b]) & (member[a:b, None] != member[None, a:b])
             i, j = np.nonzero(ok)
             out.append((member[a + i], member[a + j], d[i, j]))
         if out:
             v, u, d = (np.concatenate(c) for c in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(d.astype(np.float32))], names=["v", "u", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(d)], names=["v", "u", "d"])
 
     for _ in range(ROUNDS):
         total, fresh = graph.agg(F.count(F.lit(1)), F.count(F.when(F.col("new"), 1))).first()
-        if not total or fresh <= SETTLED * total:
+        if fresh <= SETTLED * total:
             break
         worst = graph.groupBy("v").agg(F.when(F.count(F.lit(1)) >= DEGREE, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-        carried = vectors.join(worst, vectors["id"] == worst["v"], "left").select("id", "half", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
-        forward = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "new", "d")
-        backward = graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "new", "d")
-        backward = _nearest(backward, "centre", [F.col("new").desc(), "d", "member"], DEGREE // 2)
-        forward = _nearest(forward, "centre", [F.col("new").desc(), "d", "member"], DEGREE // 2)
-        both = forward.union(backward).groupBy("centre", "member").agg(F.max("new").alias("new"))
-        groups = both.join(carried, both["member"] == carried["id"]).select("centre", "member", "new", "worst", "half")
-        better = groups.repartition("centre").sortWithinPartitions("centre").mapInArrow(compare, "v bigint, u bigint, d float")
-        old = graph.select("v", "u", "d", F.lit(False).alias("new"))
-        merged = old.union(better.select("v", "u", "d", F.lit(True).alias("new"))).groupBy("v", "u").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+        carried = vectors.join(worst, vectors["id"] == worst["v"], "left").select("id", "packed", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
+        first_new = lambda key, other: F.row_number().over(Window.partitionBy(key).orderBy(F.col("new").desc(), "d", other))
+        placed = graph.withColumn("place", first_new("v", "u"))
+        picked = placed.where(F.col("place") <= PICKED)
+        forward = picked.select(F.col("v").alias("centre"), F.col("u").alias("member"), "new")
+        backward = picked.select(F.col("u").alias("centre"), F.col("v").alias("member"), "new", "d").withColumn("place", first_new("centre", "member"))
+        backward = backward.where(F.col("new") | (F.col("place") <= PICKED)).select("centre", "member", "new", F.floor((F.col("place") - 1) / PICKED).cast("int").alias("part"))
+        parts = backward.groupBy("centre").agg(F.max("part").alias("parts"))
+        forward = forward.join(parts, "centre", "left").select("centre", "member", "new", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0)))).alias("part"))
+        both = forward.union(backward.select("centre", "member", "new", "part")).groupBy("centre", "part", "member").agg(F.max("new").alias("new"))
+        groups = both.join(carried, both["member"] == carried["id"]).select("centre", "part", "member", "new", "worst", "packed")
+        better = groups.repartition("centre", "part").sortWithinPartitions("centre", "part").mapInArrow(compare, "v bigint, u bigint, d float")
+        known = placed.select("v", "u", "d", (F.col("new") & (F.col("place") > PICKED)).alias("new"))
+        merged = known.union(better.select("v", "u", "d", F.lit(True).alias("new"))).groupBy("v", "u").agg(F.min("d").alias("d"), F.min("new").alias("new"))
         graph = stored(_nearest(merged, "v", ["d", "u"], DEGREE), "graph")
     return graph.select("v", "u", "d")
 

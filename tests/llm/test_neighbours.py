@@ -39,6 +39,33 @@ def test_recall_on_embeddings(spark):
     assert recall(got, want) >= 0.9
 
 
+def clustered(n, clusters, dim, seed=11):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dim)) * 3
+    return (centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, dim))).astype(np.float32)
+
+
+def recall_of(spark, path, x):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), path, row_group_size=5_000)
+    got = grouped(neighbours.search(spark.read.parquet(path), "vec_id", "embedding", F.col("vec_id") % 100 == 0))
+    exact, hits, total = x.astype(np.float64), 0, 0
+    for q in range(0, len(x), 100):
+        d = ((exact - exact[q]) ** 2).sum(1)
+        d[q] = np.inf
+        want = set(np.argpartition(d, 10)[:10].tolist())
+        hits, total = hits + len(want & {i for i, _ in got[q]}), total + 10
+    return hits / total
+
+
+def test_one_outlier_does_not_flatten_the_rest(spark, tmp_path):
+    x = clustered(3_000, 6, 32)
+    x[7] = 1e9
+    assert recall_of(spark, str(tmp_path / "v.parquet"), x) >= 0.9
+
+
 def test_small_table_is_exact(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(8)]
