@@ -15,11 +15,9 @@ PICKED = 12  # neighbours of a node that join a round
 BLOCK = 64  # nodes compared with each other to start the graph
 ORDERS = 4  # random orders the graph is started from
 BITS = 24  # hyperplanes of an order
-ROUNDS = 6
 SETTLED = 0.02  # share of the edges that may still be new
 BEAM = 48  # nodes a query keeps
 STEP = 12  # nodes a query expands at a time
-WALKS = 8
 
 
 def valid(vector: Column) -> Column:
@@ -115,7 +113,7 @@ def build(nodes: DataFrame) -> DataFrame:
     NN-descent: a round takes PICKED edges of every node, new ones first. A node's picked neighbours and those who picked
     it are brought together with their vectors, all pairs with a new one are compared, and those nearer than a node's
     worst neighbour are kept. A hub is met by its followers in parts of PICKED, all the new ones in the same round, each with
-    the hub's own neighbours. An edge stays new until it was picked. What moves is a bounded
+    the hub's own neighbours. An edge stays new until it was picked; rounds go on until SETTLED. What moves is a bounded
     number of vectors per edge picked and the improvements.
     """
     vectors, kind = packed(nodes)
@@ -153,7 +151,7 @@ def build(nodes: DataFrame) -> DataFrame:
             v, u, d = (np.concatenate(c) for c in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(d)], names=["v", "u", "d"])
 
-    for _ in range(ROUNDS):
+    while True:
         total, fresh = graph.agg(F.count(F.lit(1)), F.count(F.when(F.col("new"), 1))).first()
         if fresh <= SETTLED * total:
             break
@@ -200,7 +198,7 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int =
         return near.select("q", "node", distance(F.col("here"), F.col("there")).alias("d"))
 
     state = stored(measured(queries.select("q", "node").distinct()).withColumn("open", F.lit(True)), "beam")
-    for _ in range(WALKS):
+    while True:
         expand = _nearest(state.where("open"), "q", ["d", "node"], STEP).select("q", "node")
         reached = expand.join(both, expand["node"] == both["v"]).select("q", F.col("u").alias("node")).distinct()
         fresh = measured(reached.join(state.select("q", "node"), ["q", "node"], "left_anti")).withColumn("open", F.lit(True))

@@ -66,6 +66,19 @@ def test_one_outlier_does_not_flatten_the_rest(spark, tmp_path):
     assert recall_of(spark, str(tmp_path / "v.parquet"), x) >= 0.9
 
 
+def test_recall_on_a_large_clustered_table(spark, tmp_path):
+    assert recall_of(spark, str(tmp_path / "v.parquet"), clustered(100_000, 200, 32)) >= 0.9
+
+
+def test_search_goes_on_while_a_node_is_open(spark, monkeypatch):
+    """The graph is a path that leads to the nearest vectors only at its far end."""
+    rows = [(0, [1.0, 0.0])] + [(i, [1.0, 30.0 - i]) for i in range(1, 21)]
+    monkeypatch.setattr(neighbours, "build", lambda nodes: spark.createDataFrame([(i, i + 1, 1.0) for i in range(20)], "v long, u long, d float"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = grouped(neighbours.search(df, "vec_id", "embedding", F.col("vec_id") == 0))
+    assert [i for i, _ in got[0]] == list(range(20, 10, -1))
+
+
 def test_small_table_is_exact(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(8)]
