@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulespark.llm import bpe, exact_dedup, html_text, language, masked_lm, mixing, neighbours, pii, simhash, toxicity
+from rulespark.llm import (
+    bpe, conversations, exact_dedup, html_text, language, lexical, masked_lm, mixing, neighbours, pii, simhash, toxicity, url_filter,
+)
 from rulespark.llm.common import documents, remainder, stored
 
 QUERIES: dict = {}
@@ -102,3 +104,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.concat("base", "added")).alias("spans"),
     )
+
+
+@query("op11_lexical_search", lexical.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+# The rules that the query judges by.
+URL_RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+
+
+@query("op12_url_filter", url_filter.oracle(URL_RULES))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audited(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
