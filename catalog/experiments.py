@@ -164,20 +164,36 @@ def l8_significance(spark, sf_dir):
     return rounded(E.significance(E.paired_deltas(runs(spark, sf_dir))).drop("z", "exact", "p_value"))
 
 
+# erf(x) = 2/sqrt(pi) exp(-x^2) sum of 2^k x^(2k+1) / (1*3*...*(2k+1)): positive terms only, each from the one before.
+_ERF = (
+    "(2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(150), lambda k: "
+    "exp(k * ln(2) + (2 * k + 1) * ln(x) - list_sum(list_transform(range(k + 1), lambda j: ln(2 * j + 1)))))))"
+)
+
+
 @query(
     "l8_significance_p_values",
     rounded_sql(
-        f"""WITH RECURSIVE {PAIRED}, r AS (SELECT *, rank() OVER (PARTITION BY metric, "left", "right" ORDER BY abs(delta)) AS rk,
+        f"""WITH RECURSIVE {PAIRED}, s AS (SELECT metric, "left", "right", count(*) AS n, max(abs(delta)) AS top FROM pd GROUP BY ALL),
+        r AS (SELECT *, count(*) OVER (PARTITION BY metric, "left", "right", abs(delta)) AS ties,
+              rank() OVER (PARTITION BY metric, "left", "right" ORDER BY abs(delta)) + (ties - 1) / 2.0 AS rk,
               CASE WHEN metric IN ('acc', 'macro_f1') THEN delta ELSE -delta END AS sd FROM pd WHERE delta <> 0),
-        w AS (SELECT metric, "left", "right", sum(CASE WHEN sd > 0 THEN rk ELSE 0 END)::BIGINT AS w_plus, count(*) AS n_used FROM r GROUP BY ALL),
+        w AS (SELECT metric, "left", "right", sum(CASE WHEN sd > 0 THEN rk ELSE 0 END)::DOUBLE AS w_plus, count(*) AS n_used,
+              sum(ties * ties - 1)::DOUBLE AS tie_sum FROM r GROUP BY ALL),
         ways AS (SELECT 0 AS k, list_transform(range(1276), lambda s: (s = 0)::BIGINT) AS c UNION ALL
-                 SELECT k + 1, list_transform(range(1, 1277), lambda s: c[s] + CASE WHEN s > k + 1 THEN c[s - k - 1] ELSE 0 END) FROM ways WHERE k < 50)
-        SELECT metric, "left", "right", n_used, w_plus::DOUBLE AS w_plus, list_sum(c[w_plus + 1:])::DOUBLE / pow(2, k) AS p_value FROM w JOIN ways ON k = n_used""",
+                 SELECT k + 1, list_transform(range(1, 1277), lambda s: c[s] + CASE WHEN s > k + 1 THEN c[s - k - 1] ELSE 0 END) FROM ways WHERE k < 50),
+        z AS (SELECT *, n_used * (n_used + 1) * (2 * n_used + 1) / 24.0 - tie_sum / 48.0 AS var, n_used <= 50 AND n_used = n AND tie_sum = 0 AS exact,
+              CASE WHEN var > 0 THEN (w_plus - n_used * (n_used + 1) / 4.0) / sqrt(var) END AS z, abs(z) / sqrt(2) AS x
+              FROM s LEFT JOIN w USING (metric, "left", "right")),
+        tail AS (SELECT *, 0.5 * (1 - CASE WHEN z = 0 THEN 0 ELSE sign(z) * {_ERF} END) AS normal FROM z)
+        SELECT metric, "left", "right", n_used, w_plus, CASE WHEN n < 5 OR top <= 1e-12 THEN NULL
+               WHEN exact THEN list_sum(c[ceil(w_plus - 1e-9)::BIGINT + 1:])::DOUBLE / pow(2, k) ELSE normal END AS p_value
+        FROM tail LEFT JOIN ways ON k = n_used""",
         "w_plus p_value", 9,
     ),
 )
 def l8_significance_p_values(spark, sf_dir):
-    """The exact one-sided tail: subsets of the ranks 1..n whose sum reaches W+. These deltas have no ties and no zeros."""
+    """The one-sided tail: exact over subsets of the ranks where nothing ties and nothing is zero, else normal with tie correction."""
     found = E.significance(E.paired_deltas(runs(spark, sf_dir)))
     return rounded(found.select("metric", "left", "right", "n_used", "w_plus", "p_value"), 9)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from rulespark.functions import gain
 from rulespark.functions.arrays import balanced
 from rulespark.functions.literals import rule_holds
-from rulespark.operators import order_stats as O
+from rulespark.operators import covering as C, order_stats as O
 from rulespark.operators.activate import any_rule_holds, melt
 from rulespark.operators.prepare import feature_kinds
 from rulespark.rules import EQ_TOLERANCE, Rule, RuleSet, default_caption
@@ -57,6 +57,7 @@ class InductionConfig:
     pool_shaping: bool = False
     seed: int = 42
     checkpoint_every: int = 16
+    concurrent: bool = False  # classes side by side; a condition two classes found stays with the rarer one
 
     def __post_init__(self):
         if self.algo not in ("foil", "ripper"):
@@ -564,6 +565,21 @@ def with_grow_part(task: Task, sides: Column, sizes: tuple[int, int], cfg: Induc
 
 def induce_class(task: Task, cls: int, sizes: dict[int, int], cfg: InductionConfig, seen: set, total_rules: int) -> list[Rule]:
     """Rules for one class: tiers from strict to loose, each removing the positives its rules cover."""
+    if not task.placed and C.fits(task):
+        engine = C.Engine(task)
+        try:
+            return _numbered(C.run(engine, C.cover_class(engine, task, cls, sizes, cfg, seen, cfg.max_total_rules - total_rules)), cls, total_rules)
+        finally:
+            engine.release()
+    return _induce_by_steps(task, cls, sizes, cfg, seen, total_rules)
+
+
+def _numbered(found: list[tuple], cls: int, start: int) -> list[Rule]:
+    return [Rule(start + i, cls, literals, None, default_caption(literals), stats) for i, (literals, stats) in enumerate(found)]
+
+
+def _induce_by_steps(task: Task, cls: int, sizes: dict[int, int], cfg: InductionConfig, seen: set, total_rules: int) -> list[Rule]:
+    """The loop for more distinct values than can be coded: one job per step, thresholds from refined buckets."""
     ensure_checkpoint_dir(task.rows.sparkSession)
     total = sum(sizes.values())
     is_class = F.col("y") == cls
@@ -625,17 +641,15 @@ def replace_rows(task: Task, rows: DataFrame) -> Task:
 
 
 def induce_rules(df: DataFrame, key: Sequence[str], features: Sequence[str], cfg: InductionConfig = InductionConfig(), *, label: str = "y", dictionary: Sequence[str] = ()) -> RuleSet:
-    """Rules for every class, the rarest class first. Classes share the signatures and the total cap."""
+    """Rules for every class, the rarest class first. Classes share the signatures and the total cap.
+
+    Values are coded and counted in shared scans (covering.py) unless there are too many different ones.
+    """
     task = make_task(df, key, features, label=label, dictionary=dictionary)
-    if task.numeric and task.buckets > 1:
-        task = place_in_buckets(task, max(BUCKETS, task.buckets))
     task.rows.persist()
     try:
         sizes = {r["y"]: r["count"] for r in task.rows.groupBy("y").count().collect()}
-        seen: set = set()
-        rules: list[Rule] = []
-        for cls in sorted(sizes, key=lambda c: (sizes[c], c)):
-            rules += induce_class(task, cls, sizes, cfg, seen, len(rules))
+        rules = _induce_in_scans(task, sizes, cfg) if C.fits(task) else _induce_all_by_steps(task, sizes, cfg)
         majority = min(sizes, key=lambda c: (-sizes[c], c))
         found = RuleSet(tuple(rules), max(sizes) + 1, majority)
         if cfg.pool_shaping:
@@ -645,3 +659,37 @@ def induce_rules(df: DataFrame, key: Sequence[str], features: Sequence[str], cfg
         return found
     finally:
         task.rows.unpersist()
+
+
+def _induce_in_scans(task: Task, sizes: dict[int, int], cfg: InductionConfig) -> list[Rule]:
+    rarest_first = sorted(sizes, key=lambda c: (sizes[c], c))
+    engine = C.Engine(task)
+    rules: list[Rule] = []
+    try:
+        if not cfg.concurrent:
+            seen: set = set()
+            for cls in rarest_first:
+                found = C.run(engine, C.cover_class(engine, task, cls, sizes, cfg, seen, cfg.max_total_rules - len(rules)))
+                rules += _numbered(found, cls, len(rules))
+            return rules
+        side_by_side = [C.cover_class(engine, task, cls, sizes, cfg, set(), cfg.max_total_rules) for cls in rarest_first]
+        taken: set = set()
+        for cls, found in zip(rarest_first, C.run(engine, C.together(side_by_side))):
+            own = [(lits, stats) for lits, stats in found if signature(lits) not in taken]
+            taken |= {signature(lits) for lits, _ in own}
+            rules += _numbered(own, cls, len(rules))
+        return rules[: cfg.max_total_rules]
+    finally:
+        engine.release()
+
+
+def _induce_all_by_steps(task: Task, sizes: dict[int, int], cfg: InductionConfig) -> list[Rule]:
+    if task.numeric and task.buckets > 1:
+        task = place_in_buckets(task, max(BUCKETS, task.buckets))
+        task.rows.persist()
+    seen: set = set()
+    rules: list[Rule] = []
+    for cls in sorted(sizes, key=lambda c: (sizes[c], c)):
+        rules += _induce_by_steps(task, cls, sizes, cfg, seen, len(rules))
+    task.rows.unpersist()
+    return rules
