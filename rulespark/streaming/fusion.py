@@ -22,6 +22,16 @@ from rulespark.rules import RuleSet
 METHODS = ("dempster", "vote")
 
 
+def utc_instant(wall: Column) -> Column:
+    """A timestamp without a zone read as UTC, whatever the session's zone: watermarks need instants."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall).cast("timestamp")
+
+
+def utc_wall(instant: Column) -> Column:
+    """The UTC wall clock of an instant, as a timestamp without a zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def event_window(time: str, size: str, *, slide: str | None = None, session: bool = False) -> Column:
     """Tumbling windows, sliding ones with `slide`, or sessions closed by a gap of `size`."""
     if session:

@@ -11,8 +11,6 @@ from tools.check_oracle import TABLES, canonical
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables not present")
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
-# Induction loops are compared with brute force in test_induction.py.
-SLOW = {"d16_induce_class", "d17_induce_rules_foil", "d17_induce_rules_ripper_documents", "run_benchmark_orders"}
 
 
 def test_names_match():
@@ -32,7 +30,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF_DIR)
     if name not in ORACLE:
