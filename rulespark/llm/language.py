@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,23 +41,53 @@ class Vocabulary:
         self.piece = {p: i + len(self.byte) for i, p in enumerate([START, *(p for p in letters if p != START)])}
         self.size = len(self.byte) + len(self.piece)
         self.longest = max(map(len, self.piece))
+        self._build_trie()
+
+    def _build_trie(self) -> None:
+        """Nodes are prefixes of pieces; a step is found by its exact number (node, letter) in a sorted list."""
+        node, steps, ends = {"": 0}, {}, {}
+        for piece, number in self.piece.items():
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in node:
+                    node[piece[:k]] = len(node)
+                    steps[node[piece[: k - 1]] << 21 | ord(piece[k - 1])] = node[piece[:k]]
+            ends[node[piece]] = number
+        self.step_keys = np.array(sorted(steps), np.int64)
+        self.step_to = np.array([steps[k] for k in self.step_keys.tolist()], np.int64)
+        self.ends = np.full(len(node), -1, np.int64)
+        self.ends[list(ends)] = list(ends.values())
+
+    def live_edges(self, letters: np.ndarray, starts: np.ndarray, unknown: dict[str, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, rows, pieces) of all pieces that begin at `starts`, places in the flat `letters`; a 0 ends a word.
+
+        Rows are places in `starts`, in order. A letter without a piece is spelled in bytes: it gets a number past the
+        vocabulary in `unknown`.
+        """
+        rows, node = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+        for length in range(1, self.longest + 1):
+            key = node << 21 | letters[starts[rows] + length - 1]
+            at = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            hit = self.step_keys[at] == key
+            to = np.where(hit, self.step_to[at], 0)
+            piece = np.where(hit, self.ends[to], -1)
+            if length == 1:
+                for i in np.flatnonzero(piece < 0):
+                    piece[i] = unknown.setdefault(chr(letters[starts[i]]), self.size + len(unknown))
+            found = piece >= 0
+            if found.any():
+                yield length, rows[found], piece[found]
+            rows, node = rows[hit], to[hit]
+            if not len(rows):
+                return
 
     def edges(self, words: list[str], unknown: dict[str, int]) -> np.ndarray:
-        """ids[word, end - 1, length - 1] of pieces ending there; words have one length. No piece: -1.
-
-        A letter without a piece is spelled in bytes: it gets a number past the vocabulary in `unknown`.
-        """
+        """ids[word, end - 1, length - 1] of pieces ending there; words have one length. No piece: -1."""
         n = len(words[0]) + 1
-        longest = min(self.longest, n)
-        ids = np.full((len(words), n, longest), -1, np.int32)
-        get = self.piece.get
-        for k, word in enumerate(words):
-            s = START + word
-            row = [[get(s[j - l : j], -1) if l <= j else -1 for l in range(1, longest + 1)] for j in range(1, n + 1)]
-            for j, found in enumerate(row):
-                if found[0] < 0:
-                    found[0] = unknown.setdefault(s[j], self.size + len(unknown))
-            ids[k] = row
+        letters = _letters(words)
+        ids = np.full((len(words), n, min(self.longest, n)), -1, np.int32)
+        word, start = np.divmod(np.arange(len(words) * n), n)
+        for length, rows, pieces in self.live_edges(letters, word * (n + 1) + start, unknown):
+            ids[word[rows], start[rows] + length - 1, length - 1] = pieces
         return ids
 
     def spelled(self, unknown: dict[str, int]) -> list[list[int]]:
@@ -68,6 +99,12 @@ class Vocabulary:
         return np.concatenate([table, np.array(extra).reshape(len(extra), table.shape[1]), np.full((1, table.shape[1]), -np.inf)])
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """Code points of all words, each with the start mark before and a 0 after it."""
+    text = "".join([f"{START}{w}\0" for w in words])
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
 def _total(terms: list[np.ndarray]) -> np.ndarray:
     """log of the sum of exponentials over a list of arrays."""
     stack = np.stack(terms)
@@ -107,21 +144,84 @@ def _by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
         at = to
 
 
+LONG = 256  # words from this length on are walked one by one
+_SMALL, _SHIFT = 1e-120, 1e120  # sums are kept above the one by factors of the other; a single piece never costs that much
+
+
 def log_probabilities(words: list[str], vocabulary: Vocabulary, table: np.ndarray) -> np.ndarray:
-    """words x languages: log of the summed probability of all segmentations."""
+    """words x languages: log of the summed probability of all segmentations.
+
+    Sums run over probabilities, not their logs: those reaching each place in a word are pushed along the pieces that begin there.
+    Each word and language is scaled up whenever its sum gets small, and the factors are counted.
+    """
     out = np.empty((len(words), table.shape[1]))
     for places in _by_length(words):
-        unknown: dict[str, int] = {}
-        ids = vocabulary.edges([words[i] for i in places], unknown)
-        full = vocabulary.with_unknown(table, unknown)
-        out[places] = forward(lambda j, l: full[ids[:, j - 1, l - 1]], ids.shape[1], ids.shape[2])[-1]
+        group = [words[i] for i in places]
+        if len(group[0]) >= LONG:
+            for i, word in zip(places, group):
+                out[i] = _one_long_word(word, vocabulary, table)
+            continue
+        n, unknown = len(group[0]) + 1, {}
+        start, word = np.divmod(np.arange(len(group) * n), len(group))  # all words' first places, then all second ones
+        edges = []
+        for length, rows, pieces in vocabulary.live_edges(_letters(group), word * (n + 1) + start, unknown):
+            edges.append((length, word[rows], pieces, np.searchsorted(start[rows], np.arange(n + 1))))
+        full = np.exp(vocabulary.with_unknown(table, unknown))
+        reached = np.zeros((n + vocabulary.longest + 1, len(group), table.shape[1]))
+        reached[0] = 1.0
+        shifts = np.zeros(reached.shape[1:])
+        for i in range(n):
+            low = reached[i] < _SMALL
+            if low.any():
+                reached[i : i + vocabulary.longest + 1, low] *= _SHIFT
+                shifts += low
+            for length, at, pieces, bounds in edges:
+                cut = slice(bounds[i], bounds[i + 1])
+                reached[i + length, at[cut]] += reached[i, at[cut]] * full[pieces[cut]]
+        out[places] = np.log(reached[n]) - shifts * np.log(_SHIFT)
     return out
 
 
+def _one_long_word(word: str, vocabulary: Vocabulary, table: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """The same for one word, in stretches of `step` places: memory does not grow with its edges."""
+    letters, n, longest = _letters([word]), len(word) + 1, vocabulary.longest
+    languages = range(table.shape[1])
+    pending = [[1.0] + [0.0] * longest for _ in languages]  # of the places from the current one on
+    logs = [0.0] * len(languages)
+    for first in range(0, n, step):
+        starts, unknown = np.arange(first, min(n, first + step)), {}
+        found = list(vocabulary.live_edges(letters, starts, unknown))
+        row = np.concatenate([r for _, r, _ in found])
+        order = np.argsort(row, kind="stable")
+        length = np.concatenate([np.full(len(r), k) for k, r, _ in found])[order].tolist()
+        piece = np.concatenate([p for _, _, p in found])[order]
+        ends = np.searchsorted(row[order], np.arange(len(starts)), "right").tolist()
+        full = np.exp(vocabulary.with_unknown(table, unknown))
+        for lang in languages:
+            chance, now, edge = full[piece, lang].tolist(), pending[lang], 0
+            for end in ends:
+                here = now[0]
+                if here < _SMALL:
+                    now = [x * _SHIFT for x in now]
+                    here *= _SHIFT
+                    logs[lang] -= math.log(_SHIFT)
+                while edge < end:
+                    now[length[edge]] += here * chance[edge]
+                    edge += 1
+                del now[0]
+                now.append(0.0)
+            pending[lang] = now
+    return np.array([math.log(p[0]) + x for p, x in zip(pending, logs)])
+
+
 def expected_counts(words: list[str], language: np.ndarray, times: np.ndarray, vocabulary: Vocabulary, table: np.ndarray) -> np.ndarray:
     """pieces x languages: expected uses of each piece in the words, each under its own language."""
     counts = np.zeros(table.shape)
     for places in _by_length(words):
+        if len(words[places[0]]) >= LONG:
+            for i in places:
+                _add_long_word(counts[:, language[i]], words[i], times[i], vocabulary, table[:, language[i]])
+            continue
         unknown: dict[str, int] = {}
         ids = vocabulary.edges([words[i] for i in places], unknown)
         full = vocabulary.with_unknown(table, unknown)
@@ -139,6 +239,41 @@ def expected_counts(words: list[str], language: np.ndarray, times: np.ndarray, v
     return counts
 
 
+def _add_long_word(counts: np.ndarray, word: str, times: float, vocabulary: Vocabulary, table: np.ndarray) -> None:
+    """Adds one long word's expected pieces to `counts`, a column; sums from both ends are scaled like those above."""
+    n, unknown = len(word) + 1, {}
+    found = list(vocabulary.live_edges(_letters([word]), np.arange(n), unknown))
+    row = np.concatenate([r for _, r, _ in found])
+    order = np.argsort(row, kind="stable")
+    start, piece = row[order], np.concatenate([p for _, _, p in found])[order]
+    length = np.concatenate([np.full(len(r), k) for k, r, _ in found])[order]
+    logs = vocabulary.with_unknown(table[:, None], unknown)[:, 0]
+    chance, reach, bounds = np.exp(logs[piece]).tolist(), length.tolist(), np.searchsorted(start, np.arange(n + 1)).tolist()
+    ahead, behind = np.zeros(n + 1), np.zeros(n + 1)
+    now, scale = [1.0] + [0.0] * vocabulary.longest, 0.0
+    for i in range(n + 1):
+        if now[0] < _SMALL:
+            now, scale = [x * _SHIFT for x in now], scale - math.log(_SHIFT)
+        ahead[i] = math.log(now[0]) + scale
+        if i < n:
+            for e in range(bounds[i], bounds[i + 1]):
+                now[reach[e]] += now[0] * chance[e]
+        del now[0]
+        now.append(0.0)
+    after, scale = [1.0] + [0.0] * vocabulary.longest, 0.0  # after[k]: from place i + 1 + k to the end
+    for i in range(n - 1, -1, -1):
+        here = sum(chance[e] * after[reach[e] - 1] for e in range(bounds[i], bounds[i + 1]))
+        if here < _SMALL:
+            after, scale, here = [x * _SHIFT for x in after], scale - math.log(_SHIFT), here * _SHIFT
+        behind[i] = math.log(here) + scale
+        after = [here, *after[:-1]]
+    share = np.exp(ahead[start] + logs[piece] + behind[start + length] - ahead[n]) * times
+    use = np.bincount(piece, weights=share, minlength=len(logs))
+    counts += use[: vocabulary.size]
+    for amount, spelled in zip(use[vocabulary.size : -1], vocabulary.spelled(unknown)):
+        np.add.at(counts, spelled, amount)
+
+
 class Model:
     def __init__(self, vocabulary: Vocabulary, languages: list[str], table: np.ndarray, prior: np.ndarray):
         self.vocabulary, self.languages, self.table, self.prior = vocabulary, languages, table, prior

@@ -1,3 +1,4 @@
+import time
 from itertools import product
 
 import numpy as np
@@ -55,6 +56,41 @@ def test_long_word(vocabulary):
     assert np.isfinite(language.log_probabilities(["x" * 5000], vocabulary, table)).all()
 
 
+def test_expected_counts_of_long_words(vocabulary, monkeypatch):
+    table = np.log(np.random.default_rng(2).dirichlet(np.full(vocabulary.size, 0.3), 2).T + 1e-10)
+    words, lang, times = ["queue日" * 40, "𐐀x" * 60, "the"], np.array([0, 1, 1]), np.array([3, 1, 2])
+    want = language.expected_counts(words, lang, times, vocabulary, table)
+    monkeypatch.setattr(language, "LONG", 2)
+    got = language.expected_counts(words, lang, times, vocabulary, table)
+    assert np.allclose(got, want, rtol=1e-8, atol=1e-9)
+
+
+def log_domain(words, vocabulary, table):
+    """The same sums over logs, word by word."""
+    out = []
+    for w in words:
+        unknown = {}
+        ids = vocabulary.edges([w], unknown)
+        full = vocabulary.with_unknown(table, unknown)
+        out.append(language.forward(lambda j, l: full[ids[:, j - 1, l - 1]], ids.shape[1], ids.shape[2])[-1][0])
+    return np.array(out)
+
+
+def test_scaled_sums_equal_sums_of_logs(vocabulary):
+    table = np.log(np.random.default_rng(5).dirichlet(np.full(vocabulary.size, 0.2), 3).T + 1e-12)
+    words = ["x" * n for n in (1, 2, 40, 254, 255, 256, 257, 900)] + ["日本" * 60, "𐐀" * 130, "ß" * 300, "the", "queue" * 70, "𐐀日x" * 100]
+    assert np.allclose(language.log_probabilities(words, vocabulary, table), log_domain(words, vocabulary, table), rtol=1e-9)
+
+
+def test_long_words_in_stretches_and_a_million_letters(vocabulary):
+    table = np.log(np.random.default_rng(6).dirichlet(np.ones(vocabulary.size), 2).T)
+    word = "".join(np.random.default_rng(7).choice(list("abcdeétu日"), 700))
+    assert np.allclose(language._one_long_word(word, vocabulary, table, step=13), log_domain([word], vocabulary, table)[0], rtol=1e-9)
+    start = time.perf_counter()
+    assert np.isfinite(language.log_probabilities(["abcdefghij" * 100_000], vocabulary, table)).all()
+    assert time.perf_counter() - start < 60
+
+
 def test_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = queries.op5(spark, sf_dir)
