@@ -53,7 +53,7 @@ def test_simple_tree_matching():
     a = {"x": {"p": {}, "q": {}}, "y": {}}
     b = {"w": {}, "x": {"q": {}}, "y": {}}
     assert html_text.match(a, b)[0] == 3
-    assert html_text.aligned(a, b) == {("x",), ("x", "q"), ("y",)}
+    assert html_text.aligned(a, b) == {("x",): ("x",), ("x", "q"): ("x", "q"), ("y",): ("y",)}
     assert html_text.match({"a": {}, "b": {}}, {"b": {}, "a": {}})[0] == 1  # order counts
 
 
@@ -77,3 +77,84 @@ def test_odd_rows(spark):
     got = html_text.extract(df)
     assert sorted(r.text for r in got.collect()) == ["", *["x"] * 5]
     assert html_text.extract(df.where(F.lit(False))).count() == 0
+
+
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    return {r.page_id: r.text for r in html_text.extract(df).collect()}
+
+
+def test_a_slot_constant_on_most_pages_keeps_other_texts(spark):
+    """20 hosts whose second heading is the same on 60 % of the pages."""
+    head = lambda i: "Summary" if i % 20 < 12 else f"Own heading {i}"
+    page = "<body><div class=top>The site</div><article><h1>Title {0}</h1><h2>{1}</h2><p>Story {0} is told here.</p></article></body>"
+    got = extracted(spark, [(h * 20 + i, f"http://h{h}.org/{i}", page.format(h * 20 + i, head(i))) for h in range(20) for i in range(20)])
+    assert sum(f"Own heading {i}" in t for t in got.values() for i in range(12, 20)) == 160
+    assert all("The site" not in t and "is told here" in t for t in got.values())
+
+
+def test_list_items_without_links_stay_beside_linked_ones(spark):
+    page = "<body><article><p>Story {0} is told here, at some length.</p><ul><li><a href=x>Linked item number {0} and more</a><li>Plain item {0}</ul></article><ul class=x><li><a href=1>Link {0}</a><li><a href=2>Link two {0}</a></ul></body>"
+    got = extracted(spark, [(i, f"http://a.org/{i}", page.format(i)) for i in range(100)])
+    assert sum(f"Plain item {i}" in t for i, t in got.items()) == 100 and sum(f"Linked item number {i}" in t for i, t in got.items()) == 100
+    assert not any("Link two" in t for t in got.values())
+
+
+def test_a_page_without_blocks_is_no_reference(spark):
+    page = "<body><div class=t>Always the same line</div><div class=c>Story {0} is told here.</div></body>"
+    rows = [(h * 10 + i, f"http://h{h}.org/{i}", ["", "<html><script>var x = 1</script></html>", "<p> </p>"][i] if i < 3 else page.format(h * 10 + i)) for h in range(30) for i in range(10)]
+    got = extracted(spark, rows)
+    assert all(got[h * 10 + i] == f"Story {h * 10 + i} is told here." for h in range(30) for i in range(3, 10))
+
+
+def test_siblings_of_one_label_are_told_apart(spark):
+    page = "<body><div>Site notice</div>{1}<div>Story {0} is told here.</div><div>All rights kept</div></body>"
+    got = extracted(spark, [(i, f"http://a.org/{i}", page.format(i, "")) for i in range(12)])
+    assert all(t == f"Story {i} is told here." for i, t in got.items())
+
+
+def test_names_that_only_hint_and_teasers(spark):
+    assert text_of('<body><div class="related-work"><p>Earlier studies.</p></div><div class="widget text">Body</div><div class=related><a href=x>Other story</a></div></body>') == "Earlier studies.\n\nBody"
+    body = "<p>The body of this page goes on for quite a while.</p>" * 3
+    assert text_of(f"<body>{body}<article>Teaser</article></body>").count("quite a while") == 3
+
+
+def test_deep_pages_and_unclosed_quotes(spark):
+    import time
+
+    deep = "<div>" * 5_000 + "bottom {0}" + "</div>" * 5_000
+    got = extracted(spark, [(i, f"http://a.org/{i}", f"<body><p>Line {i}</p>" + deep.format(i)) for i in range(8)])
+    assert all(t == f"Line {i}\n\nbottom {i}" for i, t in got.items())
+    start = time.perf_counter()
+    for bad in ('<a b="' * 170_000, '<a b=">"' * 125_000, "<a b='\"" * 140_000, '<p>one</p><a b="x>two</p><p>three', "<" * 1_000_000, "<a" * 500_000):
+        text_of(bad)
+    assert time.perf_counter() - start < 30
+    assert text_of('<p>one</p><a b="x>two</a><p>three') == "one\n\ntwo\n\nthree"
+
+
+def brute_match(a, b):
+    """The most nodes two forests can match in order, by trying all pairs."""
+    best = 0
+    left, right = list(a.items()), list(b.items())
+    for i, (x, xs) in enumerate(left):
+        for j, (y, ys) in enumerate(right):
+            if x.split("#")[0] == y.split("#")[0]:
+                best = max(best, 1 + brute_match(xs, ys) + brute_match(dict(left[i + 1 :]), dict(right[j + 1 :])))
+    return best
+
+
+def test_matching_of_random_trees():
+    import random
+
+    rng = random.Random(4)
+
+    def forest(depth):
+        out = {}
+        for k in range(rng.randint(0, 4) if depth else 0):
+            out[f"{rng.choice('ab')}#{k}"] = forest(depth - 1)
+        return out
+
+    for _ in range(300):
+        a, b = forest(3), forest(3)
+        size, pairs = html_text.match(a, b)
+        assert size == brute_match(a, b) == len(html_text.aligned(a, b))
