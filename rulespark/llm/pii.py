@@ -37,7 +37,6 @@ RIDGE = 1.0
 LEAST_GAIN = 1e-3
 HELD_OUT = 4  # every fourth text by hash calibrates and does not train
 PRECISION = 0.97  # that added spans of a kind must reach among calibration candidates
-LEAST_HITS = 20  # true candidates above a threshold that calibration needs to trust it
 LEAST_SCORE = 0.0  # log odds: what the trees think less likely than not is never added
 
 _WORDS = {
@@ -87,13 +86,46 @@ def _placed(df: DataFrame, text: str, patterns: dict[str, str], out: str) -> Dat
     return df
 
 
+def plausible(kind: str, x: Column) -> Column:
+    """Whether a candidate, with its disguise undone, could be of its kind."""
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(x, r"\x20", ""), r"(?i)[(\[{]dot[)\]}]", ".")
+        return plain.rlike(r"\.[A-Za-z]{2,24}$")
+    return _passes(kind, F.regexp_replace(x, "[,:_-]", ".") if kind == "ip" else x)
+
+
+# How base spans are loosened for training: texts put for the parts that make the format, one choice per span by its hash.
+_DISGUISES = {
+    "email": [(r"@", " (at) ", r"\.", " (dot) "), (r"@", "(at)", r"\.", "(dot)"), (r"@", " [at] ", r"\.", " [dot] "), (r"@", " @ ", r"\.", " . ")],
+    "ip": [(r"\.", "-"), (r"\.", ":"), (r"\.", ","), (r"\.", "_")],
+    "card": [(r"[\x20-]", "."), (r"[\x20-]", "_"), (r"[\x20-]", "/"), (r"[\x20-]", "")],
+    "phone": [(r"^\+|[()]", "", r"[\x20.-]+", "-"), (r"^\+|[()]", "", r"[\x20.-]+", " "), (r"^\+|[()]", "", r"[\x20.-]+", ""), (r"^\+[0-9]{1,3}(?=[\x20(.-])[\x20.-]*", "", "[()]", "")],
+}
+
+
+def loosened(kind: str, m: Column) -> Column:
+    """A match like m whose text is disguised."""
+    forms = _DISGUISES[kind]
+    choice, x = F.crc32(m["x"].cast("binary")) % len(forms), m["x"]
+    for i, form in enumerate(forms):
+        y = m["x"]
+        for pattern, text in zip(form[::2], form[1::2]):
+            y = F.regexp_replace(y, pattern, text)
+        x = F.when(choice == i, y).otherwise(x)
+    return F.struct(x.alias("x"), m["before"].alias("before"), m["after"].alias("after"))
+
+
+def _named_near(kind: str, m: Column) -> Column:
+    return F.concat_ws(" ", m["before"], m["after"]).rlike(f"(?i)\\b(?:{_WORDS[kind]})\\b")
+
+
 def _side(c: Column) -> Column:
     """Kind of the character next to a span: 0 none, 1 space, 2 letter, 3 digit, 4 other."""
     return F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"\p{L}"), 2).when(c.rlike("[0-9]"), 3).otherwise(4)
 
 
 def features(kind: str, m: Column) -> Column:
-    """array of small numbers: what a candidate and its context look like. The base's own tests are not among them."""
+    """array of small numbers: what a candidate and its context look like, and whether its undisguised form is plausible."""
     x = F.regexp_replace(m["x"], r"^\+", "")
     digits = F.length(F.regexp_replace(x, "[^0-9]", ""))
     apart = F.regexp_extract_all(x, F.lit("[^0-9A-Za-z]+"), F.lit(0))
@@ -107,15 +139,13 @@ def features(kind: str, m: Column) -> Column:
         F.coalesce(F.try_to_number(F.regexp_extract(x, "[0-9]", 0), F.lit("9")).cast("int"), F.lit(10)),
         _side(F.right(m["before"], F.lit(1))),
         _side(F.left(m["after"], F.lit(1))),
-        F.when(near.rlike(f"(?i)\\b(?:{_WORDS[kind]})\\b"), 1).otherwise(0),
+        F.when(_named_near(kind, m), 1).otherwise(0),
+        F.when(plausible(kind, m["x"]), 1).otherwise(0),
         F.least(F.ceil(F.length(F.regexp_replace(near, "[^0-9]", "")) / 4).cast("int"), F.lit(7)),
         F.least(F.ceil(F.length(F.regexp_replace(near, r"[\p{L}\p{N}\s]", "")) / 4).cast("int"), F.lit(7)),
     )
 
 
-N_FEATURES = 11
-
-
 @dataclass(frozen=True)
 class Leaf:
     value: float
@@ -190,10 +220,12 @@ class Model:
 def train(cells: DataFrame) -> Model:
     """Boosted trees and thresholds from cells (kind, f, held_out, n, hits): counts of candidates with equal features.
 
-    Labels are weak: a candidate is a hit if it overlaps a span that the base accepts. Every candidate of the corpus is
-    in a cell; there are as many cells as different feature rows, however large the corpus. A round is DEPTH + 1
-    sums over them. A kind's threshold is the least score, LEAST_SCORE at least, from which on candidates of held-out texts
-    are hits with PRECISION.
+    Labels come from the base: a candidate that overlaps a base span is a hit, and so is a disguised copy of it. Others are
+    no hits, unless their undisguised form is plausible and (but for mail addresses, whose form says enough) a word of their
+    kind stands near: those may be what is looked for, so nothing is learned from them. Every candidate of the corpus that
+    has a label is in a cell; there are as many cells as different feature rows, however large the corpus. A round is
+    DEPTH + 1 sums over them. A kind's threshold is the least score, LEAST_SCORE at least, from which on labelled candidates of
+    held-out texts are hits with PRECISION.
     """
     totals = {r.kind: (r.n, r.hits) for r in cells.where("not held_out").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()}
     kinds = sorted(totals)
@@ -211,7 +243,7 @@ def train(cells: DataFrame) -> Model:
     steps = scored.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     above = Window.partitionBy("kind").orderBy(F.desc("score"))
     curve = steps.select("kind", "score", F.sum("n").over(above).alias("n"), F.sum("hits").over(above).alias("hits"))
-    good = curve.where((F.col("hits") >= PRECISION * F.col("n")) & (F.col("hits") >= LEAST_HITS)).groupBy("kind").agg(F.min("score").alias("t"))
+    good = curve.where((F.col("hits") >= PRECISION * F.col("n")) & (F.col("hits") > 0)).groupBy("kind").agg(F.min("score").alias("t"))
     return Model(trees, bias, {r.kind: max(r.t, LEAST_SCORE) for r in good.collect()})
 
 
@@ -233,17 +265,21 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     brief = lambda k: F.transform(strict(k), lambda m: F.struct(F.lit(k).alias("kind"), m["s"].alias("s"), m["e"].alias("e")))
     base = F.concat(*map(brief, KINDS))
     found = placed.select("id", "held_out", base.alias("base"), *[f"loose_{k}" for k in KINDS])
+    known = lambda k, m: F.exists(F.col("base"), lambda b: (b["kind"] == k) & (b["s"] < m["e"]) & (m["s"] < b["e"]))
+    open_question = lambda k, m: plausible(k, m["x"]) & (F.lit(True) if k == "email" else _named_near(k, m))
     describe = lambda k: F.transform(
         F.col(f"loose_{k}"),
         lambda m: F.struct(
             F.lit(k).alias("kind"), m["s"].alias("s"), m["e"].alias("e"), features(k, m).alias("f"),
-            F.exists(F.col("base"), lambda b: (b["kind"] == k) & (b["s"] < m["e"]) & (m["s"] < b["e"])).alias("hit"),
+            F.when(known(k, m), 1).when(~open_question(k, m), 0).alias("hit"),
+            F.when(known(k, m), features(k, loosened(k, m))).alias("copy"),
             F.exists(F.col("base"), lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])).alias("covered"),
         ),
     )
     found = stored(found.select("id", "held_out", "base", F.concat(*map(describe, KINDS)).alias("candidates")), "candidates")
-    each = found.where(F.size("candidates") > 0).select("held_out", F.explode("candidates").alias("c"))
-    cells = each.groupBy("held_out", F.col("c.kind").alias("kind"), F.col("c.f").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("c.hit"), 1)).alias("hits"))
+    each = found.where(F.size("candidates") > 0).select("held_out", F.explode("candidates").alias("c")).where("c.hit IS NOT NULL")
+    each = each.select("held_out", "c.kind", "c.hit", F.explode(F.array_compact(F.array("c.f", "c.copy"))).alias("f"))
+    cells = each.groupBy("held_out", "kind", "f").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
     model = train(stored(cells, "cells"))
     # the margin over the kind's threshold makes scores of kinds comparable; below 0 a candidate is not chosen
     none = F.lit(-1.0)

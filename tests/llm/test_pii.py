@@ -60,15 +60,36 @@ def test_query_digests(spark, docs, sf_dir):
         assert set(want) <= set(row.spans.split(",")) or not want
 
 
-def test_trees_add_spans_that_look_like_base_ones(spark):
-    near = [f"call the office phone {200 + i} 555-{1000 + i} today" for i in range(30)]
+def test_trees_add_loose_spans_and_leave_clean_text_alone(spark):
+    near = [f"call the office phone {200 + i} 555-{1000 + i} today" for i in range(100)]
     sure = [f"call the office phone +1 ({200 + i % 700}) 555-{1000 + i} today" for i in range(400)]
     other = [f"serial number {10**9 + 7919 * i} of the batch" for i in range(400)]
     rows = list(enumerate(sure + other + near))
     found = pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    added = {r.doc_id: r.added for r in found}
+    added = {r.doc_id: [(a.kind, a.start, a.end) for a in r.added] for r in found}
     assert not any(added[i] for i in range(800))
     assert all(len(r.base) == (r.doc_id < 400) for r in found)
+    texts = dict(rows)
+    hit = sum([texts[i][a:b] for _, a, b in added[i]] == [texts[i][22:34]] for i in range(800, 900))
+    assert hit >= 90
+
+
+def test_disguised_addresses_are_added(spark):
+    real = [f"please write to anna{i}@mail{i % 9}.example.org soon" for i in range(300)]
+    loose = [f"please ask john{i} (at) example{i} (dot) com about it" for i in range(300)]
+    clean = [f"the meeting (at) noon in room {i} was long, see point 3.{i} of the list" for i in range(300)]
+    rows = list(enumerate(real + loose + clean))
+    found = {r.doc_id: r for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert all(len(found[i].base) == 1 and not found[i].added for i in range(300))
+    assert sum([texts[i][a.start : a.end] for a in found[i].added] == [f"john{i - 300} (at) example{i - 300} (dot) com"] for i in range(300, 600)) >= 270
+    assert not any(found[i].added or found[i].base for i in range(600, 900))
+
+
+def test_few_base_spans_are_enough(spark):
+    rows = [(i, f"mail anna{i}@mail.example.org") for i in range(12)] + [(100 + i, f"mail bob{i} [at] mail [dot] org now") for i in range(12)]
+    found = pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(len(r.added) for r in found if r.doc_id >= 100) >= 11
 
 
 def test_added_spans_overlap_nothing(spark):
