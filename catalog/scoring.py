@@ -10,6 +10,7 @@ from catalog.common import (
 )
 from rulespark.functions import mass as M
 from rulespark.operators import activate as A, fuse, metrics, predict
+from rulespark.operators.rule_index import activate_indexed
 from rulespark.rules import rules_frame
 
 registry = Registry()
@@ -89,6 +90,26 @@ def e2_activate_relational(spark, sf_dir):
     return A.activate_relational(orders(spark, sf_dir), rules_frame(spark, ORDER_RULES), ["o_orderkey"], ORDER_FEATURES)
 
 
+@query(
+    "e2_activate_indexed",
+    """WITH p AS (SELECT l_partkey, min(l_extendedprice) AS low, max(l_extendedprice) AS high, (min(l_discount) + max(l_discount)) / 2 AS disc, max(l_quantity) AS qty FROM lineitem GROUP BY 1)
+        SELECT p.l_partkey AS rule_id, count(*) AS rows, sum(l_quantity)::BIGINT AS quantity FROM p JOIN lineitem l
+        ON l_extendedprice > low AND l_extendedprice < high AND l_discount > disc
+           AND abs(l_quantity - qty) <= 1e-5 + 1e-5 * abs(qty) GROUP BY 1""",
+)
+def e2_activate_indexed(spark, sf_dir):
+    """A rule per part, made of its lines' prices, middle discount and greatest quantity, matched with every line item."""
+    items = table(spark, sf_dir, "lineitem")
+    part = items.groupBy("l_partkey").agg(
+        F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), ((F.min("l_discount") + F.max("l_discount")) / 2).alias("disc"), F.max("l_quantity").cast("double").alias("qty")
+    )
+    literal = lambda f, op, v: F.struct(F.lit(f).alias("feature"), F.lit(op).alias("op"), F.col(v).cast("double").alias("value"))
+    literals = [("l_extendedprice", ">", "low"), ("l_extendedprice", "<", "high"), ("l_discount", ">", "disc"), ("l_quantity", "==", "qty")]
+    rules = part.select(F.col("l_partkey").alias("rule_id"), F.array(*[literal(*lit) for lit in literals]).alias("literals"))
+    fired = activate_indexed(items.withColumn("quantity", F.col("l_quantity").cast("long")), rules, ["quantity"], ["l_extendedprice", "l_discount", "l_quantity"])
+    return fired.groupBy("rule_id").agg(F.count("*").alias("rows"), F.sum("quantity").alias("quantity"))
+
+
 @query(
     "e2_activate_lineitem",
     f"WITH {LINES_SQL}, {fired_sql('lines', 'y', DEMO_RULES)} SELECT rule_id, count(*) FILTER (WHERE y = 1) AS support, "
