@@ -232,6 +232,20 @@ def i10_conformance_checks(spark, sf_dir):
     return X.conformance_checks(predict.score(orders(spark, sf_dir), RULES), 3)
 
 
+@query(
+    "i10_conformance_of_damaged_masses",
+    "SELECT count(*) AS n_rows, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS bad_sum_to_one, count(*) FILTER (WHERE o_orderkey % 11 = 0) AS bad_non_negative, "
+    "0::BIGINT AS bad_commutative, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS bad_vacuous_identity FROM orders",
+)
+def i10_conformance_of_damaged_masses(spark, sf_dir):
+    """The checks find what is wrong: every 7th order's mass sums to 1.5, every 11th gives class 0 less than nothing to omega's gain."""
+    scored = predict.score(orders(spark, sf_dir), RULES)
+    m = [F.get("mass", F.lit(i)) for i in range(4)]
+    moved = F.when(F.col("o_orderkey") % 11 == 0, F.array(F.lit(-0.3), m[1], m[2], m[3] + m[0] + 0.3)).otherwise(F.col("mass"))
+    scale = F.when(F.col("o_orderkey") % 7 == 0, 1.5).otherwise(1.0)
+    return X.conformance_checks(scored.withColumn("mass", moved).withColumn("mass", F.transform("mass", lambda x: x * scale)), 3)
+
+
 @query("i10_prediction_invariance", "SELECT count(*) AS n_rows, 0.0::DOUBLE AS max_delta FROM orders")
 def i10_prediction_invariance(spark, sf_dir):
     retrained = RULES.with_masses([(0.2, 0.2, 0.2, 0.4)] * len(RULES))

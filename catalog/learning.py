@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import ORDER_FEATURES, ORDER_RULES, ORDERS_SQL, Registry, fired_sql, fused_sql, orders, rounded, rounded_sql
-from rulespark.operators import learn as L, metrics, prepare as P, predict
+from rulespark.operators import activate as A, learn as L, metrics, prepare as P, predict
 from rulespark.rules import rules_frame
 
 registry = Registry()
@@ -14,14 +14,22 @@ query = registry.query
 
 @query(
     "h1_init_masses_random",
-    "SELECT unnest(range(9))::BIGINT AS rule_id, 1.0::DOUBLE AS total, 0.65::DOUBLE AS omega, true AS in_range",
+    f"WITH {ORDERS_SQL}, {fired_sql('ord', 'o_orderkey', ORDER_RULES)} "
+    "SELECT rule_id, count(*) AS n, 1.0::DOUBLE AS total, 0.65::DOUBLE AS omega, true AS in_range, true AS same_again FROM fired GROUP BY rule_id",
 )
 def h1_init_masses_random(spark, sf_dir):
-    """What holds for every draw: class masses are in range and sum to 1 with the given omega."""
-    frame = rules_frame(spark, L.init_masses_random(ORDER_RULES, rule_uncertainty=0.65))
+    """What holds for every draw, for the masses each order's fired rules carry: range, sum, the given omega, and the seed's repetition."""
+    drawn = lambda seed: rules_frame(spark, L.init_masses_random(ORDER_RULES, rule_uncertainty=0.65, seed=seed))
+    frame = drawn(7).join(drawn(7).select("rule_id", F.col("mass").alias("again")), "rule_id").join(drawn(8).select("rule_id", F.col("mass").alias("other")), "rule_id")
+    fired = A.activate(orders(spark, sf_dir), ORDER_RULES, ["o_orderkey"]).join(F.broadcast(frame), "rule_id")  # a row per rule
     total = F.aggregate("mass", F.lit(0.0), lambda a, x: a + x)
     in_range = F.forall(F.slice("mass", 1, 3), lambda x: (x > 0) & (x < 0.35))
-    return rounded(frame.select("rule_id", total.alias("total"), F.get("mass", F.lit(3)).alias("omega"), in_range.alias("in_range")))
+    same = (F.col("mass") == F.col("again")) & (F.col("mass") != F.col("other"))
+    sums = fired.groupBy("rule_id").agg(
+        F.count("*").alias("n"), F.max(F.round(total, 12)).alias("total"), F.max(F.get("mass", F.lit(3))).alias("omega"),
+        F.min(in_range).alias("in_range"), F.min(same).alias("same_again"),
+    )
+    return rounded(sums)
 
 
 @query("h1_score_with_random_masses")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.common import (
     DEMO_RULES, LINE_OUT, LINES_SQL, ORDER_FEATURES, ORDER_RULES, ORDERS_SQL, Registry, fired_sql, fused_sql,
-    lines, literal_sql, orders, rounded, rounded_sql, rule_sql, rules_sql, votes_sql,
+    lines, literal_sql, orders, rounded, rounded_sql, rule_sql, rules_sql, table, votes_sql,
 )
 from rulespark.functions import mass as M
 from rulespark.operators import activate as A, fuse, metrics, predict
