@@ -333,6 +333,24 @@ def b21_natural_breaks(spark, sf_dir):
     return P.natural_breaks(table(spark, sf_dir, "orders"), "o_totalprice", k=5)
 
 
+def _least_cost(k: int) -> str:
+    """Thresholds of the k ranges of least cost: one layer of dynamic programming over all (start, end) per cluster."""
+    cost = "(e.q - s.q) - (e.t - s.t) * (e.t - s.t) / (e.c - s.c)"
+    layers = ["d1 AS (SELECT e.i AS j, q - t * t / c AS best, 1 AS start FROM p e WHERE i > 0)"]
+    for n in range(2, k + 1):
+        layers.append(f"d{n} AS (SELECT e.i AS j, min(d.best + {cost}) AS best, arg_min(s.i + 1, d.best + {cost}) AS start FROM d{n - 1} d JOIN p s ON s.i = d.j JOIN p e ON e.i > s.i GROUP BY e.i)")
+    ends = [f"e{k} AS (SELECT max(i) AS j FROM p)"] + [f"e{n} AS (SELECT start - 1 AS j FROM d{n + 1} JOIN e{n + 1} USING (j))" for n in range(k - 1, 0, -1)]
+    picks = " UNION ALL ".join(f"SELECT {n - 1} AS pos, x AS threshold FROM p JOIN e{n} ON i = j" for n in range(1, k + 1))
+    return f"""WITH v AS (SELECT c_acctbal::DOUBLE - (SELECT avg(c_acctbal) FROM customer) AS z, c_acctbal::DOUBLE AS x, count(*) AS n FROM customer GROUP BY ALL),
+        p AS (SELECT row_number() OVER w AS i, x, sum(n) OVER w AS c, sum(n * z) OVER w AS t, sum(n * z * z) OVER w AS q FROM v WINDOW w AS (ORDER BY x)
+              UNION ALL SELECT 0, NULL, 0, 0, 0), {", ".join(layers)}, {", ".join(ends)} {picks}"""
+
+
+@query("b21_natural_breaks_customers", rounded_sql(_least_cost(4), "threshold"))
+def b21_natural_breaks_customers(spark, sf_dir):
+    return rounded(P.natural_breaks(table(spark, sf_dir, "customer"), "c_acctbal", k=4))
+
+
 @query(
     "b22_filter_by_rule_confidence",
     rounded_sql(

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from rulespark.operators.breaks import break_values
 from rulespark.operators import order_stats as O
 from rulespark.operators.activate import melt
 from rulespark.session import ensure_checkpoint_dir, fits_broadcast, small_side
@@ -404,18 +405,12 @@ def statistic_breaks(df: DataFrame, columns: Sequence[str], *, k: int = 5, sigma
     )
 
 
-def natural_breaks(df: DataFrame, column: str, *, k: int = 5, seed: int = 42, append_infinity: bool = False) -> DataFrame:
-    """(pos, threshold): the largest value of each 1-D k-means cluster, ascending."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    points = VectorAssembler(inputCols=[column], outputCol="v").transform(df.select(F.col(column).cast("double").alias(column)))
-    model = KMeans(k=k, maxIter=150, seed=seed, featuresCol="v", predictionCol="c").fit(points)
-    tops = model.transform(points).groupBy("c").agg(F.max(column).alias("threshold")).select("threshold").distinct()
-    order = Window.orderBy("threshold")  # at most k rows
-    out = tops.select((F.row_number().over(order) - 1).alias("pos"), "threshold", F.lead("threshold").over(order).isNull().alias("last"))
-    top = F.when(F.col("last"), F.lit(float("inf"))).otherwise(F.col("threshold")) if append_infinity else F.col("threshold")
-    return out.select("pos", top.alias("threshold"))
+def natural_breaks(df: DataFrame, column: str, *, k: int = 5, append_infinity: bool = False) -> DataFrame:
+    """(pos, threshold): the largest value of each cluster of the one-dimensional k-means of least cost, ascending."""
+    found = break_values(df, column, k)
+    if append_infinity and found:
+        found[-1] = float("inf")
+    return df.sparkSession.createDataFrame(list(enumerate(found)), "pos int, threshold double")
 
 
 def filter_by_rule_confidence(df: DataFrame, predicate: Column, *, cluster: str = "cluster_id", by_proportion: bool = True) -> DataFrame:
