@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rulespark.operators.rule_table import certainty_score
 from rulespark.session import small_side
@@ -15,14 +15,29 @@ RULE_LINE = r"^\s*class\s+(\S+)\s+::\s+(.*?)(?:\s+→\s+class\s+\S+)?(?:\s+\|\|\
 LITERAL = r"^(.*\S)\s+(==|<|>)\s+(.*)$"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files of any size, numbered from 0 in each file.
+
+    Splits of a file are read by different tasks. A line's number is its place in its split, found in a window of that split,
+    plus the lines of the splits before it: one row per split.
+    """
+    rows = spark.read.text(path).select(
+        F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
+    sizes = rows.groupBy("file", "split").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")
+    starts = small_side(sizes.select("file", "split", before.alias("before")))
+    place = F.row_number().over(Window.partitionBy("file", "split").orderBy("at")) - 1
+    placed = rows.withColumn("place", place).join(starts, ["file", "split"])
+    return placed.select("file", (F.col("before") + F.col("place")).cast("bigint").alias("line_no"), "line")
+
+
 def read_rules_text(spark: SparkSession, path: str, value_dim: DataFrame | None = None) -> DataFrame:
     """Rules from lines `class <label> :: <literal> & <literal> || masses: [..]`, numbered per file in line order.
 
-    Rule files are small (the induction cap), so each is read whole and split, which keeps line order.
     Values that are words are looked up in `value_dim`; a word without an entry leaves the value NULL.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    lines = files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
+    lines = numbered_lines(spark, path)
     part = lambda i: F.nullif(F.regexp_extract("line", RULE_LINE, i), F.lit(""))
     rules = lines.where(F.col("line").rlike(RULE_LINE)).select(
         "file", "line_no", part(1).try_cast("int").alias("label"), part(2).alias("caption"),

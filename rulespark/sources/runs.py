@@ -34,5 +34,6 @@ def write_runs(runs: DataFrame, path: str) -> None:
 
 
 def export_hard_cases(base: DataFrame, path: str, key: Sequence[str]) -> None:
-    """One folder per (dataset, algo), rows sorted by key within each file."""
-    base.sortWithinPartitions("dataset", "algo", *key).write.partitionBy("dataset", "algo").parquet(path)
+    """One folder per (dataset, algo), sorted by key: one file, or where it is too large for a task several whose ranges follow each other."""
+    order = ["dataset", "algo", *key]
+    base.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("dataset", "algo").parquet(path)
