@@ -12,12 +12,14 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rulespark.llm.common import stored
+from rulespark.llm.common import stored, taken_name
+from rulespark.session import fits_broadcast
 
 CONSTANT = 0.5  # share of a host's pages that must agree with the reference page for a slot to be template
 LINKED = 0.6  # share of link characters from which a slot is a menu
 LEAST_PAGES = 3  # pages that must speak about a slot; a smaller host's pages go by their markup alone
 REFERENCES = 3  # pages of least hash among which a host's reference, one with blocks, is taken
+SALTS = 64  # parts of a host's pages where its row cannot be broadcast
 DEEP = 200  # levels of elements that tell slots apart; text below is kept like any other
 
 _LEFT = r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*(?:>|\Z).*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -306,6 +308,16 @@ def host_of(url):
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
+def _told(pages: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
+    """pages joined to the one row of their host: by a broadcast whose size is checked, or else salted, as a host may hold a third of all pages."""
+    if fits_broadcast(hosts):
+        return pages.join(F.broadcast(hosts), "host", how)
+    salt, own = taken_name(pages, "salt", "own_salt")
+    spread = pages.withColumn(salt, F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)))
+    copies = hosts.withColumn(own, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).withColumnRenamed("host", "host_")
+    return spread.join(copies, (F.col("host") == F.col("host_")) & (F.col(salt) == F.col(own)), how).drop(salt, own, "host_")
+
+
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every row of df, from the whole html.
 
@@ -359,7 +371,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         rows = [(*k, *v) for k, v in sums.items()]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["host", "slot", "n", "same", "chars", "links"])
 
-    votes = hosted.join(references, "host").select("host", "html", "reference").mapInArrow(vote, "host string, slot string, n bigint, same bigint, chars bigint, links bigint")
+    votes = _told(hosted, references, "inner").select("host", "html", "reference").mapInArrow(vote, "host string, slot string, n bigint, same bigint, chars bigint, links bigint")
     judged = votes.groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("n", "same", "chars", "links")]).where(f"n >= {LEAST_PAGES}")
     verdict = judged.select(
         "host", "slot", (F.col("same") >= CONSTANT * F.col("n")).alias("constant"), (F.col("links") >= LINKED * F.greatest("chars", F.lit(1))).alias("menu")
@@ -388,7 +400,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 texts.append(main_text(found, template, {p for p, t in there.items() if t in known[key][1]}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    wrappers = wrappers.join(references, "host")
-    told = pages.join(wrappers, "host", "left").select("id", "url", "html", "constant", "menu", "reference")
+    wrappers = stored(wrappers.join(references, "host"), "told")
+    told = _told(pages, wrappers, "left").select("id", "url", "html", "constant", "menu", "reference")
     out = told.mapInArrow(read, f"id {df.schema[id_col].dataType.simpleString()}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")

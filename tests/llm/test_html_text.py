@@ -119,6 +119,14 @@ def test_names_that_only_hint_and_teasers(spark):
     assert text_of(f"<body>{body}<article>Teaser</article></body>").count("quite a while") == 3
 
 
+def test_hosts_beyond_a_broadcast_are_salted(spark, monkeypatch):
+    page = "<body><div class=t>Always the same line</div><div class=c>Story {0} is told here.</div></body>"
+    rows = [(i, f"http://h{i % 2}.org/{i}", page.format(i)) for i in range(40)] + [(90, None, page.format(90)), (91, "http://lone.org/", None)]
+    want = extracted(spark, rows)
+    monkeypatch.setattr(html_text, "fits_broadcast", lambda df: False)
+    assert extracted(spark, rows) == want and want[0] == "Story 0 is told here."
+
+
 def test_deep_pages_and_unclosed_quotes(spark):
     import time
 
