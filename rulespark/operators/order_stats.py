@@ -7,13 +7,16 @@ its own and starts from the total of the buckets before it. Results are exact wh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rulespark.session import small_side
+from rulespark.session import ensure_checkpoint_dir, small_side
 
 ONE_WINDOW_MAX = 200_000
+SKETCH_K = 4000  # of the sketch behind the brackets: ranks are off by about a thousandth
+GRID = 1024  # ranks read from a sketch; a bracket is at least four of them wide
 
 
 def finite_only(df: DataFrame, value: str = "value") -> DataFrame:
@@ -89,13 +92,99 @@ def quantile_columns(qs: Sequence[float], *, value: str = "value", weight: str =
 
 
 def exact_quantiles(
-    cells: DataFrame, by: Sequence[str], qs: Sequence[float], *, value: str = "value", buckets: int = 1, prefix: str = "q"
+    cells: DataFrame, by: Sequence[str], qs: Sequence[float], *, value: str = "value", prefix: str = "q", room: int = ONE_WINDOW_MAX,
+    sketch_k: int = SKETCH_K,
 ) -> DataFrame:
-    """One row per group with q0.. = exact quantiles of its finite values."""
-    counts = value_counts(finite_only(cells, value), by, value=value)
-    return running(counts, by, value=value, sums=["n"], buckets=buckets).groupBy(*by).agg(
-        *quantile_columns(qs, value=value, prefix=prefix)
-    )
+    """One row per group with `size`, q0.. = exact quantiles of its finite values.
+
+    Values leave a task only where they lie in a bracket around a wanted rank; all others are added up per gap between
+    brackets. So what is shuffled does not grow with the distinct values, but with `room`, the rows a bracket may hold:
+    larger tables narrow their brackets by further sketches of the rows inside, one scan each. The last scan proves that
+    every wanted rank lies in its bracket; a group for which a sketch erred is counted by all its values.
+    """
+    rows = finite_only(cells, value).select(*by, F.col(value).cast("double").alias("value"))
+    ensure_checkpoint_dir(cells.sparkSession)
+    first = rows.groupBy(*by).agg(F.count("*").alias("size"), F.kll_sketch_agg_double("value", sketch_k).alias("s"))
+    first = first.withColumn("g", F.kll_sketch_get_quantile_double("s", F.lit(_RANKS)))
+    spans = first.select(*by, "size", *_narrowed(qs, lambda i: (F.lit(0), F.col("size"), F.col("g")))).checkpoint()
+    largest = spans.agg(F.max("size")).first()[0] or 0
+    width = largest * 6 / GRID
+    while width > room:
+        spans = _narrow(rows, by, qs, spans, room, sketch_k).checkpoint()
+        width *= 6 / GRID
+    counts = _bracketed_counts(rows, by, spans)
+    runs = running(counts, by, sums=["n"])
+    at = [F.floor(F.lit(float(q)) * (F.col("all_n") - 1)) for q in qs]
+    ranks = F.array(*at, *[F.least(a + 1, F.col("all_n") - 1) for a in at])
+    lost = ~F.col("exact") & F.exists(ranks, lambda r: (r >= F.col("cum_n") - F.col("n")) & (r < F.col("cum_n")))
+    found = runs.groupBy(*by).agg(F.max(lost).alias("lost"), F.max("all_n").alias("size"), *quantile_columns(qs, prefix=prefix)).checkpoint()
+    again = found.where("lost").select(*by)
+    if not again.isEmpty():
+        plain = value_counts(_joined(rows, by, again), by)
+        redone = running(plain, by, sums=["n"], buckets=buckets_for(largest)).groupBy(*by).agg(
+            F.max("all_n").alias("size"), *quantile_columns(qs, prefix=prefix)
+        )
+        found = found.where("NOT lost").drop("lost").unionByName(redone)
+    return found.drop("lost")
+
+
+_RANKS = [i / GRID for i in range(GRID + 1)]
+
+
+def _narrowed(qs: Sequence[float], source) -> list[Column]:
+    """lo and hi per quantile from `source(i)`: rows below the sketched ones, their number and their values at _RANKS."""
+    lows, highs = [], []
+    for i, q in enumerate(qs):
+        below, inside, grid = source(i)
+        low = F.floor(F.lit(float(q)) * (F.col("size") - 1))
+        high = F.least(low + 1, F.col("size") - 1)
+        lows.append(F.get(grid, F.greatest(F.lit(0), F.floor((low - below) / inside * GRID) - 2).cast("int")))
+        highs.append(F.get(grid, F.least(F.lit(GRID), F.ceil((high + 1 - below) / inside * GRID) + 2).cast("int")))
+    return [F.array(*lows).alias("lo"), F.array(*highs).alias("hi")]
+
+
+def _joined(rows: DataFrame, by: Sequence[str], groups: DataFrame) -> DataFrame:
+    """rows of the given groups (a row each, null keys too) with the groups' columns."""
+    side = groups.withColumnsRenamed({c: f"_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & rows[c].eqNullSafe(side[f"_{c}"])
+    return rows.join(small_side(side), on).drop(*[f"_{c}" for c in by])
+
+
+def _narrow(rows: DataFrame, by: Sequence[str], qs: Sequence[float], spans: DataFrame, room: int, sketch_k: int) -> DataFrame:
+    """Narrower brackets by a sketch of what each holds; one that misses its rank opens on that side."""
+    found = []
+    for i in range(len(qs)):
+        lo, hi, v = F.get("lo", F.lit(i)), F.get("hi", F.lit(i)), F.col("value")
+        held = F.when((v >= lo) & (v <= hi), v)
+        found += [F.count_if(v < lo).alias(f"b{i}"), F.count(held).alias(f"n{i}"), F.kll_sketch_agg_double(held, sketch_k).alias(f"s{i}")]
+    got = _joined(rows, by, spans).groupBy(*by, "size", "lo", "hi").agg(*found)
+    fresh = _narrowed(qs, lambda i: (
+        F.col(f"b{i}"), F.col(f"n{i}"),
+        F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", F.lit(_RANKS))),
+    ))
+    got = got.select("*", fresh[0].alias("lo1"), fresh[1].alias("hi1"))
+    lows, highs = [], []
+    for i, q in enumerate(qs):
+        low = F.floor(F.lit(float(q)) * (F.col("size") - 1))
+        high = F.least(low + 1, F.col("size") - 1)
+        early, late = low < F.col(f"b{i}"), high >= F.col(f"b{i}") + F.col(f"n{i}")
+        dense = ~early & ~late & (F.col(f"n{i}") > room)
+        pick = lambda c: F.when(dense, F.get(f"{c}1", F.lit(i))).otherwise(F.get(c, F.lit(i)))
+        lows.append(F.when(early, F.lit(-math.inf)).otherwise(pick("lo")))
+        highs.append(F.when(late, F.lit(math.inf)).otherwise(pick("hi")))
+    return got.select(*by, "size", F.array(*lows).alias("lo"), F.array(*highs).alias("hi"))
+
+
+def _bracketed_counts(rows: DataFrame, by: Sequence[str], spans: DataFrame) -> DataFrame:
+    """(by, value, n, exact): rows per value inside any bracket; the rows of a gap are one row under its largest value."""
+    v = F.col("value")
+    inside = F.exists(F.arrays_zip("lo", "hi"), lambda s: (s["lo"] <= v) & (s["hi"] >= v))
+    gap = F.size(F.filter("lo", lambda x: x > v))  # no bracket begins between two rows of one gap
+    placed = _joined(rows, by, spans).select(*by, "value", F.when(inside, v).alias("_own"), F.when(~inside, gap).alias("_gap"))
+    counts = placed.groupBy(*by, "_own", "_gap").agg(F.count("*").alias("n"), F.max("value").alias("value"))
+    return counts.select(*by, "value", "n", F.col("_own").isNotNull().alias("exact"))
 
 
 # --- exact seeded draws ---

@@ -325,7 +325,7 @@ def dataset_profile(df: DataFrame, features: Sequence[str], label: str = "y", *,
     )
 
 
-def infer_feature_schema(df: DataFrame, features: Sequence[str], *, max_choices: int = 12, buckets: int | None = None) -> DataFrame:
+def infer_feature_schema(df: DataFrame, features: Sequence[str], *, max_choices: int = 12) -> DataFrame:
     """Feature kinds: for a numeric feature one row with min, max, default (median) and step, for a
     categorical one a row per choice. Choices stay rows, as a text column may have any number of them."""
     texts = [c for c in features if c in _fields(df, (T.StringType, T.BooleanType))]
@@ -338,14 +338,8 @@ def infer_feature_schema(df: DataFrame, features: Sequence[str], *, max_choices:
         texts += [c for c in numbers if whole[c] and counts[c] <= max_choices]
         numbers = [c for c in numbers if c not in texts]
     if numbers:
-        cells = O.value_counts(O.finite_only(melt(df, [], numbers)), ["feature"])
-        if buckets is None:
-            sizes = df.agg(*[F.approx_count_distinct(c) for c in numbers]).first()
-            buckets = O.buckets_for(max(sizes))
-        runs = O.running(cells, ["feature"], sums=["n"], buckets=buckets)
-        stats = runs.groupBy("feature").agg(
-            F.min("value").alias("min"), F.max("value").alias("max"), *O.quantile_columns([0.5], prefix="median")
-        )
+        stats = O.exact_quantiles(melt(df, [], numbers), ["feature"], [0.0, 0.5, 1.0])
+        stats = stats.select("feature", F.col("q0").alias("min"), F.col("q1").alias("median0"), F.col("q2").alias("max"))
         is_whole = F.col("feature").isin([c for c in numbers if whole[c]] or [""])
         step = F.when(is_whole, 1.0).otherwise(F.greatest((F.col("max") - F.col("min")) / 100.0, F.lit(0.01)))
         parts.append(
