@@ -376,9 +376,10 @@ def step_counts(
     cells = rows.select("p", "n", F.posexplode(marks).alias("f", "s")).where("s IS NOT NULL AND NOT isnan(s)")
     sums = cells.groupBy("f", "s").agg(F.count_if("p").alias("p"), F.count_if("n").alias("n"), F.count("*").alias("a"))
     if categorical:
-        sums = _ranked_values(sums, len(numeric), base, min_support)
+        values = near_counts(sums.where(F.col("f") > len(numeric)))
         if not every_value:
-            sums = sums.where((F.col("f") <= len(numeric)) | (F.col("r") == 1))
+            values = best_values(values, base, min_support)
+        sums = sums.where(F.col("f") <= len(numeric)).unionByName(values)
     by_feature: dict[str, list] = {}
     for r in sums.select("f", "s", "p", "n", "a").collect():
         by_feature.setdefault(names[r["f"] - 1] if r["f"] else "", []).append((r["s"], r["p"], r["n"], r["a"]))
@@ -404,20 +405,31 @@ _SCALE = 1e9
 _NEAR = int(1.2 * EQ_TOLERANCE * _SCALE)
 
 
-def _ranked_values(sums: DataFrame, n_numeric: int, base: tuple[int, int], min_support: int) -> DataFrame:
-    """Counts of categorical values by the rules' `==` test, with `r`: their rank by gain within the feature."""
+# Values are summed in slices of this scale, so that no feature's values meet in one task. Rows near a slice's end are
+# there in both: the copies are a thirty-second of the rows.
+_SLICE = 64 * _NEAR
+
+
+def near_counts(sums: DataFrame) -> DataFrame:
+    """(f, s, p, n, a): counts of every categorical value by the rules' `==` test, which accepts values beside it too."""
     scale = F.round(F.signum("s") * F.log1p(F.abs("s")) * _SCALE).cast("bigint")
-    around = Window.partitionBy("f").orderBy("g").rangeBetween(-_NEAR, _NEAR)
+    part = lambda x: F.floor(x / _SLICE)
+    placed = sums.select("f", "s", "p", "n", "a", scale.alias("g"))
+    placed = placed.select("*", F.explode(F.sequence(part(F.col("g") - _NEAR), part(F.col("g") + _NEAR))).alias("slice"))
+    around = Window.partitionBy("f", "slice").orderBy("g").rangeBetween(-_NEAR, _NEAR)
     near = F.filter(
         F.collect_list(F.struct("s", "p", "n", "a")).over(around), lambda x: F.abs(x["s"] - F.col("s")) <= EQ_TOLERANCE + EQ_TOLERANCE * F.abs("s")
     )
     total = lambda c: F.aggregate("near", F.lit(0).cast("bigint"), lambda acc, x: acc + x[c])
-    values = sums.where(F.col("f") > n_numeric).withColumn("g", scale).withColumn("near", near)
-    values = values.select("f", "s", *[total(c).alias(c) for c in "pna"])
-    score = gain.foil_gain(F.lit(float(base[0])), F.lit(float(base[1])), F.col("p"), F.col("n"))
-    best = Window.partitionBy("f").orderBy((F.col("p") >= min_support).desc(), F.desc("score"), "s")
-    values = values.withColumn("score", F.round(score, 12)).withColumn("r", F.row_number().over(best)).drop("score")
-    return sums.where(F.col("f") <= n_numeric).withColumn("r", F.lit(0)).unionByName(values)
+    return placed.withColumn("near", near).where(F.col("slice") == part(F.col("g"))).select("f", "s", *[total(c).alias(c) for c in "pna"])
+
+
+def best_values(values: DataFrame, base: tuple[int, int], min_support: int) -> DataFrame:
+    """The value of highest gain of each feature, the smallest on a tie: an aggregate, so tasks pass on one row a feature."""
+    score = F.round(gain.foil_gain(F.lit(float(base[0])), F.lit(float(base[1])), F.col("p"), F.col("n")), 12)
+    rank = F.struct((F.col("p") >= min_support).alias("ok"), score.alias("score"), (-F.col("s")).alias("low"))
+    top = values.groupBy("f").agg(F.max_by(F.struct("s", "p", "n", "a"), rank).alias("top"))
+    return top.select("f", "top.*")
 
 
 def foil_gain(p0: int, n0: int, p1: int, n1: int) -> float:
