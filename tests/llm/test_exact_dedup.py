@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from rulespark.llm import exact_dedup
 
@@ -22,10 +23,10 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits", [64, exact_dedup.FILTER_BITS])  # a full filter flags every row and stays exact
-def test_groups(spark, docs, odd, bits):
+@pytest.mark.parametrize("bits, room", [(64, exact_dedup.WORDS), (None, exact_dedup.WORDS), (None, 1)])  # a full filter flags every row and stays exact
+def test_groups(spark, docs, odd, bits, room):
     for df in (docs, odd):
-        got = sorted([tuple(r) for r in exact_dedup.exact_groups(df, bits=bits).collect()], key=str)
+        got = sorted([tuple(r) for r in exact_dedup.exact_groups(df, bits=bits, room=room).collect()], key=str)
         assert got == brute([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
 
 
@@ -34,21 +35,32 @@ def test_empty(spark, empty):
     assert exact_dedup.drop_copies(empty).count() == 0
 
 
-@pytest.mark.parametrize("bits", [64, exact_dedup.FILTER_BITS])
-def test_one_row_of_each_text_stays(spark, odd, bits):
-    got = exact_dedup.drop_copies(odd, bits=bits)
+@pytest.mark.parametrize("bits, room", [(64, exact_dedup.WORDS), (None, exact_dedup.WORDS), (None, 1)])
+def test_one_row_of_each_text_stays(spark, odd, bits, room):
+    got = exact_dedup.drop_copies(odd, bits=bits, room=room)
     assert got.columns == odd.columns
     rows = [(r.doc_id, lower(r.text)) for r in got.collect()]
     assert sorted(t for _, t in rows) == sorted({lower(r.text) for r in odd.collect()})
     assert (99, "a b c") in rows
 
 
-def test_filter_flags_few_unique_rows(spark, docs):
-    keyed = docs.select("doc_id", exact_dedup.text_sha(docs.text).alias("sha"))
-    words = exact_dedup.repeated_filter(keyed, "sha")
-    again = exact_dedup.flag_repeated(keyed, "sha", "again", words).where("again").count()
-    copies = docs.select(exact_dedup.text_sha(docs.text).alias("s")).groupBy("s").count().where("count > 1").agg({"count": "sum"}).first()[0]
-    assert again == copies
+@pytest.mark.parametrize("n", [2_000, 20_000, 200_000])
+@pytest.mark.parametrize("room", [exact_dedup.WORDS, 10])
+def test_filter_flags_few_unique_rows_at_any_size(spark, n, room):
+    """A third of the rows is one text, a tenth is pairs: all are flagged, and under 5 % of the others."""
+    text = "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 10 = 1 THEN concat('pair', id div 20) ELSE concat('own', id) END AS text"
+    rows = spark.range(n).selectExpr("id AS doc_id", text)
+    keyed = rows.select("doc_id", "text", exact_dedup.text_sha(F.col("text")).alias("sha")).cache()
+    bits = exact_dedup.filter_bits(n)
+    assert 16 * n <= max(bits, 1 << 16) <= max(32 * n, 1 << 16)
+    words = exact_dedup.repeated_filter(keyed, "sha", bits).cache()
+    flagged = exact_dedup.flag_repeated(keyed, "sha", "again", words, bits, room=room)
+    assert flagged.columns == [*keyed.columns, "again"]
+    counts = keyed.groupBy("sha").count()
+    single, wrong, missed = flagged.join(counts, "sha").selectExpr(
+        "count_if(count = 1)", "count_if(count = 1 AND again)", "count_if(count > 1 AND NOT again)"
+    ).first()
+    assert flagged.count() == n and missed == 0 and wrong < 0.05 * single
 
 
 def test_main_path_has_no_python(spark, docs):
