@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours: NN-descent builds a graph by Spark joins, queries walk it greedily."""
+"""Nearest neighbours: NN-descent builds a graph by Spark joins, queries walk it greedily, blocks prove what the walk found."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rulespark.llm.common import stored
+from rulespark.session import small_side
 
 DEGREE = 24  # neighbours kept for a node
 PICKED = 12  # neighbours of a node that join a round
@@ -18,6 +19,8 @@ BITS = 24  # hyperplanes of an order
 SETTLED = 0.02  # share of the edges that may still be new
 BEAM = 48  # nodes a query keeps
 STEP = 12  # nodes a query expands at a time
+PIVOTS = 256  # nodes that the blocks of the check lie around
+PACK = 1_024  # nodes or queries of a block
 
 
 def valid(vector: Column) -> Column:
@@ -174,20 +177,99 @@ def build(nodes: DataFrame) -> DataFrame:
     return graph.select("v", "u", "d")
 
 
+def _blocks(rows: DataFrame, kind: type, pivots: np.ndarray, extra: str = "") -> DataFrame:
+    """(ids, packed, extra): rows (id, packed, extra) near the same pivot together, in blocks of up to PACK."""
+    schema = rows.schema
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = pivots - pivots.mean(0)
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("packed"), kind).astype(np.float64) - pivots.mean(0)
+                with np.errstate(all="ignore"):
+                    place = np.argmin((at * at).sum(1) - 2 * (x @ at.T), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *batch.columns], names=["pivot", *schema.names])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(held: pa.Table) -> pa.RecordBatch:
+            arrays = [held["id"].to_numpy().tobytes(), b"".join(held["packed"].to_pylist()), *([held[extra].to_numpy().tobytes()] if extra else [])]
+            return pa.RecordBatch.from_arrays([pa.array([a], pa.binary()) for a in arrays], names=["ids", "packed", *([extra] if extra else [])])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).drop_columns("pivot")
+            held = table if held is None else pa.concat_tables([held, table])
+            while held.num_rows >= PACK:
+                yield close(held.slice(0, PACK))
+                held = held.slice(PACK)
+        if held is not None and held.num_rows:
+            yield close(held)
+
+    placed = rows.mapInArrow(near, "pivot int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
+    together = placed.repartitionByRange("pivot", "id").sortWithinPartitions("pivot", "id")
+    return together.mapInArrow(pack, "ids binary, packed binary" + (f", {extra} binary" if extra else ""))
+
+
+def missed(vectors: DataFrame, kind: type, asked: DataFrame, k: int) -> DataFrame:
+    """(q, node): every node that may be among the k nearest of a query, from vectors (id, packed) and asked (id, packed, bound).
+
+    A query's bound is the distance of the k-th it has found. Blocks of nodes meet blocks of queries; queries whose bound does
+    not reach a block's ball are left out, the others are compared with all its nodes. Comparisons allow for rounding,
+    so a node is left out only if it is farther than the bound, or than k others of its block.
+    """
+    some = vectors.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toArrow().combine_chunks()
+    if not some.num_rows:
+        return vectors.sparkSession.createDataFrame([], "q long, node long")
+    pivots = _matrix(some["packed"].combine_chunks(), kind).astype(np.float64)
+    eps = np.finfo(np.float64).eps
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(batch.num_columns))):
+                ids, packed, asking, there, bounds = (c.as_buffer() for c in row)
+                ids, asking, bounds = np.frombuffer(ids, np.int64), np.frombuffer(asking, np.int64), np.frombuffer(bounds, np.float64)
+                x, y = (np.frombuffer(b, kind).reshape(n, -1).astype(np.float64) for b, n in ((packed, len(ids)), (there, len(asking))))
+                with np.errstate(all="ignore"):
+                    centre = x.mean(0)
+                    lost = 8 * eps * (np.sqrt((x * x).sum(1)).max() + np.sqrt((y * y).sum(1)) + np.sqrt(centre @ centre))
+                    x, y = x - centre, y - centre
+                    nx, ny = (x * x).sum(1), (y * y).sum(1)
+                    slack = 8 * (x.shape[1] + 8) * eps
+                    reach = np.flatnonzero(~(np.sqrt(ny) * (1 - slack) - np.sqrt(nx.max()) * (1 + slack) > bounds + lost))
+                    if not len(reach):
+                        continue
+                    asking, bounds, y, ny, lost = asking[reach], bounds[reach], y[reach], ny[reach], lost[reach]
+                    d = ny[:, None] + nx[None, :] - 2 * (y @ x.T)
+                    most = np.square(bounds + lost) + slack * (ny + nx.max())
+                    hit = ~(d > most[:, None])
+                    for i in np.flatnonzero(hit.sum(1) > k):
+                        worst = np.sqrt(np.maximum(np.partition(d[i], k - 1)[k - 1], 0) + slack * (ny[i] + nx.max())) + 2 * lost[i]
+                        hit[i] &= ~(d[i] > worst * worst + slack * (ny[i] + nx.max()))
+                i, j = np.nonzero(hit)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(asking[i]), pa.array(ids[j])], names=["q", "node"])
+
+    there = _blocks(asked, kind, pivots, "bound").select(F.col("ids").alias("asking"), F.col("packed").alias("there"), "bound")
+    there = stored(there, "asked")
+    return stored(_blocks(vectors, kind, pivots), "blocks").crossJoin(small_side(there)).mapInArrow(compare, "q long, node long")
+
+
 def search(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows found for each query row, ties to the smaller id.
+    """(query_id, rank, vec_id, score): the k nearest rows for each query row, ties to the smaller id.
 
     Equal vectors are one node with its k + 1 smallest ids, so a vector that thousands share is one node and its
     copies are found exactly. A query starts at its own node and its neighbours and expands the STEP nearest nodes not yet
-    expanded, keeping BEAM, until nothing nearer turns up. Distances are on the original vectors in double
+    expanded, keeping BEAM, until nothing nearer turns up. The walk's k-th distance bounds the check by `missed`, which
+    finds what a graph of such vectors did not lead to. Distances are on the original vectors in double
     precision. Invalid vectors (null, zero, null or non-finite components) and null ids take no part; rows of one id
     are separate candidates, none of them for its own id; an empty table gives an empty result.
     """
     rows = df.where(F.col(id_col).isNotNull() & valid(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), is_query.alias("asks"))
     copies = Window.partitionBy("vec").orderBy("id")
     members = rows.select("id", "vec").withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1)
-    members = stored(members.withColumn("node", F.min("id").over(Window.partitionBy("vec"))), "members")
-    nodes = stored(members.where("place = 1").select(F.col("node").alias("id"), "vec"), "nodes")
+    # An id may have several vectors, so nodes are numbered; the numbers are fixed by being written.
+    nodes = stored(members.where("place = 1").select(F.monotonically_increasing_id().alias("id"), "vec"), "nodes")
+    members = stored(members.join(nodes.select(F.col("id").alias("node"), F.col("vec").alias("at")), F.col("vec") == F.col("at")).select("node", "id"), "members")
     queries = stored(rows.where("asks").join(nodes.select(F.col("id").alias("node"), F.col("vec").alias("at")), F.col("vec") == F.col("at")).select(F.col("id").alias("q"), "vec", "node").distinct(), "queries")
     graph = build(nodes)
     both = graph.select("v", "u").union(graph.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
@@ -206,6 +288,20 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int =
         state = stored(_nearest(closed.union(fresh), "q", ["d", "node"], BEAM), "beam")
         if not state.where("open").limit(1).count():
             break
-    found = state.join(members.select("node", F.col("id").alias("vec_id")), "node").where("vec_id <> q")
+    walked = _ranked(state, members, k).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d"))
+    bound = F.when(F.col("n") >= k, F.col("d")).otherwise(F.lit(float("inf")))
+    vectors, kind = packed(nodes)
+    asked, _ = packed(queries.select(F.col("q").alias("id"), "vec"))
+    nodes_of_id = queries.groupBy("q").agg(F.countDistinct("node").alias("n")).agg(F.max("n")).first()[0] or 0
+    asked = asked.distinct().join(walked.select(F.col("q").alias("id"), bound.alias("bound")), "id", "left")
+    more = missed(stored(vectors, "vectors"), kind, stored(asked.select("id", "packed", F.coalesce("bound", F.lit(float("inf"))).alias("bound")), "bounds"), k + nodes_of_id)
+    fresh = measured(stored(more.distinct(), "more").join(state.select("q", "node"), ["q", "node"], "left_anti"))
+    found = _ranked(state.select("q", "node", "d").union(fresh), members, k)
+    return found.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", F.col("d").alias("score"))
+
+
+def _ranked(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of each query, from its nodes (q, node, d)."""
+    found = near.join(members.select("node", F.col("id").alias("vec_id")), "node").where("vec_id <> q")
     place = F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", F.col("d").alias("score"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k)

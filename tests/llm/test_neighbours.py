@@ -70,6 +70,26 @@ def test_recall_on_a_large_clustered_table(spark, tmp_path):
     assert recall_of(spark, str(tmp_path / "v.parquet"), clustered(100_000, 200, 32)) >= 0.9
 
 
+@pytest.mark.parametrize("shift", [0.0, 1000.0])
+def test_vectors_without_clusters_are_all_found(spark, tmp_path, shift):
+    """Random directions have no near neighbours for a graph to lead to."""
+    x = (np.random.default_rng(5).normal(size=(8_000, 64)) + shift).astype(np.float32)
+    assert recall_of(spark, str(tmp_path / "v.parquet"), x) == 1.0
+
+
+def test_check_finds_what_no_edge_leads_to(spark, monkeypatch):
+    """A graph with one edge: the rest comes from the check, ties to smaller ids, also for repeated ids and copies."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(0, 3, 6).astype(float).tolist()) for i in range(1, 600)] + [(5, [1.0] * 6), (5, [2.0] * 6)]
+    rows = [r for r in rows if any(r[1])]
+    monkeypatch.setattr(neighbours, "build", lambda nodes: spark.createDataFrame([(1, 2, 1.0)], "v long, u long, d float"))
+    monkeypatch.setattr(neighbours, "PACK", 50)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = grouped(neighbours.search(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0))
+    want = brute(rows, [i % 20 == 0 for i, _ in rows])
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
 def test_search_goes_on_while_a_node_is_open(spark, monkeypatch):
     """The graph is a path that leads to the nearest vectors only at its far end."""
     rows = [(0, [1.0, 0.0])] + [(i, [1.0, 30.0 - i]) for i in range(1, 21)]
