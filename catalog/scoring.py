@@ -106,8 +106,8 @@ def e2_activate_indexed(spark, sf_dir):
     literal = lambda f, op, v: F.struct(F.lit(f).alias("feature"), F.lit(op).alias("op"), F.col(v).cast("double").alias("value"))
     literals = [("l_extendedprice", ">", "low"), ("l_extendedprice", "<", "high"), ("l_discount", ">", "disc"), ("l_quantity", "==", "qty")]
     rules = part.select(F.col("l_partkey").alias("rule_id"), F.array(*[literal(*lit) for lit in literals]).alias("literals"))
-    fired = activate_indexed(items.withColumn("quantity", F.col("l_quantity").cast("long")), rules, ["quantity"], ["l_extendedprice", "l_discount", "l_quantity"])
-    return fired.groupBy("rule_id").agg(F.count("*").alias("rows"), F.sum("quantity").alias("quantity"))
+    keyed = items.withColumn("quantity", F.col("l_quantity").cast("long"))
+    return activate_indexed(keyed, rules, ["quantity"], ["l_extendedprice", "l_discount", "l_quantity"], totals=True)
 
 
 @query(
