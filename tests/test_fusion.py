@@ -232,3 +232,21 @@ def test_no_rules_fire_nothing(spark):
     none = RuleSet((), 2)
     for form in ("columns", "batches"):
         assert [r["fired"] for r in A.with_fired(spark.range(3), none, form=form).collect()] == [[]] * 3
+
+
+def test_forest_rows_are_spread_in_a_fixed_order(spark, monkeypatch):
+    monkeypatch.setattr(predict, "FOREST_ROWS", 50)
+    rows = [(i, float(i * 37 % 101), float(i % 7) if i % 9 else None, int(i % 101 > 50)) for i in range(600)]
+    make = lambda data, n: spark.createDataFrame(data, "id long, a double, b double, y int").repartition(n)
+    found = [predict.spread(make(data, n), 600).rdd.glom().collect() for data, n in ((rows, 1), (rows[::-1], 5))]
+    assert found[0] == found[1] and len(found[0]) == 12 and sorted(r["id"] for part in found[0] for r in part) == list(range(600))
+    assert predict.spread(make(rows, 1), 99).rdd.getNumPartitions() == 1
+
+
+def test_forest_does_not_depend_on_the_input_partitions(spark, monkeypatch):
+    monkeypatch.setattr(predict, "FOREST_ROWS", 50)
+    rows = [(i, float(i * 37 % 101), float(i % 7), int((i * 37 % 101 > 50) != (i % 11 == 0))) for i in range(300)]
+    make = lambda data, n: spark.createDataFrame(data, "id long, a double, b double, y int").repartition(n)
+    test = make(rows[:40], 1)
+    answers = [sorted((r["id"], *r["rf_proba"], r["rf_pred"]) for r in predict.random_forest_baseline(make(data, n), test, ["a", "b"], 2, trees=5, depth=4).collect()) for data, n in ((rows, 1), (rows[::-1], 4))]
+    assert answers[0] == answers[1] and len(answers[0]) == 40
