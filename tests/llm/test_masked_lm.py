@@ -161,3 +161,16 @@ def test_classes_of_a_piece_share_one_softmax(monkeypatch):
     monkeypatch.setattr(masked_lm, "_log_share", lambda x, pick: calls.append(len(x)) or share(x, pick))
     np.testing.assert_allclose(masked_lm.log_probabilities(net, context, target), want, rtol=1e-4)
     assert calls == [500, 500]
+
+
+def test_a_round_trains_on_every_position(monkeypatch):
+    """Also in pieces: their contexts are those of the whole text, and no position is left out or taken twice."""
+    monkeypatch.setattr(masked_lm, "PIECE", 7)
+    for n in (0, 1, 2, 7, 8, 9, 40):
+        ids = np.arange(100, 100 + n)
+        for turn in range(masked_lm.ROUNDS):
+            assert masked_lm.positions(ids, turn).tolist() == list(range(n))
+            pieces = list(masked_lm.lessons(ids, turn))
+            assert all(len(y) <= 7 for _, y in pieces)
+            assert [y for _, target in pieces for y in target] == ids.tolist()
+            assert [x for context, _ in pieces for x in context.tolist()] == masked_lm.windows(ids).tolist()
